@@ -132,8 +132,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, k: int =
     mixed = now.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("v")
     rest = scratch.keep(now.join(mixed, "v"))
     few = rest.where(F.col("m") <= SHORT_LIST)
-    left, right = (few.select("v", *[F.col(c).alias(f"{d}{e}") for c, d, e in (("digest", "", s), ("n", "n", s), ("c", "c", s))]) for s in "ab")
-    short_pairs = _pairs(left.join(right, (left.v == right.v) & (left.a < right.b) & (left.ca != right.cb)).drop("v"), percent)
+    left, right = (few.select(F.col("v").alias(f"v{s}"), F.col("digest").alias(s), F.col("n").alias(f"n{s}"), F.col("c").alias(f"c{s}")) for s in "ab")
+    short_pairs = _pairs(left.join(right, (F.col("va") == F.col("vb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))), percent)
 
     many = rest.where(F.col("m") > SHORT_LIST).groupBy("digest").agg(F.max("n").alias("n"), F.max("typical").alias("typical"), F.max("c").alias("c"))
     many = scratch.keep(many)
@@ -183,8 +183,9 @@ def _block_links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     dealt = dealt.withColumn("own", F.expr("pmod(xxhash64(digest), of)")).join(sets, "digest")
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, of - 1)")))
     dealt = dealt.select("v", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "digest", "n", "i", "c", "items")
-    left, right = (dealt.select("v", "p", "q", *[F.col(c).alias(f"{c}_{s}") for c in ("own", "digest", "n", "i", "c", "items")]) for s in "ab")
-    met = (F.col("digest_a") < F.col("digest_b")) & (F.col("c_a") != F.col("c_b")) & ((F.col("p") == F.col("q")) | (F.col("own_a") != F.col("own_b")))
+    left, right = (dealt.select([F.col(c).alias(f"{c}_{s}") for c in dealt.columns]) for s in "ab")
+    same = (F.col("v_a") == F.col("v_b")) & (F.col("p_a") == F.col("p_b")) & (F.col("q_a") == F.col("q_b"))
+    met = (F.col("digest_a") < F.col("digest_b")) & (F.col("c_a") != F.col("c_b")) & ((F.col("p_a") == F.col("q_a")) | (F.col("own_a") != F.col("own_b")))
     place = F.expr(f"least(n_a - i_a, n_b - i_b) >= {_alpha(percent, 'n_a', 'n_b')}")
-    found = left.join(right, (left.v == right.v) & (left.p == right.p) & (left.q == right.q) & met & place & _jaccard("items_a", "items_b", percent))
+    found = left.join(right, same & met & place & _jaccard("items_a", "items_b", percent))
     return found.select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).distinct()
