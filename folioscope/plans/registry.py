@@ -1,4 +1,517 @@
 """Every query of the engine's own operators by name, with its DuckDB equivalent."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from folioscope.functions import periods as pf
+from folioscope.functions import text as tf
+from folioscope.operators import evals, gate, layout, retrieval, sections, structured, timeline
+from folioscope.operators.scope import Scope
+from folioscope.plans import carriers as c
+from folioscope.sources import documents as src
+from folioscope.sources import store
+from folioscope.streaming import sessions
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+EV, DOCS, FS, PR = c.EVALUATIONS, c.DOCUMENTS, c.FIELD_SCORES, c.PROMOTIONS
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Scopes and structured lookups
+
+
+@query(f"WITH {EV} SELECT e.id, e.period, e.score FROM ev e WHERE person_id = '7' AND period = (SELECT min(period) FROM ev WHERE person_id = '7')")
+def scope_lookup(spark, sf):
+    rows = c.evaluations(spark, sf)
+    first = rows.where("person_id = '7'").agg(F.min("period")).first()[0]
+    return Scope("7", first or "none").rows(rows).select("id", "period", "score")
+
+
+@query("SELECT doc_id, source AS person_id, lang AS period FROM documents WHERE source = 'src3' AND lang IN ('fr', 'en')")
+def career_scope(spark, sf):
+    rows = c.table(spark, sf, "documents").select("doc_id", F.col("source").alias("person_id"), F.when(F.col("lang") == "en", "career").otherwise(F.col("lang")).alias("period"))
+    return Scope("src3", "fr").chunks(rows).withColumn("period", F.when(F.col("period") == "career", "en").otherwise(F.col("period")))
+
+
+@query(f"""WITH {EV}, {DOCS}, {FS}, l AS (
+    SELECT eval_id, string_agg(field_code || '=' || value, ',' ORDER BY field_code, value, id) AS fields, count(*) FILTER (value <> 'yes') AS numbers FROM fs GROUP BY 1)
+    SELECT ev.id, ev.person_id, doc_id, coalesce(fields, '') AS fields, coalesce(numbers, 0) AS numbers FROM ev JOIN docs USING (person_id, period) LEFT JOIN l ON eval_id = ev.id""")
+def score_records(spark, sf):
+    rows = structured.score_records(timeline.points(c.evaluations(spark, sf), c.documents(spark, sf)), c.field_scores(spark, sf))
+    fields = F.array_join(F.transform("fields", lambda x: F.concat_ws("=", x["field_code"], x["value"])), ",")
+    return rows.select("id", "person_id", "doc_id", fields.alias("fields"), F.size(F.filter("fields", lambda x: x["number"].isNotNull())).cast("long").alias("numbers"))
+
+
+@query(f"""WITH {FS}, n AS (SELECT eval_id, field_code, value::INT AS number FROM fs WHERE value <> 'yes' AND field_code <> '141'),
+    t AS (SELECT *, row_number() OVER (PARTITION BY eval_id ORDER BY number DESC, field_code) AS p, row_number() OVER (PARTITION BY eval_id ORDER BY number, field_code DESC) AS q FROM n)
+    SELECT eval_id, 'top' AS side, p::INT AS place, field_code, number FROM t WHERE p <= 3 UNION ALL SELECT eval_id, 'bottom', q::INT, field_code, number FROM t WHERE q <= 3""")
+def top_bottom(spark, sf):
+    return structured.top_bottom(c.field_scores(spark, sf))
+
+
+@query(f"WITH {FS} SELECT eval_id, max(CASE WHEN value <> 'yes' THEN value::INT END) AS overall FROM fs WHERE field_code = '141' GROUP BY 1")
+def overall_field(spark, sf):
+    return structured.overall(c.field_scores(spark, sf))
+
+
+@query(f"""WITH {PR}, b AS (SELECT person_id, row_index + 1 AS row_index, arg_max(rank, id) AS judged_for FROM pr GROUP BY 1, 2)
+    SELECT pr.id, pr.person_id, pr.row_index, rank, judged_for FROM pr LEFT JOIN b USING (person_id, row_index)""")
+def judged_for(spark, sf):
+    return structured.judged_for(c.promotions(spark, sf)).select("id", "person_id", "row_index", "rank", "judged_for")
+
+
+@query("""WITH y AS (SELECT o_custkey::VARCHAR AS person_id, year(o_orderdate)::VARCHAR AS period, 'd' || min(o_orderkey)::VARCHAR AS doc_id, count(*) AS n FROM orders GROUP BY 1, 2),
+    a AS (SELECT * FROM y WHERE period = '1995'), b AS (SELECT * FROM y WHERE period = '1996')
+    SELECT coalesce(a.person_id, b.person_id) AS person_id, a.n AS a_n, b.n AS b_n, concat_ws(',', least(a.doc_id, b.doc_id), CASE WHEN a.doc_id <> b.doc_id THEN greatest(a.doc_id, b.doc_id) END) AS doc_ids
+    FROM a FULL JOIN b ON a.person_id = b.person_id""")
+def compare_periods(spark, sf):
+    o = c.table(spark, sf, "orders")
+    rows = o.groupBy(F.col("o_custkey").cast("string").alias("person_id"), F.year("o_orderdate").cast("string").alias("period")).agg(F.concat(F.lit("d"), F.min("o_orderkey").cast("string")).alias("doc_id"), F.count("*").alias("n"))
+    return structured.compare_periods(rows, "1995", "1996").select("person_id", F.col("a.n").alias("a_n"), F.col("b.n").alias("b_n"), F.array_join("doc_ids", ",").alias("doc_ids"))
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_custkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1)::INT AS row_index FROM orders) SELECT * FROM r""")
+def renumbered(spark, sf):
+    return structured.renumbered(c.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_custkey", "o_orderdate", "o_orderkey").select("o_orderkey", "o_custkey", "row_index")
+
+
+@query(f"WITH {FS} SELECT field_code, row_number() OVER (ORDER BY field_code::INT) AS place FROM (SELECT DISTINCT field_code FROM fs)")
+def code_order(spark, sf):
+    codes = c.field_scores(spark, sf).select("field_code").distinct()
+    return codes.select("field_code", F.row_number().over(Window.orderBy(*structured.code_order())).cast("long").alias("place"))
+
+
+# Timelines
+
+
+@query(f"WITH {EV}, {DOCS} SELECT ev.*, doc_id FROM ev JOIN docs USING (person_id, period)")
+def timeline_points(spark, sf):
+    return timeline.checked(c.evaluations(spark, sf), c.documents(spark, sf)).select("id", "person_id", "period_start", "period_end", "score", "kind", "period", "doc_id")
+
+
+@query(f"""WITH {EV}, w AS (SELECT id, person_id, score, lag(score IGNORE NULLS) OVER (PARTITION BY person_id ORDER BY period_start, id) AS before FROM ev)
+    SELECT id, person_id, score, score - before AS delta FROM w""")
+def timeline_delta(spark, sf):
+    return timeline.with_delta(c.evaluations(spark, sf)).select("id", "person_id", "score", "delta")
+
+
+@query(f"""WITH {EV}, w AS (SELECT id, person_id, score, sum(CASE WHEN score IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY person_id ORDER BY period_start, id ROWS UNBOUNDED PRECEDING) AS gaps FROM ev)
+    SELECT id, person_id, CASE WHEN score IS NOT NULL THEN gaps::BIGINT END AS run FROM w""")
+def scored_runs(spark, sf):
+    return timeline.with_runs(c.evaluations(spark, sf)).select("id", "person_id", "run")
+
+
+@query(f"""WITH {EV} SELECT person_id, count(*) AS periods, count(score) AS scored, round(avg(score), 6) AS mean, min(score) AS low,
+    first(score ORDER BY period_start DESC, id DESC) FILTER (score IS NOT NULL) AS last, first(id ORDER BY score, period_start, id) FILTER (score IS NOT NULL) AS low_id, count(*) - count(score) AS gaps FROM ev GROUP BY 1""")
+def timeline_stats(spark, sf):
+    return timeline.stats(c.evaluations(spark, sf)).withColumn("mean", F.round("mean", 6))
+
+
+@query(f"""WITH {EV}, s AS (SELECT person_id, coalesce(floor(min(score)), 100)::BIGINT AS low FROM ev GROUP BY 1)
+    SELECT person_id, 0::BIGINT AS whole, least(80, low)::BIGINT AS fixed, greatest(0, least(99, low - 1))::BIGINT AS zoom FROM s""")
+def timeline_axis(spark, sf):
+    low = timeline.stats(c.evaluations(spark, sf))
+    return low.select("person_id", *[timeline.axis(F.col("low"), m).cast("long").alias(n) for m, n in (("full", "whole"), ("fixed", "fixed"), ("zoom", "zoom"))])
+
+
+@query("""WITH d AS (SELECT o_custkey::VARCHAR AS person_id, year(o_orderdate)::VARCHAR AS period, o_orderkey % 3 AS doc_id FROM orders)
+    SELECT person_id, period, count(DISTINCT doc_id) AS documents FROM d GROUP BY 1, 2 HAVING count(DISTINCT doc_id) > 1""")
+def ambiguous_docs(spark, sf):
+    d = c.table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("person_id"), F.year("o_orderdate").cast("string").alias("period"), (F.col("o_orderkey") % 3).alias("doc_id"))
+    return timeline.violations(d, d)
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, o_orderdate::DATE AS s, o_orderdate::DATE + (o_orderkey % 400)::INT AS e FROM orders)
+    SELECT id, strftime(s, '%Y-%m-%d') AS begins, strftime(e + 1, '%Y-%m-%d') AS ends,
+           CASE WHEN year(s) = year(e) AND strftime(s, '%m-%d') = '01-01' AND strftime(e, '%m-%d') = '12-31' THEN year(s)::VARCHAR
+                WHEN year(s) = year(e) AND strftime(s, '%m-%d') = '01-01' AND strftime(e, '%m-%d') = '06-30' THEN 'H1 ' || year(s)
+                WHEN year(s) = year(e) AND strftime(s, '%m-%d') = '07-01' AND strftime(e, '%m-%d') = '12-31' THEN 'H2 ' || year(s)
+                ELSE strftime(s, '%d/%m/%Y') || ' - ' || strftime(e, '%d/%m/%Y') END AS label FROM o""")
+def period_labels(spark, sf):
+    o = c.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("s"))
+    o = o.withColumn("e", F.date_add("s", (F.col("id") % 400).cast("int")))
+    r = pf.period_range(pf.period(F.col("s"), F.col("e")))
+    return o.select("id", F.date_format(r["from"], "yyyy-MM-dd").alias("begins"), F.date_format(r["to"], "yyyy-MM-dd").alias("ends"), pf.period_label(F.col("s"), F.col("e")).alias("label"))
+
+
+@query(f"""WITH {EV}, w AS (SELECT id, score, score - lag(score IGNORE NULLS) OVER (PARTITION BY person_id ORDER BY period_start, id) AS d FROM ev)
+    SELECT id, score::VARCHAR AS score_text, CASE WHEN d = 0 THEN '±0' WHEN d > 0 THEN '+' || d WHEN d < 0 THEN d::VARCHAR END AS delta_text FROM w""")
+def delta_texts(spark, sf):
+    rows = timeline.with_delta(c.evaluations(spark, sf))
+    return rows.select("id", pf.score_text(F.col("score")).alias("score_text"), pf.delta_text(F.col("delta")).alias("delta_text"))
+
+
+@query("SELECT c_custkey::VARCHAR AS person_id, c_name AS name FROM customer")
+def persons(spark, sf):
+    from folioscope.operators import scope
+
+    return scope.persons(c.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("person_id"), F.col("c_name").alias("name")))
+
+
+@query(f"WITH {EV} SELECT DISTINCT period FROM ev WHERE person_id = '10'")
+def person_periods(spark, sf):
+    from folioscope.operators import scope
+
+    return scope.periods(c.evaluations(spark, sf), "10")
+
+
+# The gate
+
+
+@query(f"WITH {EV} SELECT DISTINCT person_id, unnest(range(year(period_start), year(period_end) + 1))::INT AS year FROM ev")
+def covered_years(spark, sf):
+    return gate.covered_years(c.evaluations(spark, sf))
+
+
+@query(f"""WITH {EV}, q AS (SELECT c_custkey::VARCHAR AS person_id, (1990 + c_custkey % 12)::INT AS y FROM customer),
+    s AS (SELECT person_id, min(period_start) AS first_start, first(period_end ORDER BY period_start DESC, id DESC) AS last_end, min(period) AS period FROM ev GROUP BY 1),
+    k AS (SELECT q.person_id, y, first_start, last_end, s.period,
+                 (SELECT count(*) FROM ev WHERE ev.person_id = q.person_id AND y BETWEEN year(period_start) AND year(period_end)) AS n,
+                 (SELECT count(*) FROM ev WHERE ev.person_id = q.person_id AND ev.period = s.period AND y BETWEEN year(period_start) AND year(period_end)) AS m
+          FROM q LEFT JOIN s USING (person_id))
+    SELECT person_id, CASE WHEN period IS NULL THEN 'ok' WHEN n = 0 THEN 'out_of_range' WHEN m = 0 THEN 'other_period' ELSE 'ok' END AS year_status,
+           CASE WHEN period IS NOT NULL AND m = 0 THEN y END AS bad_year, first_start, last_end, CASE WHEN m = 0 AND n > 0 THEN n END AS n_candidates FROM k""")
+def year_gate(spark, sf):
+    ev = c.evaluations(spark, sf)
+    own = ev.groupBy("person_id").agg(F.min("period").alias("period"))
+    q = c.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("person_id"), F.concat(F.lit("which score in "), (1990 + F.col("c_custkey") % 12).cast("string"), F.lit("?")).alias("text"))
+    out = gate.check_years(q.join(own, "person_id", "left"), ev)
+    return out.select("person_id", "year_status", "bad_year", "first_start", "last_end", F.when(F.col("candidates").isNotNull(), F.size("candidates")).cast("long").alias("n_candidates"))
+
+
+@query(f"""WITH {FS}, k AS (SELECT DISTINCT field_code FROM fs UNION SELECT unnest(['8', '9α']))
+    SELECT c_custkey, code AS field_code, code IS NOT NULL AND code NOT IN (SELECT field_code FROM k) AS unknown_code
+    FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN (c_custkey % 12)::VARCHAR ELSE (c_custkey % 12)::VARCHAR || 'α' END AS code FROM customer)""")
+def field_code_gate(spark, sf):
+    n = (F.col("c_custkey") % 12).cast("string")
+    text = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("the score "), n)).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("show Code "), n, F.lit(" please"))).otherwise(F.concat(F.lit("code "), n, F.lit("a?")))
+    q = c.table(spark, sf, "customer").select("c_custkey", text.alias("text"))
+    return gate.check_field_codes(q, gate.known_codes(c.field_scores(spark, sf), ["8", "9α"]), ["code"]).select("c_custkey", "field_code", "unknown_code")
+
+
+@query("SELECT c_custkey::VARCHAR AS person_id, '1996' AS period FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND year(o_orderdate) = 1996)")
+def period_exists(spark, sf):
+    s = c.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("person_id"), F.lit("1996").alias("period"))
+    d = c.table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("person_id"), F.year("o_orderdate").cast("string").alias("period"))
+    return gate.existing_periods(s, d)
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def orphan_check(spark, sf):
+    return store.orphans(c.table(spark, sf, "customer").select("c_custkey", "c_name"), c.table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+
+
+@query("SELECT c_custkey, (c_custkey % 2 = 0) OR (c_custkey % 3 = 0) AS structured FROM customer")
+def question_route(spark, sf):
+    text = F.when(F.col("c_custkey") % 2 == 0, "What was the SCORE in Fìeld Evaluation?").when(F.col("c_custkey") % 3 == 0, "which promotions came first").otherwise("tell me about the score of the weather")
+    return c.table(spark, sf, "customer").select("c_custkey", gate.route(text, ["score"], ["Field Evaluations"], ["promotion"]).alias("structured"))
+
+
+# Retrieval
+
+
+@query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), s AS (
+    SELECT vec_id AS id, label::VARCHAR AS person_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT e FROM q)::DOUBLE[]) AS score FROM embeddings WHERE label = 3)
+    SELECT id, round(score, 6) AS score FROM s ORDER BY score DESC, id LIMIT 20""")
+def vector_topk(spark, sf):
+    e = c.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("person_id"), F.lit("career").alias("period"), "embedding")
+    asked = e.where("id = 0").first()["embedding"]
+    return retrieval.search(e, Scope("3", "1996"), asked).select("id", F.round("score", 6).alias("score"))
+
+
+@query("""WITH q AS (SELECT vec_id AS question_id, label, embedding AS e FROM embeddings WHERE vec_id % 100 = 0),
+    s AS (SELECT question_id, vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) AS score FROM q JOIN embeddings USING (label)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS p FROM s)
+    SELECT question_id, id, p::INT AS retrieval_rank, round(score, 6) AS score FROM r WHERE p <= 20""")
+def scoped_topk_many(spark, sf):
+    e = c.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("person_id"), F.lit("career").alias("period"), "embedding")
+    q = e.where("id % 100 = 0").select(F.col("id").alias("question_id"), "person_id", F.lit("1996").alias("period"), F.col("embedding").alias("question_embedding"))
+    return retrieval.search_many(e, q).select("question_id", "id", "retrieval_rank", F.round("score", 6).alias("score"))
+
+
+@query(r"""WITH t AS (SELECT item_id, ('0x' || substr(sha256(left(w, 6)), 1, 8))::BIGINT % 256 AS b FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM benchmark)),
+    n AS (SELECT item_id, b, count(*) AS n FROM t GROUP BY 1, 2), s AS (SELECT item_id, sqrt(sum(n * n)) AS s FROM n GROUP BY 1)
+    SELECT item_id, b::INT AS bucket, round(n / s, 6) AS value FROM n JOIN s USING (item_id)""")
+def bow_embedding(spark, sf):
+    v = retrieval.bag_vectors(c.table(spark, sf, "benchmark"), "item_id")
+    return v.select("item_id", F.posexplode("embedding").alias("bucket", "v")).where("v > 0").select("item_id", "bucket", F.round("v", 6).alias("value"))
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, list_distinct(list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: left(x, 6))) AS s FROM conversations),
+    p AS (SELECT b.conv_id, b.turn, len(list_intersect(a.s, b.s)) AS shared FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn > 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY shared DESC, turn) AS k FROM p)
+    SELECT conv_id, turn, shared::INT AS shared, k::INT AS rerank_rank FROM r WHERE k <= 5""")
+def lexical_rerank(spark, sf):
+    t = c.table(spark, sf, "conversations").select("conv_id", "turn", tf.stems(F.col("text")).alias("s"))
+    found = t.where("turn > 0").join(t.where("turn = 0").select("conv_id", F.col("s").alias("q")), "conv_id").withColumn("retrieval_rank", F.col("turn"))
+    out = retrieval.rerank(found, retrieval.overlap(F.col("q"), F.col("s")), key="conv_id")
+    return out.select("conv_id", "turn", F.col("rerank_score").alias("shared"), "rerank_rank")
+
+
+@query("""SELECT conv_id, string_agg('[c' || conv_id || ', page ' || turn || ', ' || role || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS context, 'c' || conv_id AS doc_ids
+    FROM conversations WHERE text IS NOT NULL GROUP BY conv_id""")
+def grounded_prompts(spark, sf):
+    t = c.table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("rerank_rank"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("doc_id"), F.col("turn").alias("page"), F.col("role").alias("section"), "text")
+    return retrieval.prompts(t.where("text is not null"), "conv_id").withColumn("doc_ids", F.array_join("doc_ids", ","))
+
+
+@query("""WITH p AS (SELECT p_partkey, upper(p_type) AS t, upper(p_name) AS x FROM part)
+    SELECT p_partkey, concat_ws(',', CASE WHEN regexp_matches(t, '(^|[^A-Z])PROMO([^A-Z]|$)') THEN 'promotion' END, CASE WHEN regexp_matches(t, '(^|[^A-Z])STANDARD([^A-Z]|$)') THEN 'standard' END) AS found FROM p""")
+def ranks_named(spark, sf):
+    rows = c.table(spark, sf, "part").select("p_partkey", F.col("p_type").alias("answer"))
+    return rows.select("p_partkey", F.array_join(retrieval.unsupported_ranks(F.col("answer"), F.lit("nothing"), {"PROMO": "promotion", "STANDARD": "standard"}), ",").alias("found"))
+
+
+# Sections and sources
+
+
+@query(r"""WITH p AS (SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda x: trim(x, ' ')), lambda x: x <> '')) AS t FROM documents)
+    SELECT doc_id, count(*) AS n, sum(length(t))::BIGINT AS chars FROM p GROUP BY 1""")
+def chunk_paragraphs(spark, sf):
+    d = c.table(spark, sf, "documents").select("doc_id", F.lit(1).alias("page"), "text")
+    return sections.paragraphs(d).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("SELECT conv_id AS doc_id, role AS section, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1, 2")
+def sections_joined(spark, sf):
+    rows = c.table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("role").alias("section"), F.col("turn").alias("seq"), "text")
+    return sections.sections_joined(rows)
+
+
+@query("""WITH s AS (SELECT conv_id, turn, coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM conversations),
+    o AS (SELECT DISTINCT conv_id, (conv_id * 37 % 900)::BIGINT AS off FROM conversations)
+    SELECT o.conv_id AS doc_id, off AS "offset", max(turn) AS page FROM o JOIN s ON s.conv_id = o.conv_id AND b <= off GROUP BY 1, 2""")
+def page_of_offset(spark, sf):
+    t = c.table(spark, sf, "conversations")
+    o = t.select(F.col("conv_id").alias("doc_id"), (F.col("conv_id") * 37 % 900).alias("offset")).distinct()
+    return sections.page_of_offset(o, t.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, generate_subscripts(a, 1) AS i, unnest(a) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)),
+    b AS (SELECT *, trim(t, ' ') = '' AS blank FROM l), g AS (SELECT *, NOT blank AND coalesce(lag(blank) OVER (PARTITION BY doc_id ORDER BY i), true) AS opens FROM b)
+    SELECT doc_id, count(*) AS lines, sum(opens::INT)::BIGINT AS groups FROM g WHERE NOT blank GROUP BY 1""")
+def line_groups(spark, sf):
+    d = sections.lines(c.table(spark, sf, "documents").select("doc_id", F.lit(1).alias("page"), "text"))
+    return sections.line_groups(d).groupBy("doc_id").agg(F.count("*").alias("lines"), (F.max("group") + 1).alias("groups"))
+
+
+@query()
+def section_chunks(spark, sf):
+    pages = c.table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page"), src.html_text(F.col("html")).alias("text"))
+    return sections.section_chunks(pages, ["Introduction", "Evaluations"])
+
+
+@query()
+def long_text_pieces(spark, sf):
+    return sections.split_long(c.table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query()
+def page_extract(spark, sf):
+    return c.table(spark, sf, "pages").select("page_id", src.html_text(F.col("html")).alias("text"))
+
+
+@query("SELECT doc_id, substr(sha256(text), 1, 16) AS content_id FROM documents")
+def doc_id_hash(spark, sf):
+    return c.table(spark, sf, "documents").select("doc_id", tf.content_id(F.col("text")).alias("content_id"))
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events""")
+def json_props(spark, sf):
+    return c.table(spark, sf, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("""SELECT max(n)::INT AS version, 'p/route/v' || max(n) || '.txt' AS path FROM (SELECT n_nationkey AS n FROM nation)""")
+def latest_prompt(spark, sf):
+    listing = c.table(spark, sf, "nation").select(F.concat(F.lit("p/route/v"), F.col("n_nationkey").cast("string"), F.lit(".txt")).alias("path"))
+    return src.latest_version(listing, "route").select("version", "path")
+
+
+# Text functions
+
+
+@query("""SELECT c_custkey, lower(c_name) LIKE '%' || '0012' || '%' AS found FROM customer""")
+def person_search(spark, sf):
+    return c.table(spark, sf, "customer").select("c_custkey", tf.matches_person(F.col("c_name"), F.lit(""), " 0012 ").alias("found"))
+
+
+@query("""SELECT p_partkey, upper(CASE WHEN len(w) >= 2 THEN left(w[1], 1) || left(w[2], 1) ELSE left(w[1], 2) END) AS initials FROM (SELECT p_partkey, list_filter(string_split(trim(p_name), ' '), lambda x: x <> '') AS w FROM part)""")
+def initials(spark, sf):
+    return c.table(spark, sf, "part").select("p_partkey", tf.initials(F.col("p_name")).alias("initials"))
+
+
+@query(r"""SELECT c_custkey, CASE WHEN regexp_full_match(u, '[a-z0-9._-]{3,64}') THEN u END AS username FROM (SELECT c_custkey, lower(trim(CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE c_name || '!' END)) AS u FROM customer)""")
+def usernames(spark, sf):
+    return c.table(spark, sf, "customer").select("c_custkey", tf.username(F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(F.concat("c_name", F.lit("!")))).alias("username"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 2 THEN NULL ELSE 'R' || s_nationkey END AS rank, s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'lead' END AS role FROM supplier""")
+def evaluators(spark, sf):
+    s = c.table(spark, sf, "supplier")
+    rank, k = F.concat(F.lit("R"), F.col("s_nationkey").cast("string")), F.col("s_suppkey") % 3
+    text = F.when(k == 0, F.concat_ws(", ", rank, "s_name", F.lit("lead"))).when(k == 1, F.concat_ws(", ", rank, "s_name")).otherwise(F.col("s_name"))
+    return s.select("s_suppkey", tf.evaluator(text).alias("e")).select("s_suppkey", "e.rank", "e.name", "e.role")
+
+
+@query("""SELECT c_custkey, try_strptime(t, '%d/%m/%Y')::DATE AS date, try_strptime(t, '%d/%m/%Y') IS NULL AS rejected
+    FROM (SELECT c_custkey, printf('%02d/02/%04d', 1 + c_custkey % 31, 1990 + c_custkey % 20) AS t FROM customer)""")
+def parsed_dates(spark, sf):
+    text = F.format_string("%02d/02/%04d", 1 + F.col("c_custkey") % 31, 1990 + F.col("c_custkey") % 20)
+    out = c.table(spark, sf, "customer").select("c_custkey", tf.parsed_date(text).alias("p"))
+    return out.select("c_custkey", "p.date", "p.rejected")
+
+
+@query("""SELECT l_orderkey, l_linenumber, 'yes' AS word, CASE WHEN l_returnflag = 'R' THEN 'yes' ELSE l_partkey::VARCHAR END AS value FROM lineitem""")
+def ingested_values(spark, sf):
+    text = F.when(F.col("l_returnflag") == "R", "yes").otherwise(F.concat(F.lit("part no "), F.col("l_partkey").cast("string"), F.lit(" (2)")))
+    return c.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.lit("yes").alias("word"), tf.ingested_value(text, ["yes", "no"]).alias("value"))
+
+
+@query("SELECT p_partkey, p_brand AS brand, p_type AS kind FROM part")
+def pipe_rows(spark, sf):
+    text = F.concat_ws(" | ", F.concat(F.lit("brand: old")), F.concat(F.lit("kind: "), "p_type"), F.concat(F.lit("brand: "), "p_brand"))
+    return c.table(spark, sf, "part").select("p_partkey", tf.pipe_row(text).alias("m")).select("p_partkey", F.col("m")["brand"].alias("brand"), F.col("m")["kind"].alias("kind"))
+
+
+@query("SELECT p_partkey, p_name || ' ' || p_brand AS value FROM part")
+def labelled_values(spark, sf):
+    text = F.concat(F.lit("First : x\nPart  name : "), "p_name", F.lit("\n   "), "p_brand", F.lit("\nNext: y"))
+    return c.table(spark, sf, "part").select("p_partkey", tf.labelled_value(text, "Part name").alias("value"))
+
+
+@query()
+def fuzzy_titles(spark, sf):
+    return c.table(spark, sf, "part").select("p_partkey", tf.fuzzy_ratio(F.lower("p_name"), F.lower("p_type")).alias("ratio"))
+
+
+@query()
+def mixed_script(spark, sf):
+    d = c.table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.upper("text"), "O", "Ο").alias("text"))
+    tokens = F.split("text", r"\s+")
+    return d.select("doc_id", F.size(F.filter(tokens, tf.is_mixed_script)).alias("mixed"), tf.repair_lookalikes("text").alias("repaired"))
+
+
+# Evaluation
+
+
+@query("""WITH r AS (SELECT source AS case_id, doc_id, lang, quality FROM documents LEFT JOIN labels USING (doc_id)),
+    x AS (SELECT case_id, count(*) FILTER (lang IN ('en', 'fr')) AS nr, count(*) FILTER (quality = 1) AS ne, count(*) FILTER (quality = 1 AND lang IN ('en', 'fr')) AS hit, count(*) FILTER (lang = 'fr') AS leaks FROM r GROUP BY 1)
+    SELECT case_id, round(CASE WHEN ne > 0 THEN hit / ne END, 6) AS recall, round(CASE WHEN ne > 0 THEN CASE WHEN nr > 0 THEN hit / nr ELSE 0 END END, 6) AS precision, leaks, CASE WHEN ne = 0 THEN nr = 0 END AS empty_ok FROM x""")
+def citation_metrics(spark, sf):
+    cases, found, truth = _eval_inputs(spark, sf)
+    return evals.case_metrics(cases, found, truth).withColumns({"recall": F.round("recall", 6), "precision": F.round("precision", 6)})
+
+
+@query("""WITH r AS (SELECT source AS case_id, lang, quality FROM documents LEFT JOIN labels USING (doc_id)),
+    x AS (SELECT case_id, count(*) FILTER (lang IN ('en', 'fr')) AS nr, count(*) FILTER (quality = 1) AS ne, count(*) FILTER (quality = 1 AND lang IN ('en', 'fr')) AS hit, count(*) FILTER (lang = 'fr') AS leaks FROM r GROUP BY 1)
+    SELECT round(avg(CASE WHEN ne > 0 THEN hit / ne END), 6) AS recall, round(avg(CASE WHEN ne > 0 THEN hit / nr END), 6) AS precision, sum(leaks)::BIGINT AS leaks, coalesce(bool_and(CASE WHEN ne = 0 THEN nr = 0 END), false) AS empty_ok,
+           sum(leaks) = 0 AND coalesce(bool_and(CASE WHEN ne = 0 THEN nr = 0 END), false) AS passed FROM x""")
+def metric_rollup(spark, sf):
+    cases, found, truth = _eval_inputs(spark, sf)
+    return evals.roll_up(evals.case_metrics(cases, found, truth)).withColumns({"recall": F.round("recall", 6), "precision": F.round("precision", 6)})
+
+
+def _eval_inputs(spark, sf):
+    d = c.table(spark, sf, "documents").join(c.table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left").withColumn("doc_id", F.col("doc_id").cast("string"))
+    cases = d.groupBy(F.col("source").alias("case_id")).agg(F.collect_set(F.when(F.col("quality") == 1, F.col("doc_id"))).alias("expected"))
+    cases = cases.select("case_id", F.col("case_id").alias("person_id"), F.lit("en").alias("period"), "expected")
+    found = d.where("lang in ('en', 'fr')").select(F.col("source").alias("case_id"), "doc_id")
+    return cases, found, d.select("doc_id", F.col("source").alias("person_id"), F.col("lang").alias("period"))
+
+
+@query("""WITH r AS (SELECT o_orderpriority AS tier, o_orderstatus AS s FROM orders)
+    SELECT tier, count(*) FILTER (s = 'O') AS pass, count(*) FILTER (s = 'F') AS fail, count(*) FILTER (s = 'P') AS weak, 0::BIGINT AS known_gap, 0::BIGINT AS needs_human, 0::BIGINT AS error, count(*) AS total FROM r GROUP BY 1""")
+def status_pivot(spark, sf):
+    names = F.create_map(*[F.lit(x) for x in ("O", "pass", "F", "fail", "P", "weak")])
+    return evals.status_table(c.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("tier"), names[F.col("o_orderstatus")].alias("status")))
+
+
+@query("SELECT user_id AS id, count(*) - 1 AS repeats FROM events GROUP BY 1 HAVING count(*) > 1")
+def repeated_ids(spark, sf):
+    return evals.repeated_ids(c.table(spark, sf, "events").select(F.col("user_id").alias("id")))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'error' WHEN o_orderkey % 7 = 0 THEN 'known_gap' WHEN o_orderkey % 5 = 0 THEN 'needs_human' WHEN o_orderstatus <> 'F' THEN CASE WHEN o_orderkey % 3 < 1 THEN 'weak' ELSE 'pass' END ELSE 'fail' END AS status FROM orders""")
+def answer_status(spark, sf):
+    k = F.col("o_orderkey")
+    tier, size = F.when(k % 5 == 0, "C").otherwise("A"), F.when(k % 3 < 1, 2).otherwise(9)
+    return c.table(spark, sf, "orders").select("o_orderkey", evals.status(tier, F.col("o_orderstatus") != "F", k % 7 == 0, k % 11 == 0, size).alias("status"))
+
+
+# Layout
+
+
+@query()
+def layout_rows(spark, sf):
+    n = F.col("l_linenumber").cast("double")
+    words = c.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), (n * 40).alias("x0"), (F.col("l_quantity") * 2.0).alias("y0"), (n * 40 + 30).alias("x1"), (F.col("l_quantity") * 2.0 + 8).alias("y1"), F.col("l_partkey").cast("string").alias("text"))
+    return layout.cells(layout.clustered_rows(words), {"label": (0.0, 100.0), "years": (100.0, 200.0), "rest": (200.0, 400.0)})
+
+
+@query("""WITH a AS (SELECT l_orderkey AS d, l_quantity::DOUBLE AS y FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1, 2), m AS (SELECT l_orderkey AS d, l_quantity::DOUBLE AS y FROM lineitem WHERE l_linenumber > 2),
+    n AS (SELECT d, y, coalesce(lead(y) OVER (PARTITION BY d ORDER BY y), 'inf'::DOUBLE) AS nx FROM a)
+    SELECT d AS doc_id, 1 AS page, y, y - 3 AS top, coalesce((SELECT min(m.y) FROM m WHERE m.d = n.d AND m.y > n.y AND m.y < n.nx), nx) AS bottom FROM n""")
+def block_bounds(spark, sf):
+    rows = c.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("l_quantity").cast("double").alias("y"), "l_linenumber")
+    return layout.block_bounds(rows.where("l_linenumber <= 2").select("doc_id", "page", "y").distinct(), rows.where("l_linenumber > 2").drop("l_linenumber"))
+
+
+# Storage and state
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_name || ' new' ELSE c_name END AS name, c_nationkey AS created FROM customer
+    UNION ALL SELECT c_custkey + 1000000, c_name || ' new', 99 FROM customer WHERE c_custkey % 10 = 0""")
+def upsert_merge(spark, sf):
+    t = c.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("created"))
+    changed = t.where("id % 2 = 0").select("id", F.concat("name", F.lit(" new")).alias("name"), F.lit(99).alias("created"))
+    added = t.where("id % 10 = 0").select((F.col("id") + 1000000).alias("id"), F.concat("name", F.lit(" new")).alias("name"), F.lit(99).alias("created"))
+    return store.upsert(t, changed.union(added), ["id"], keep=["created"])
+
+
+@query(f"WITH {FS} SELECT id, eval_id, field_code, value FROM fs WHERE eval_id % 4 <> 0 UNION ALL SELECT id + 1, eval_id, field_code, 'no' FROM fs WHERE eval_id % 4 = 0 AND field_code = '1'")
+def replace_children(spark, sf):
+    t = c.field_scores(spark, sf)
+    new = t.where("eval_id % 4 = 0 and field_code = '1'").select((F.col("id") + 1).alias("id"), "eval_id", "field_code", F.lit("no").alias("value"))
+    return store.replace_children(t, new, "eval_id", parents=t.where("eval_id % 4 = 0"))
+
+
+@query("SELECT n_nationkey || ';' || n_name || ';' || CASE WHEN n_nationkey % 2 = 0 THEN '\"a;\"\"b\"' ELSE '' END AS line FROM nation")
+def csv_export(spark, sf):
+    return store.csv_lines(c.table(spark, sf, "nation").select("n_nationkey", "n_name", F.when(F.col("n_nationkey") % 2 == 0, 'a;"b').alias("x")))
+
+
+@query("SELECT 'customer' AS name, count(*) AS rows FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem")
+def table_counts(spark, sf):
+    parts = [c.table(spark, sf, n).agg(F.count("*").alias("rows")).select(F.lit(n).alias("name"), "rows") for n in ("customer", "orders", "lineitem")]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("""WITH s AS (SELECT event_id AS token, user_id, ts FROM events WHERE event_type = 'signup'), n AS (SELECT max(ts) AS now FROM events)
+    SELECT token::VARCHAR AS token_hash, user_id, 'u' || user_id AS username, 'viewer' AS role FROM s, n WHERE now < ts + INTERVAL 8 HOUR AND user_id % 3 <> 0""")
+def session_ttl(spark, sf):
+    e = c.table(spark, sf, "events")
+    now = e.agg(F.max("ts").alias("now"))
+    s = e.where("event_type = 'signup'").select(F.col("event_id").cast("string").alias("token_hash"), "user_id", F.col("ts").alias("created_at"))
+    users = e.select("user_id").distinct().select("user_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("username"), F.lit("viewer").alias("role"), (F.col("user_id") % 3 != 0).alias("is_active"))
+    return sessions.live_sessions(s.join(F.broadcast(now)), users, F.col("now"))  # now is one row
+
+
+@query()
+def lockout(spark, sf):
+    e = c.table(spark, sf, "events").where("event_type in ('error', 'signup')")
+    return sessions.lockouts(e.select("user_id", "ts", F.col("event_id").alias("attempt_id"), (F.col("event_type") == "signup").alias("ok")))
