@@ -47,8 +47,13 @@ class ByteBpe:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.bytes_of = ranks, {i: b for b, i in ranks.items()}
-        self.longest = max(map(len, ranks), default=1)
-        self.pairs = Recent()
+        self.parts: dict[int, tuple[int, int] | None] = {}
+        self.pairs: dict[int, bool] = {}
+        # By its last three bytes, the lengths of the tokens that can end there, the longest first.
+        lengths: dict[bytes, set[int]] = {}
+        for b in ranks:
+            lengths.setdefault(b[-3:], set()).add(len(b))
+        self.lengths = {b: tuple(sorted(n | {2, 1} if len(b) == 3 else n | {1}, reverse=True)) for b, n in lengths.items()}
 
     def merged(self, data: bytes) -> list[int]:
         """The encoding by its definition: merge the pair of least rank, the leftmost first. For a few bytes."""
@@ -60,23 +65,72 @@ class ByteBpe:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes this one; None of a byte, and of a token that no merges reach."""
+        if token not in self.parts:
+            data, made = self.bytes_of[token], None
+            if len(data) > 1 and self.merged(data) == [token]:
+                last = [data[i : i + 1] for i in range(len(data))]
+                while len(last) > 2:
+                    at = min((self.ranks.get(last[i] + last[i + 1], 1 << 60), i) for i in range(len(last) - 1))[1]
+                    last[at : at + 2] = [last[at] + last[at + 1]]
+                made = self.ranks[last[0]], self.ranks[last[1]]
+            self.parts[token] = made
+        return self.parts[token]
+
+    def stands(self, token: int) -> bool:
+        """Whether a token is the encoding of its own bytes."""
+        return len(self.bytes_of[token]) == 1 or self.halves(token) is not None
+
     def follows(self, before: int, token: int) -> bool:
-        """Whether no merge crosses the border of the two (before: -1 at the start)."""
-        key = before << 20 | token if before >= 0 else -1 - token
-        found = self.pairs.find(key)
-        if found is None:
-            found = self.merged(self.bytes_of.get(before, b"") + self.bytes_of[token]) == ([before, token] if before >= 0 else [token])
-            self.pairs.put(key, found)
-        return found
+        """Whether no merge crosses the border of two tokens that each stand.
+
+        A merge across would join an end of the first with a beginning of the second, at a moment when both are there: after
+        they were made, and before the merges that take them into larger parts. So the two are taken apart, the
+        part that was made last first, and at each step the merge of what meets at the border must come too late.
+        """
+        key = before << 32 | token
+        known = self.pairs.get(key)
+        if known is None:
+            left, right, end = before, token, 1 << 60
+            while True:
+                crossing = self.ranks.get(self.bytes_of[left] + self.bytes_of[right])
+                if crossing is not None and crossing < end:
+                    known = False
+                    break
+                # Of two merges of one rank, the one further left comes first.
+                first, second = self.halves(left), self.halves(right)
+                if first is None and second is None:
+                    known = True
+                    break
+                if second is None or (first is not None and left > right):
+                    end, left = left, first[1]
+                else:
+                    end, right = right + 1, second[0]
+            if len(self.pairs) >= 2 * REMEMBERED:
+                self.pairs.clear()
+            self.pairs[key] = known
+        return known
 
     def last_tokens(self, piece: bytes, last: list[int] | None = None) -> list[int]:
         """last[i]: the last token of the encoding of the first i + 1 bytes; goes on where ``last`` ends."""
         last = last if last is not None else []
-        ranks, follows = self.ranks, self.follows
+        rank_of, lengths_of, pairs, follows = self.ranks.get, self.lengths, self.pairs.get, self.follows
         for end in range(len(last) + 1, len(piece) + 1):
-            for begin in range(max(0, end - self.longest), end):
-                token = ranks.get(piece[begin:end])
-                if token is not None and follows(last[begin - 1] if begin else -1, token):
+            for n in lengths_of.get(piece[end - 3 if end > 3 else 0 : end], (2, 1)):
+                begin = end - n
+                if begin < 0:
+                    continue
+                token = rank_of(piece[begin:end])
+                if token is None:
+                    continue
+                if begin:
+                    before = last[begin - 1]
+                    known = pairs(before << 32 | token)
+                    if known or (known is None and self.stands(token) and follows(before, token)):
+                        last.append(token)
+                        break
+                elif self.stands(token):
                     last.append(token)
                     break
         return last
@@ -169,9 +223,11 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, wit
             _made.clear()
             _made[key] = ByteBpe(shared.value), Recent()
         bpe, pieces = _made[key]
-        split, find = regex.compile(pattern).findall, pieces.find
+        split, new = regex.compile(pattern).findall, pieces.get
 
         def piece(x: str) -> tuple[int, str, bytes]:
+            if (known := pieces.find(x)) is not None:
+                return known
             ids = bpe.encode(x.encode())
             made = len(ids), ",".join(map(str, ids)), bpe.decode(ids)
             if len(x) <= 64:
@@ -181,7 +237,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, wit
         for batch in batches:
             n, sums, decoded_sums, all_ids, all_decoded = [], [], [], [], []
             for text in batch.column(1).to_pylist():
-                got = [find(x) or piece(x) for x in split(text or "")]
+                got = [new(x) or piece(x) for x in split(text or "")]
                 ids, decoded = ",".join([g[1] for g in got]), b"".join([g[2] for g in got])
                 n.append(sum([g[0] for g in got]))
                 sums.append(sha256(ids.encode()).hexdigest())
