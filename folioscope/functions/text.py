@@ -37,6 +37,11 @@ def canonical_without_accents(text: pa.Array) -> pa.Array:
     return _mapped(text, lambda t: _bare(t, "NFD"))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def folded(text: Column, collapse: bool = True) -> Column:
     """Lower case without accents; ``collapse`` makes each run of white space one blank and trims."""
     bare = F.lower(without_accents(text))

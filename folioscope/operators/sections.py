@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import best_match
+from folioscope.functions.text import best_match, stripped
 
 SPLIT_FROM, PIECE, OVERLAP = 1500, 1000, 100
 
@@ -32,7 +32,7 @@ def section_chunks(pages: DataFrame, titles: Sequence[str]) -> DataFrame:
     rows = rows.withColumn("section", F.last("heading", ignorenulls=True).over(before)).withColumn("part", F.count("heading").over(before))
     body = rows.where(F.col("section").isNotNull() & F.col("heading").isNull())
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
-    known = body.groupBy("doc_id", "page", "part", "section").agg(F.trim(text).alias("text")).where("text <> ''")
+    known = body.groupBy("doc_id", "page", "part", "section").agg(stripped(text).alias("text")).where("text <> ''")
     seq = Window.partitionBy("doc_id").orderBy("page", "part")
     known = known.withColumn("seq", F.row_number().over(seq) - 1).select("doc_id", "seq", "page", "section", "text", F.lit(False).alias("fallback"))
     plain = pages.join(rows.where("heading is not null").select("doc_id").distinct(), "doc_id", "left_anti")
@@ -41,7 +41,7 @@ def section_chunks(pages: DataFrame, titles: Sequence[str]) -> DataFrame:
 
 def paragraphs(pages: DataFrame) -> DataFrame:
     """(doc_id, page, seq, text): what blank lines divide, without blank parts; seq runs over a document's pages."""
-    parts = pages.select("doc_id", "page", F.posexplode(F.split("text", r"\n\s*\n")).alias("p", "text")).withColumn("text", F.trim("text")).where("text <> ''")
+    parts = pages.select("doc_id", "page", F.posexplode(F.split("text", r"\n\s*\n")).alias("p", "text")).withColumn("text", stripped(F.col("text"))).where("text <> ''")
     return parts.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "p")) - 1).drop("p")
 
 

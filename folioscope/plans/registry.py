@@ -280,7 +280,7 @@ def ranks_named(spark, sf):
 # Sections and sources
 
 
-@query(r"""WITH p AS (SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda x: trim(x, ' ')), lambda x: x <> '')) AS t FROM documents)
+@query(r"""WITH p AS (SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')) AS t FROM documents)
     SELECT doc_id, count(*) AS n, sum(length(t))::BIGINT AS chars FROM p GROUP BY 1""")
 def chunk_paragraphs(spark, sf):
     d = c.table(spark, sf, "documents").select("doc_id", F.lit(1).alias("page"), "text")

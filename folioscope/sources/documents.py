@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import content_id
+from folioscope.functions.text import content_id, stripped
 
 #: Pages with less text than this are read from their image, where a reader is given.
 LEAST_TEXT = 20
@@ -21,8 +21,8 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 def page_text(blocks: DataFrame) -> DataFrame:
     """(doc_id, page, text) of text blocks (doc_id, page, kind, x0, y0, text): kind 0, not blank, from top to bottom, a blank line apart."""
-    kept = blocks.where((F.col("kind") == 0) & (F.trim("text") != ""))
-    parts = F.sort_array(F.collect_list(F.struct("y0", "x0", F.trim("text").alias("text"))))
+    kept = blocks.where((F.col("kind") == 0) & (stripped(F.col("text")) != ""))
+    parts = F.sort_array(F.collect_list(F.struct("y0", "x0", stripped(F.col("text")).alias("text"))))
     return kept.groupBy("doc_id", "page").agg(F.array_join(F.transform(parts, lambda b: b["text"]), "\n\n").alias("text"))
 
 
@@ -39,7 +39,7 @@ def html_text(html: Column) -> Column:
     t = F.regexp_replace(t, r"<[^>]*>", "")
     for name, c in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("amp", "&")):
         t = F.replace(t, F.lit(f"&{name};"), F.lit(c))
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
+    return stripped(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
