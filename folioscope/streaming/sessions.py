@@ -16,8 +16,8 @@ def lockouts(attempts: DataFrame, failures: int = FAILURES, minutes: int = LOCK_
     """attempts (user_id, ts, attempt_id, ok) with outcome: ok, failed, locked (the attempt that locks) or refused (while locked).
 
     ``failures`` failed attempts without a success between lock for ``minutes``; the count starts anew on a lock and on a success, has no
-    window of time, and nothing counts during a lock. A user's attempts are folded in order in arrays of bounded parts: days are
-    collected first, so that one user's history is one array of numbers and never a task of rows in Python.
+    window of time, and nothing counts during a lock. What an attempt does depends on all before it, so a user's attempts are one array
+    that is folded in order inside Spark; ``stream_lockouts`` needs only the state, and fits users with very many.
     """
     item = F.struct(F.col("ts").alias("ts"), "attempt_id", "ok")
     rows = attempts.groupBy("user_id").agg(F.sort_array(F.collect_list(item)).alias("a"))

@@ -111,7 +111,7 @@ def test_entry_points(spark):
     import __spark_entry__ as e
 
     queries, oracles = e.queries(), e.oracle_sql()
-    assert set(oracles) <= set(queries) and len(queries) > 60
+    assert set(oracles) <= set(queries) and len(queries) > 40
     assert e.entry(spark).columns == ["id", "person_id", "score", "delta"]
     assert json.dumps(sorted(queries))
 
