@@ -64,7 +64,7 @@ def _normal(values: Column) -> Column:
     return F.transform(values, lambda x: x - top - F.log(total))
 
 
-def identify(docs: DataFrame, languages: Sequence[str] = LANGUAGES, declared: str | None = "lang", host: str | None = "source", smoothing: float = 20.0, tempering: float = 0.1, least: float = 0.6) -> DataFrame:
+def identify(docs: DataFrame, languages: Sequence[str] = LANGUAGES, declared: str | None = "lang", host: str | None = "source", smoothing: float = 20.0, tempering: float = 0.1, least: float = 0.4) -> DataFrame:
     """All columns of ``docs`` (which has text), and language, text_language, posterior (double) and accepted (boolean).
 
     The log posterior of a language adds up the evidence of a row:
@@ -76,7 +76,8 @@ def identify(docs: DataFrame, languages: Sequence[str] = LANGUAGES, declared: st
     * host: the prior of the languages at the host, smoothed by ``smoothing`` rows of its domain's, which is smoothed so by its
       suffix's, and that by the global one: counts of the text's own language, grouped.
 
-    accepted: there is a letter in the text, and the posterior is ``least`` at least. Null and empty texts, and texts without letters, get
+    accepted: there is a letter in the text, and the posterior is ``least`` at least; a text in two of the languages has about half for
+    each, and stays. Null and empty texts, and texts without letters, get
     the language that the other evidence has, and are rejected. A null or unknown declaration, and a null host, are no evidence.
     Columns of docs with the names of the results are replaced. Hosts with many rows are counted in parts, and priors join
     by host as a small table or by a skew-split join; text is never shuffled while the table of hosts is small.
