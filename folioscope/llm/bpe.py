@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from hashlib import sha256
+from operator import itemgetter
 
 import pyarrow as pa
 import regex
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.shared import bound_batches
 
 #: Pieces and pairs of tokens that a worker remembers; the oldest half is forgotten beyond that.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 
 
 class Recent(dict):
@@ -107,7 +108,7 @@ class ByteBpe:
                     end, left = left, first[1]
                 else:
                     end, right = right + 1, second[0]
-            if len(self.pairs) >= 2 * REMEMBERED:
+            if len(self.pairs) >= REMEMBERED:
                 self.pairs.clear()
             self.pairs[key] = known
         return known
@@ -225,11 +226,11 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, wit
         bpe, pieces = _made[key]
         split, new = regex.compile(pattern).findall, pieces.get
 
-        def piece(x: str) -> tuple[int, str, bytes]:
+        def piece(x: str) -> tuple[str, bytes]:
             if (known := pieces.find(x)) is not None:
                 return known
             ids = bpe.encode(x.encode())
-            made = len(ids), ",".join(map(str, ids)), bpe.decode(ids)
+            made = ",".join(map(str, ids)), bpe.decode(ids)
             if len(x) <= 64:
                 pieces.put(x, made)
             return made
@@ -238,8 +239,8 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, wit
             n, sums, decoded_sums, all_ids, all_decoded = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 got = [new(x) or piece(x) for x in split(text or "")]
-                ids, decoded = ",".join([g[1] for g in got]), b"".join([g[2] for g in got])
-                n.append(sum([g[0] for g in got]))
+                ids, decoded = ",".join(map(itemgetter(0), got)), b"".join(map(itemgetter(1), got))
+                n.append(ids.count(",") + 1 if ids else 0)
                 sums.append(sha256(ids.encode()).hexdigest())
                 decoded_sums.append(sha256(decoded).hexdigest())
                 if with_ids:
