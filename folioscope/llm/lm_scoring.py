@@ -6,102 +6,162 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import bound_batches
-from folioscope.llm.words import Words, chunks
+from folioscope.llm.shared import Scratch, bound_batches
+from folioscope.llm.words import Words, chunks, mix
 
-#: Slots of the shared vocabulary and of its pairs (powers of two): hashes of words and of neighbouring words.
-WORD_BITS, PAIR_BITS = 16, 20
+#: Smoothing takes the vocabulary to have at least 2**WORD_BITS words; with more distinct words it has those.
+WORD_BITS = 16
+#: Bytes of text in a block (a longer text is a block of its own size).
+BLOCK = 8 << 20
+#: The word before a row's first. Keys of words are even and keys of pairs odd.
+START, ODD = np.uint64(0x5851F42D4C957F2C), np.uint64(1)
 
 
 def _slots(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word its own slot, that of the word before it in its row (-1 at a row's start), and that of the two."""
-    own = (words.hash >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-    before, prior = np.full(len(own), -1, np.int64), np.full(len(own), 0x5851F42D4C957F2D, np.uint64)
+    """Of each word its own key, that of the word before it in its row (START at a row's start), and that of the two."""
+    own = words.hash & ~ODD
+    before = np.full(len(own), START, np.uint64)
     if len(own) > 1:
         same = words.row[1:] == words.row[:-1]
-        before[1:][same], prior[1:][same] = own[:-1][same], words.hash[:-1][same]
-    pair = ((prior * np.uint64(0xD6E8FEB86659FD93) ^ words.hash) * np.uint64(0xA0761D6478BD642F)) >> np.uint64(64 - PAIR_BITS)
-    return own, before, pair.astype(np.int64)
+        before[1:][same] = own[:-1][same]
+    return own, before, mix(before * np.uint64(0xD6E8FEB86659FD93) ^ words.hash) | ODD
 
 
-def count_slots(docs: DataFrame) -> DataFrame:
-    """slot, target and background: how often each slot occurs in rows with ``target`` set, and in all rows.
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T), "zstd", asbytes=True) if len(values) else b""
 
-    Slots below 2**WORD_BITS are words, the next ones words as the first of a pair (the last: a row's start), then pairs.
-    A partition sends the sum of each slot once.
-    """
-    words_n, heads = 1 << WORD_BITS, (1 << WORD_BITS) + 1
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = words_n + heads + (1 << PAIR_BITS)
-        sums = np.zeros((2, size), np.int64)
+def _unpack(data: bytes, n: int, dtype: type) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    if not n:
+        return np.zeros(0, dtype)
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(data, n * size, "zstd"), np.uint8).reshape(size, n).T).view(dtype).ravel()
+
+
+def _blocks(docs: DataFrame) -> DataFrame:
+    """block, ids, lengths and texts (compressed): the rows of a partition in blocks of about BLOCK bytes of text, one row each."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, sizes, texts = TaskContext.get().partitionId() << 32, [], [], []
+
+        def flush() -> pa.RecordBatch:
+            n, data = np.concatenate(sizes), pa.compress(b"".join(texts), "zstd", asbytes=True)
+            row = [pa.array([block]), pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64())), pa.array([data], pa.binary())]
+            ids.clear(), sizes.clear(), texts.clear()
+            return pa.RecordBatch.from_arrays(row, names=["block", "ids", "lengths", "texts"])
+
         for batch in batches:
-            wanted = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for first, data, at in chunks(batch.column(0)):
-                words = Words(data, at)
-                own, before, pair = _slots(words)
-                keys = np.concatenate([own, words_n + np.where(before < 0, heads - 1, before), words_n + heads + pair])
-                good = np.tile(wanted[first + words.row], 3)
-                sums[1] += np.bincount(keys, minlength=size)
-                if good.any():
-                    sums[0] += np.bincount(keys[good], minlength=size)
-        slot = np.flatnonzero(sums[1])
-        for a in range(0, len(slot), 50_000):
-            part = slot[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(sums[0][part]), pa.array(sums[1][part])], names=["slot", "target", "background"])
+            for first, data, at in chunks(batch.column(1)):
+                ids.append(batch.column(0).slice(first, len(at) - 1)), sizes.append(np.diff(at)), texts.append(data.tobytes())
+                if sum(map(len, texts)) >= BLOCK:
+                    yield flush()
+                    block += 1
+        if ids:
+            yield flush()
 
     bound_batches(docs.sparkSession)
-    made = docs.select("text", F.coalesce("target", F.lit(False)).alias("target")).mapInArrow(counted, "slot int, target long, background long")
-    return made.groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    return docs.select("doc_id", "text").mapInArrow(made, "block long, ids array<long>, lengths array<long>, texts binary")
+
+
+class _Block:
+    """The words of one block: n of each row, the sorted keys, and which of them each word, the one before it and the two are."""
+
+    def __init__(self, table: pa.Table):
+        self.block, self.ids = table["block"][0].as_py(), table["ids"][0].values
+        sizes = table["lengths"][0].values.to_numpy()
+        at, total = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), int(sizes.sum())
+        data = pa.decompress(table["texts"][0].as_py(), total, "zstd") if total else b""
+        column = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at), pa.py_buffer(data)])
+        own, before, pair, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for _, part, begin in chunks(column):
+            words = Words(part, begin)
+            for out, made in zip((own, before, pair), _slots(words), strict=True):
+                out.append(made)
+            n.append(np.diff(words.first))
+        self.n, before = np.concatenate(n), np.concatenate(before)
+        words, word = np.unique(np.concatenate([*own, [START]]), return_inverse=True)
+        pairs, pair = np.unique(np.concatenate(pair), return_inverse=True)
+        head = np.where(before == START, word[-1], np.concatenate([[0], word[:-2]])[: len(before)])
+        keys = np.concatenate([words, pairs])
+        order = np.argsort(keys)
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys))
+        self.keys, self.word, self.head, self.pair = keys[order], rank[word[:-1]], rank[head], rank[len(words) + pair]
+
+
+_COUNTS = "bucket long, block long, n long, keys binary, counts binary"
+_TOTALS = "bucket long, block long, n long, counts binary, words long, target long, background long"
+_SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double"
 
 
-def _log_model(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word log shares, head counts and pair counts of one model."""
-    words_n, heads = 1 << WORD_BITS, (1 << WORD_BITS) + 1
-    words = counts[:words_n] + 0.5
-    return (words / words.sum()).astype(np.float32), counts[words_n : words_n + heads].astype(np.float32), counts[words_n + heads :].astype(np.float32)
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    fields = [f.split() for f in schema.split(", ")]
+    types = {"long": pa.int64(), "binary": pa.binary()}
+    return pa.Table.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[f[0] for f in fields])
 
 
 def score_documents(docs: DataFrame, target_ids: DataFrame, weight: float = 200.0) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss (nats per word) and difference for every row of ``docs``.
 
     docs has doc_id and text, target_ids the doc_id of known good rows (both may repeat, further columns are ignored). Two
-    word-pair models with one vocabulary of hashed words, one from the good rows and one from all rows, each smooth a pair by its
+    word-pair models with one vocabulary, one from the good rows and one from all rows, each smooth a pair by its
     word's share: (pairs + weight * share) / (heads + weight). difference is target_loss - background_loss: low values
-    are close to the target. A text without words has null losses and difference and no tokens. All counts come from all
-    rows and whole texts; the models have a fixed number of slots, which is what is broadcast.
+    are close to the target. A text without words has null losses and difference and no tokens.
+
+    Words and pairs have 63-bit keys of their own, counted over all rows and whole texts, and nothing but a block's own counts is
+    held at once: a block counts each of its keys once and deals them to buckets by their value; a bucket adds up what all blocks
+    have, and answers each block with the totals of its keys. Blocks and buckets grow in number, not in size, with the corpus.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    good = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("target", F.lit(True))
+    blocks = Scratch(docs.sparkSession, "lm").keep(_blocks(docs))
+    bits = max(1, (blocks.count() // 2).bit_length())
+    good = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     # The known rows grow with the corpus, so the plan joins them by a shuffle at any size and never by a broadcast.
-    table = count_slots(docs.join(good.hint("merge"), "doc_id", "left")).toArrow()
-    size = (2 << WORD_BITS) + 1 + (1 << PAIR_BITS)
-    models = []
-    for name in ("target", "background"):
-        counts = np.zeros(size, np.int64)
-        counts[table["slot"].to_numpy()] = table[name].to_numpy()
-        models.append(_log_model(counts))
-    shared = spark.sparkContext.broadcast(models)
-    heads = 1 << WORD_BITS
-
-    @F.arrow_udf("struct<n_tokens: long, target_loss: double, background_loss: double>")
-    def losses(text: pa.Array) -> pa.Array:
-        n, sums = [], [[], []]
-        for _, data, at in chunks(text):
-            words = Words(data, at)
-            own, before, pair = _slots(words)
-            n.append(np.diff(words.first))
-            for out, (share, head, pairs) in zip(sums, shared.value, strict=True):
-                loss = -np.log((pairs[pair] + weight * share[own]) / (head[np.where(before < 0, heads, before)] + weight))
-                out.append(np.diff(np.concatenate([[0.0], np.cumsum(loss, dtype=np.float64)])[words.first]))
-        n = np.concatenate([*n, np.zeros(0, np.int64)])
-        with np.errstate(invalid="ignore"):
-            means = [pa.array(np.concatenate([*s, np.zeros(0)]) / n, mask=n == 0) for s in sums]
-        return pa.StructArray.from_arrays([pa.array(n.astype(np.int64)), *means], names=["n_tokens", "target_loss", "background_loss"])
-
-    out = docs.withColumn("s", losses("text")).select("doc_id", "s.n_tokens", "s.target_loss", "s.background_loss")
+    known = blocks.select("block", F.posexplode("ids").alias("pos", "doc_id")).join(good.hint("merge"), "doc_id").select(F.col("block").alias("home"), "pos")
+
+    def counted(table: pa.Table, known: pa.Table) -> pa.Table:
+        b = _Block(table)
+        wanted, size = np.zeros(len(b.n), bool), len(b.keys)
+        wanted[known["pos"].to_numpy()] = True
+        of = np.repeat(wanted, b.n)
+        counts = [np.bincount(np.concatenate([b.word[m], b.pair[m]]), minlength=size) for m in (of, slice(None))] + [np.bincount(b.head[m], minlength=size) for m in (of, slice(None))]
+        counts = np.stack(counts, 1).astype(np.uint32)
+        ends = np.searchsorted(b.keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+        cells = []
+        for i, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            steps = np.diff(b.keys[lo:hi], prepend=np.uint64(0))
+            cells.append((i, b.block, hi - lo, _pack(steps), _pack(counts[lo:hi].T.ravel())))
+        return _table(_COUNTS, cells)
+
+    def added(table: pa.Table) -> pa.Table:
+        n = table["n"].to_numpy()
+        keys = np.concatenate([np.cumsum(_unpack(k.as_py(), m, np.uint64), dtype=np.uint64) for k, m in zip(table["keys"], n, strict=True)])
+        parts = np.concatenate([_unpack(c.as_py(), 4 * m, np.uint32).reshape(4, m) for c, m in zip(table["counts"], n, strict=True)], 1)
+        found, which = np.unique(keys, return_inverse=True)
+        sums = np.stack([np.bincount(which, p, len(found)) for p in parts]).astype(np.int64)
+        words = (found & ODD) == 0
+        whole = (int((sums[1][words] > 0).sum()), int(sums[0][words].sum()), int(sums[1][words].sum()))
+        bucket, ends = table["bucket"][0].as_py(), np.concatenate([[0], np.cumsum(n)])
+        return _table(_TOTALS, [(bucket, b.as_py(), m, _pack(sums[:, which[lo : lo + m]].ravel()), *whole) for b, m, lo in zip(table["block"], n, ends, strict=False)])
+
+    def scored(table: pa.Table, totals: pa.Table) -> pa.Table:
+        b, totals = _Block(table), totals.sort_by("bucket")
+        counts = np.concatenate([_unpack(c.as_py(), 4 * m.as_py(), np.int64).reshape(4, -1) for c, m in zip(totals["counts"], totals["n"], strict=True)], 1)
+        vocabulary = max(1 << WORD_BITS, sum(totals["words"].to_pylist()))
+        first, means = np.concatenate([[0], np.cumsum(b.n)]), []
+        for name, pairs, heads in (("target", counts[0], counts[2]), ("background", counts[1], counts[3])):
+            share = (pairs[b.word] + 0.5) / (sum(totals[name].to_pylist()) + 0.5 * vocabulary)
+            loss = -np.log((pairs[b.pair] + weight * share) / (heads[b.head] + weight))
+            with np.errstate(invalid="ignore"):
+                means.append(pa.array(np.diff(np.concatenate([[0.0], np.cumsum(loss)])[first]) / b.n, mask=b.n == 0))
+        return pa.Table.from_arrays([b.ids, pa.array(b.n.astype(np.int64)), *means], names=["doc_id", "n_tokens", "target_loss", "background_loss"])
+
+    cells = blocks.groupBy("block").cogroup(known.groupBy("home")).applyInArrow(counted, _COUNTS)
+    totals = cells.groupBy("bucket").applyInArrow(added, _TOTALS)
+    out = blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(scored, _SCORES)
     return out.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
