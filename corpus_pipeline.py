@@ -20,13 +20,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (80 % of the five-word shingles): that of the smallest doc_id.
+    """One row of each component of near copies (80 % of the five-word shingles): that of the smallest doc_id.
 
-    Rows with one doc_id are one document; the row that comes first by its other columns stays.
+    Rows are compared by their texts, so different texts under one doc_id, or under none, all stay.
     """
-    kept = near_dedup.near_duplicates(docs, percent=80, width=5).where("kept").select("doc_id").distinct()
-    one = docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
-    return one.dropDuplicates(["doc_id"])
+    return near_dedup.kept_rows(docs, percent=80, width=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,20 +20,22 @@ BLOCK = 1500
 
 
 def signatures(docs: DataFrame, width: int, keep: int) -> DataFrame:
-    """doc_id, n (shingles), digest (of the set; null if it is empty) and sketch (the ``keep`` smallest hashes)."""
+    """doc_id, row (if docs has it), n (shingles), digest (of the set; null if it is empty) and sketch (the ``keep`` smallest hashes)."""
+    own = ["doc_id", "row"] if "row" in docs.columns else ["doc_id"]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, digest, sketch = [], [], []
-            for _, data, at in chunks(batch.column(1)):
+            for _, data, at in chunks(batch.column(len(own))):
                 for s in shingles(Words(data, at), width):
                     n.append(len(s))
                     digest.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     sketch.append(s[:keep])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "sketch"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))], names=[*own, "n", "digest", "sketch"])
 
     bound_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(made, "doc_id long, n long, digest binary, sketch array<long>")
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *own[1:], "text")
+    return kept.mapInArrow(made, f"doc_id long, {'row binary, ' if own[1:] else ''}n long, digest binary, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -95,6 +97,31 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, k: int =
     Null and empty texts and texts of white space have no shingles, and are linked with nothing. Fewer than ``width``
     words are one shingle. Rows may repeat; a null doc_id is a smallest doc_id of no component that has another one.
     """
+    sig, home = _homes(docs.drop("row"), percent, width, k)
+    out = sig.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(home.drop("root"), "digest", "left")
+    out = out.withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def kept_rows(docs: DataFrame, percent: int = 80, width: int = 5, k: int = 40) -> DataFrame:
+    """One row of each component of ``near_duplicates``, and all rows without shingles, with all their columns.
+
+    Rows decide and not ids, so rows that share a doc_id, or have none, stay if they are no near copies. Of a component the row of
+    the smallest doc_id stays (null last), and of several such rows that of the smallest digest of all columns.
+    """
+    row = F.unhex(F.sha2(F.to_json(F.struct(*[F.col(c) for c in docs.columns]), {"ignoreNullFields": "false"}), 256))
+    worded = docs.where(F.col("text").rlike(r"[^ \t\n\x0b\x0c\r]"))
+    sig, home = _homes(worded.select("doc_id", "text", row.alias("row")), percent, width, k)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    kept = sig.select("doc_id", "row", "digest").join(home, "digest").groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.row").alias("__row"))
+    # Rows that are equal in all columns are one by now, before the join, however many they are.
+    one = worded.withColumn("__row", row).dropDuplicates(["__row"]).join(kept, "__row", "left_semi").select(*docs.columns)
+    blank = docs.where(~F.coalesce(F.col("text").rlike(r"[^ \t\n\x0b\x0c\r]"), F.lit(False)))
+    return one.union(blank)
+
+
+def _homes(docs: DataFrame, percent: int, width: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows; and digest, root and component_id of each class."""
     spark = docs.sparkSession
     scratch, least = Scratch(spark, "near"), k // 2
     sig = scratch.keep(signatures(docs, width, k))
@@ -152,10 +179,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, k: int =
 
     owner = classes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "first", F.coalesce("root", "digest").alias("root"))
     lowest = owner.groupBy("root").agg(F.min("first").alias("component_id"))
-    home = scratch.keep(owner.join(lowest, "root").select("digest", "component_id"))
-    out = sig.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(home, "digest", "left")
-    out = out.withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return sig, scratch.keep(owner.join(lowest, "root").select("digest", "root", "component_id"))
 
 
 def _alpha(percent: int, a: str, b: str) -> str:
