@@ -7,12 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Countries by the length of their IBANs.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: An IBAN ends where its country's does, whatever follows; one of another country where its run of groups does.
+_IBANS = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])" for n, c in IBAN_LENGTHS.items())
+#: Country codes of telephone numbers.
+CALLING = r"^(\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}))"
 #: Shapes of personal data; each begins and ends at the border of a longer run, so that a long text is read once.
 SHAPES = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "phone": r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![A-Za-z0-9+])\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){3,5}(?![0-9])",
-    "date": r"(?<![A-Za-z0-9.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![A-Za-z0-9]|-[0-9])|(?<![A-Za-z0-9./])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![A-Za-z0-9]|/[0-9])|(?<![A-Za-z0-9.])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![A-Za-z0-9]|\.[0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBANS}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))",
+    "phone": r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![A-Za-z0-9+])\+(?:[0-9][ .-]?){9,14}[0-9](?![0-9]|[.-][0-9])|(?<![A-Za-z0-9+.-])[2-9][0-9]{2}(?:-[2-9][0-9]{2}-|\.[2-9][0-9]{2}\.| [2-9][0-9]{2} )[0-9]{4}(?![A-Za-z0-9]|[.-][0-9])",
+    "date": r"(?<![A-Za-z0-9.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?!(?!T[0-9]{2})[A-Za-z0-9]|-[0-9])|(?<![A-Za-z0-9./])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![A-Za-z0-9]|/[0-9])|(?<![A-Za-z0-9.])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![A-Za-z0-9]|\.[0-9])",
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9]|-[0-9])",
     "ip": r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9]|\.[0-9])",
     "card": r"(?<![A-Za-z0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![A-Za-z0-9])",
@@ -142,7 +152,7 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     local = F.substring_index(m, "@", 1)
     at = F.instr(m, "@")
     domain = F.substring(m, at, F.length(m))
-    country = F.regexp_extract(m, r"^(\+[0-9]{1,3})(?=[ (.-])", 1)
+    country = F.when(m.rlike(r"^\+[0-9]{4}"), F.regexp_extract(m, CALLING, 1)).otherwise(F.regexp_extract(m, r"^(\+[0-9]{1,3})(?=[ (.-])", 1))
     national = F.substring(m, F.length(country) + 1, F.length(m))
     body = F.substring(m, F.lit(1), F.length(m) - 1)
     octets = F.transform(F.split(m, r"\."), lambda o: o.cast("long"))
