@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of compressed files up to which a table is broadcast.
+SMALL = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,12 +41,39 @@ class Scratch:
         self.paths[len(self.paths)] = (out, path)
         return out
 
+    def _files(self, path: str):
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target, target.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def drop(self, *tables: DataFrame | None) -> None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
         for out, path in self.paths.values():
             if any(out is t for t in tables):
-                target = hadoop(path)
-                target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+                target, files = self._files(path)
+                files.delete(target, True)
+
+    def drop_all_but(self, *tables: DataFrame | None) -> None:
+        """Delete every table that the result does not read."""
+        self.drop(*[out for out, _ in self.paths.values() if not any(out is t for t in tables)])
+
+    def size(self, table: DataFrame) -> int:
+        """The bytes of a kept table's files."""
+        target, files = self._files(next(path for out, path in self.paths.values() if out is table))
+        return files.getContentSummary(target).getLength()
+
+    def hinted(self, table: DataFrame) -> DataFrame:
+        """A kept table for the small side of a join: broadcast while its files are below SMALL, else joined by a shuffle."""
+        return F.broadcast(table) if self.size(table) < SMALL else table.hint("merge")
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Names that no column has, whatever the case: the given ones, with underscores behind them where they are taken."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def bound_batches(spark: SparkSession) -> None:
