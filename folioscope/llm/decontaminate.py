@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import Scratch
+from folioscope.llm.shared import Scratch, fresh
+from folioscope.llm.wordset import WordSet
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What lies between words: ASCII but for letters and digits. The text keeps its case here.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Prefix tokens that one pass over the documents looks for.
-TOKENS_A_PASS = 50_000
 
 
 def words_of(text: Column) -> Column:
@@ -25,59 +24,60 @@ def lowered(text: Column) -> Column:
 
 
 def windows_of(benchmark: DataFrame, size: int) -> DataFrame:
-    """window (its words, joined by blanks), length, token, offset and items (of every item with the window).
-
-    token is the lowered prefix token of the window: in the order of rarity in the benchmark, its rarest word, which
-    any occurrence must hold; offset is its first place in the window. A shorter item is one window.
-    """
+    """window (its words, joined by blanks), w (its words), length and items (of every item with the window); a shorter item is one window."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(lowered(F.col("text"))).alias("w")).where("size(w) > 0 and item_id is not null")
     items = items.withColumn("at", F.explode(F.expr(f"sequence(0, greatest(size(w) - {size}, 0))")))
     made = items.select("item_id", F.expr(f"slice(w, at + 1, {size})").alias("w")).groupBy("w").agg(F.collect_set("item_id").alias("items"))
-    made = made.withColumn("window", F.array_join("w", " "))
-    each = made.select("window", F.posexplode(F.transform("w", F.lower)).alias("offset", "token"))
-    often = each.groupBy("token").agg(F.count("*").alias("n"))
+    return made.select(F.array_join("w", " ").alias("window"), "w", F.size("w").alias("length"), "items")
+
+
+def frequencies(docs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """token and n: how often each of ``tokens`` (token) occurs in all texts of ``docs``, in lower case."""
+    among = WordSet(tokens, "token")
+    said = F.filter(F.transform(words_of(F.col("text")), F.lower), among.may_have)
+    counts = docs.select(F.explode(said).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return tokens.join(counts, "token", "left").select("token", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+def with_prefixes(windows: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """window, length, items, token and offset: the prefix token of a window is its rarest word in ``docs``, offset its first place.
+
+    Any occurrence of a window holds all of its words, so one token of each window is enough of a prefix.
+    """
+    each = scratch.keep(windows.select("window", F.posexplode(F.transform("w", F.lower)).alias("offset", "token")))
+    often = frequencies(docs, each.select("token").distinct())
     rarest = Window.partitionBy("window").orderBy("n", F.desc(F.length("token")), "token", "offset")
     first = each.join(often, "token").withColumn("r", F.row_number().over(rarest)).where("r = 1").select("window", "token", "offset")
-    return made.join(first, "window").select("window", F.size("w").alias("length"), "token", "offset", "items")
-
+    return windows.drop("w").join(first, "window")
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """The columns of ``docs``, n_words, and for each occurrence of a window start (of its first word), length and items.
 
-    A document without occurrences is one row with nulls. ``row`` numbers the rows of docs.
+def occurrences(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, key: str, size: int = 10) -> DataFrame:
+    """``key``, start (of the first word), length and items for the occurrences of windows in ``docs`` (key, text); those of equal keys are one.
 
-    Documents are read once for every TOKENS_A_PASS prefix tokens (once, for a benchmark of usual size): a position whose word is a prefix
-    token keeps the words around it, as far as a window reaches; these meet the windows by token, must have room for the
-    window at that offset (the positional bound), and must be equal word for word. Rare tokens leave few such positions.
+    Documents are read twice, whatever the size of the benchmark: once for the frequencies of its words, and once for the
+    positions whose word is a prefix token. Such a position keeps the words around it, as far as a window reaches; these meet the
+    windows by token, must have room for the window at that offset (the positional and length bounds), and must be equal
+    word for word. Rare tokens leave few such positions, and a token that is frequent in the windows is split by their offsets.
     """
-    scratch = Scratch(docs.sparkSession, "windows")
     windows = scratch.keep(windows_of(benchmark, size))
-    tokens = [r[0] for r in windows.select("token").distinct().orderBy("token").limit(TOKENS_A_PASS).collect()]
-    passes = [tokens]
-    while len(passes[-1]) == TOKENS_A_PASS:
-        last = passes[-1][-1]
-        passes.append([r[0] for r in windows.select("token").distinct().where(F.col("token") > last).orderBy("token").limit(TOKENS_A_PASS).collect()])
-    rows = docs.withColumn("row", F.monotonically_increasing_id()).withColumn("w", words_of(F.col("text"))).withColumn("n_words", F.size("w"))
-    keep = [*docs.columns, "row", "n_words"]
-    found = None
-    for number, some in enumerate(passes):
-        isin = (lambda w: F.lower(w).isin(some)) if some else (lambda w: F.lit(False))
-        at = F.filter(F.transform("w", lambda w, i: F.when(isin(w), i)), lambda i: i.isNotNull())
-        near = F.transform(at, lambda i: F.struct(i.alias("i"), F.greatest(i - (size - 1), F.lit(0)).alias("from")))
-        near = F.transform(near, lambda x: F.struct(x["i"].alias("i"), x["from"].alias("from"), F.slice("w", x["from"] + 1, x["i"] - x["from"] + size).alias("near")))
-        if number == 0:  # this pass keeps the documents without any occurrence as well
-            met = rows.select(*keep, F.explode_outer(near).alias("x"))
-        else:
-            met = rows.select(*keep, F.explode(near).alias("x"))
-        met = met.withColumn("token", F.lower(F.element_at("x.near", F.col("x.i") - F.col("x.from") + 1)))
-        fits = (F.col("x.i") >= F.col("offset")) & (F.col("x.i") - F.col("offset") + F.col("length") <= F.col("n_words"))
-        same = lowered(F.array_join(F.slice("x.near", F.col("x.i") - F.col("offset") - F.col("x.from") + 1, F.greatest("length", F.lit(1))), " ")) == F.col("window")
-        w = windows.withColumnRenamed("token", "key")
-        met = met.join(w, F.col("token") == F.col("key"), "left")
-        real = F.when(fits, same)
-        met = met.select(*keep, *[F.when(real, v).alias(c) for c, v in (("start", F.col("x.i") - F.col("offset")), ("length", F.col("length")), ("items", F.col("items")))])
-        found = met if found is None else found.union(met.where("start is not null"))
-    return found
+    windows = scratch.keep(with_prefixes(windows, docs, scratch))
+    tokens = WordSet(windows.select("token").distinct(), "token")
+    rows = docs.select(key, words_of(F.col("text")).alias("w"))
+    at = F.filter(F.transform("w", lambda w, i: F.when(tokens.may_have(F.lower(w)), i)), lambda i: i.isNotNull())
+    near = F.transform(at, lambda i: F.struct(i.alias("i"), F.greatest(i - (size - 1), F.lit(0)).alias("from")))
+    near = F.transform(near, lambda x: F.struct(x["i"].alias("i"), x["from"].alias("from"), F.slice("w", x["from"] + 1, x["i"] - x["from"] + size).alias("near"), F.size("w").alias("n")))
+    met = rows.select(key, F.explode(near).alias("x")).select(key, "x.*").withColumn("token", F.lower(F.element_at("near", F.col("i") - F.col("from") + 1)))
+    fits = (F.col("i") >= F.col("offset")) & (F.col("i") - F.col("offset") + F.col("length") <= F.col("n"))
+    same = lowered(F.array_join(F.slice("near", F.col("i") - F.col("offset") - F.col("from") + 1, F.greatest("length", F.lit(1))), " ")) == F.col("window")
+    found = met.join(scratch.hinted(windows), "token").where(F.when(fits, same))
+    return found.select(key, (F.col("i") - F.col("offset")).alias("start"), "length", "items")
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, key: str, size: int) -> DataFrame:
+    """``key``, n_hit and items of the texts with any occurrence, written once."""
+    found = occurrences(docs, benchmark, scratch, key, size)
+    spans = F.flatten(F.transform(F.collect_set(F.struct("start", "length")), lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))
+    return scratch.keep(found.groupBy(key).agg(F.size(F.array_distinct(spans)).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
@@ -86,17 +86,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     Words are runs of letters and digits with A-Z lowered, where all characters beyond ASCII are letters. n_hit counts words inside any
     occurrence of ``size`` words running in an item of ``benchmark`` (item_id, text), or of a whole shorter item. n_items
     counts these items, items_sha256 is of their ids, sorted as strings and joined by commas. Null and empty texts have no words
-    and no hits; items without words or without an id have no part; repeated rows and items are each treated alike.
+    and no hits; items without words or without an id have no part; repeated rows and items are each treated alike, and empty tables
+    give no rows or no hits. Long texts are split into words once for each of two readings, and their neighbourhoods leave one by one.
+
+    Texts are compared under their SHA-256, so the hits of equal texts are found together and need no row number; all rows then
+    look theirs up in a table of hits, which is broadcast while it is small.
     """
+    scratch = Scratch(docs.sparkSession, "windows")
     one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = occurrences(one, benchmark, size).drop("text").where("true")
-    spans = F.collect_list(F.when(F.col("start").isNotNull(), F.expr("sequence(start, start + length - 1)")))
-    rows = found.groupBy("row", "doc_id", "n_words").agg(F.size(F.array_distinct(F.flatten(spans))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    return rows.select("doc_id", F.col("n_words").cast("long").alias("n_words"), "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    digest = F.unhex(F.sha2("text", 256))
+    hits = _hits(one.select(digest.alias("digest"), "text"), benchmark, scratch, "digest", size)
+    scratch.drop_all_but(hits)
+    rows = one.select("doc_id", digest.alias("digest"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    n_hit, items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
+    out = rows.join(scratch.hinted(hits), "digest", "left")
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """The rows of ``docs`` (text, further columns) without any occurrence; all columns stay."""
-    keys = docs.select(F.sha2(F.col("text"), 256).alias("__key"), "text")
-    dirty = occurrences(keys, benchmark, size).where("start is not null").select("__key").distinct()
-    return docs.withColumn("__key", F.sha2(F.col("text"), 256)).join(dirty, "__key", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` (text, further columns) without any occurrence; all columns stay, and so do null texts and repeated rows."""
+    scratch, (key,) = Scratch(docs.sparkSession, "windows"), fresh(docs.columns, "digest")
+    digest = F.unhex(F.sha2("text", 256))
+    hits = _hits(docs.select(digest.alias("digest"), "text"), benchmark, scratch, "digest", size)
+    scratch.drop_all_but(hits)
+    dirty = scratch.hinted(hits).select(F.col("digest").alias(key))
+    return docs.withColumn(key, digest).join(dirty, key, "left_anti").select(*docs.columns)

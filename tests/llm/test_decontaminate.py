@@ -2,9 +2,10 @@ import hashlib
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate
+from folioscope.llm import decontaminate, wordset
 from tests.llm.conftest import frame
 
 
@@ -46,18 +47,37 @@ def test_equals_brute_force(spark):
     assert got == brute(texts, items) and sum(r[5] for r in got) > 10
 
 
-def test_several_passes_find_the_same(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "TOKENS_A_PASS", 3)
+@pytest.mark.parametrize("slots", [1, 7])
+def test_a_full_filter_finds_the_same(spark, monkeypatch, slots):
+    monkeypatch.setattr(wordset, "SLOTS", slots)
     texts, items = fixture()
     bench = spark.createDataFrame(items, "item_id long, text string")
-    assert sorted(tuple(r) for r in decontaminate.contamination(frame(spark, texts), bench).collect()) == brute(texts, items)
+    docs = frame(spark, texts).repartition(5)
+    assert sorted(tuple(r) for r in decontaminate.contamination(docs, bench).collect()) == brute(texts, items)
+
+
+def test_a_benchmark_of_many_words(spark):
+    """More distinct prefix tokens than fit into a plan as constants, over rows without a fixed order."""
+    bench = spark.range(9_000).select(F.col("id").alias("item_id"), F.expr("array_join(transform(sequence(0, 11), i -> concat('t', id * 12 + i)), ' ')").alias("text"))
+    texts = [f"a b {' '.join(f't{j}' for j in range(12 * k + 1, 12 * k + 12))} c" for k in range(0, 9000, 100)] + ["t1 t2 t3"] * 5
+    got = decontaminate.contamination(frame(spark, texts).repartition(7), bench).toPandas().sort_values("doc_id")
+    assert got.n_hit.tolist() == [11] * 90 + [0] * 5 and got.n_items.tolist() == [1] * 90 + [0] * 5
+
+
+def test_the_rarest_word_of_the_corpus_is_the_prefix(spark):
+    from folioscope.llm.shared import Scratch
+
+    bench = spark.createDataFrame([(1, "rare common odd")], "item_id long, text string")
+    docs = frame(spark, ["rare rare rare", "Common", "odd odd"])
+    got = decontaminate.with_prefixes(decontaminate.windows_of(bench, 10), docs, Scratch(spark, "t")).first()
+    assert (got.token, got.offset) == ("common", 1)
 
 
 def test_clean_rows_keep_all_columns(spark, empty_docs):
     texts, items = fixture()
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = frame(spark, texts)
-    kept = decontaminate.clean_rows(docs.union(docs), bench)
+    kept = decontaminate.clean_rows(docs.union(docs).withColumnRenamed("source", "digest"), bench).withColumnRenamed("digest", "source")
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted([r[0] for r in brute(texts, items) if not r[5]] * 2)
     assert decontaminate.contamination(empty_docs, bench).count() == 0
