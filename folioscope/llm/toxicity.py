@@ -8,13 +8,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import bound_batches
+from folioscope.llm.shared import Scratch, bound_batches
 from folioscope.llm.words import ALNUM, Words, chunks
 
 #: Features: word hashes modulo so many.
 FEATURES = 1 << 18
-#: The documented bounds of the training sample: rows, and features kept of a row.
+#: The documented bounds of the training sample: one text each of so many confirmed and so many unlabelled ids.
 MOST_POSITIVE, MOST_UNLABELLED = 4000, 8000
+#: The class prior is taken to lie in this range, as a fit needs one that is neither 0 nor most of the rows.
+PRIORS = 0.001, 0.5
 
 
 def fold(doc_id: str = "doc_id") -> Column:
@@ -38,18 +40,19 @@ class NonNegativePu:
 
     with the logistic loss; where the second part is below zero its gradient is followed backwards, so that a flexible
     model can't win by calling every confirmed example positive. A feature counts by the log ratio of its smoothed shares among
-    confirmed and unlabelled rows, which holds back what is about as frequent in both, and features of fewer than
-    ``rarest`` rows have no part. Adam over whole batches from zero: no randomness.
+    confirmed rows and in the mixture, by the prior, of these with all other rows (``others``: counts of rows with a feature, and of
+    rows), which holds back what is about as frequent in both, and features of fewer than ``rarest`` rows have no part. Adam over whole batches from zero: no randomness.
     """
 
-    def __init__(self, prior: float, steps: int = 200, rate: float = 0.05, decay: float = 1e-3, rarest: int = 5):
+    def __init__(self, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3, rarest: int = 5):
         self.prior, self.steps, self.rate, self.decay, self.rarest = prior, steps, rate, decay, rarest
 
-    def fit(self, positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> NonNegativePu:
+    def fit(self, positive: list[np.ndarray], unlabelled: list[np.ndarray], others: tuple[np.ndarray, int]) -> NonNegativePu:
         none, n_p, n_u, pi = np.zeros(0, np.int64), max(1, len(positive)), max(1, len(unlabelled)), self.prior
-        in_p, in_u = (np.bincount(np.concatenate([*rows, none]), minlength=FEATURES) for rows in (positive, unlabelled))
-        ratio = np.log((in_p + 1) / (n_p + 2)) - np.log((in_u + 1) / (n_u + 2))
-        ratio[in_p + in_u < self.rarest] = 0
+        in_p = np.bincount(np.concatenate([*positive, none]), minlength=FEATURES)
+        share = (in_p + 1) / (len(positive) + 2)
+        ratio = np.log(share) - np.log(pi * share + (1 - pi) * (others[0] + 1) / (others[1] + 2))
+        ratio[in_p + others[0] < self.rarest] = 0
         rows = [f[ratio[f] != 0] for f in (*positive, *unlabelled)]
         sizes = np.array([len(r) for r in rows], dtype=np.int64)
         used, at = np.unique(np.concatenate([*rows, none]), return_inverse=True)
@@ -72,39 +75,68 @@ class NonNegativePu:
         return self
 
 
-def _sample(docs: DataFrame, ids: DataFrame, bound: int) -> list[np.ndarray]:
-    """Features of the documents of at most ``bound`` ids; the ids are broadcast, as their number is bounded."""
-    texts = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text").limit(2 * bound)
+def _sample(docs: DataFrame, ids: DataFrame) -> list[np.ndarray]:
+    """Features of one text for each of the ids (of several under one id the one with the smallest digest); the ids are broadcast, as their number is bounded."""
+    own = docs.where("text is not null").join(F.broadcast(ids), "doc_id", "left_semi")
+    texts = own.groupBy("doc_id").agg(F.min_by("text", F.sha2("text", 256)).alias("text")).orderBy("doc_id")
 
     def made(batches):
         for batch in batches:
             rows = list(row_features(batch.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int64()))], names=["f"])
 
-    got = texts.mapInArrow(made, "f array<long>").toArrow()["f"]
-    return [np.asarray(x.values) for x in got if x.is_valid]
+    return [np.asarray(x.values) for x in texts.select("text").mapInArrow(made, "f array<long>").toArrow()["f"]]
 
 
-def train(docs: DataFrame, labels: DataFrame) -> NonNegativePu:
+def _others(docs: DataFrame, confirmed: DataFrame) -> tuple[np.ndarray, int]:
+    """Counts of the rows with each feature, and of rows, among all rows outside the held-out fold that are not confirmed.
+
+    Each partition adds up its rows, so what reaches the driver are FEATURES numbers at most. The confirmed ids meet the
+    documents without their texts' being moved while they are few, and by a shuffle beyond that.
+    """
+    rows = docs.where(F.col("doc_id").isNotNull() & (fold() != 0)).join(confirmed, "doc_id", "left_anti").select("text")
+
+    def counted(batches):
+        sums, n = np.zeros(FEATURES, np.int64), 0
+        for batch in batches:
+            rows = list(row_features(batch.column(0)))
+            sums += np.bincount(np.concatenate([*rows, np.zeros(0, np.int64)]), minlength=FEATURES)
+            n += len(rows)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(sums[at], n))], names=["slot", "n"])
+
+    got = rows.mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    sums = np.zeros(FEATURES + 1)
+    sums[got["slot"].to_numpy()] = got["n"].to_numpy()
+    return sums[:FEATURES], int(sums[-1])
+
+
+def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> NonNegativePu:
     """A classifier from confirmed toxic rows and unlabelled text, of rows outside the held-out fold alone.
 
-    The class prior is the toxic share among the labelled rows there. The sample takes ids in the order of a hash of the id: at
-    most MOST_POSITIVE confirmed ones and MOST_UNLABELLED others, whose labels are not looked at.
+    The class prior is the toxic share among the labelled ids there, held within PRIORS. Which features count, and how much, comes from
+    the confirmed sample and all other rows; the weights are fitted on a sample of ids in the order of a hash of the id: at most
+    ``most_positive`` confirmed ones and ``most_unlabelled`` others, whose labels are not looked at. An id labelled both ways counts as toxic.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold() != 0)).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
-    total, toxic = known.agg(F.count("*"), F.sum((F.col("toxic") == 1).cast("long"))).first()
-    prior = min(0.5, max(0.001, (toxic or 0) / total)) if total else 0.1
+    scratch = Scratch(docs.sparkSession, "toxic")
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold() != 0)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    known = scratch.keep(known)
+    total, toxic = known.agg(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
+    prior = min(PRIORS[1], max(PRIORS[0], toxic / total)) if total else 0.1
     order = F.xxhash64("doc_id")
-    confirmed = known.where("toxic = 1").select("doc_id").distinct().orderBy(order).limit(MOST_POSITIVE)
-    others = docs.where(F.col("doc_id").isNotNull() & (fold() != 0)).select("doc_id").distinct().orderBy(order).limit(MOST_UNLABELLED)
-    return NonNegativePu(prior).fit(_sample(docs, confirmed, MOST_POSITIVE), _sample(docs, others, MOST_UNLABELLED))
+    confirmed = scratch.keep(known.where("toxic = 1").select("doc_id"))
+    sample = confirmed.orderBy(order, "doc_id").limit(most_positive)
+    others = docs.where(F.col("doc_id").isNotNull() & (fold() != 0)).select("doc_id").distinct().orderBy(order, "doc_id").limit(most_unlabelled)
+    model = NonNegativePu(prior).fit(_sample(docs, sample), _sample(docs, others), _others(docs, scratch.hinted(confirmed)))
+    scratch.drop_all_but()
+    return model
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs`` (doc_id, text; further columns are ignored).
 
-    score is the model's probability of the label 1 from the whole text's words alone; an empty or null text has that of no
-    words. Without labels the weights stay near zero and every score is that of the prior. Rows may repeat.
+    score is the model's probability of the label 1 from the whole text's words alone, so equal texts tie; an empty or null text has that of no
+    words. Without labels the weights stay near zero and every score is that of the prior. Rows may repeat; an empty table gives no rows.
     """
     spark = docs.sparkSession
     bound_batches(spark)

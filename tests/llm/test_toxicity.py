@@ -42,3 +42,24 @@ def test_odd_rows(spark, odd_docs, odd_texts, empty_docs):
     got = toxicity.score_documents(odd_docs.withColumn("score", F.lit("x")), none).collect()
     assert len(got) == len(odd_texts) and all(0 <= r.score <= 1 for r in got)
     assert toxicity.score_documents(empty_docs, none).count() == 0
+
+
+def test_a_repeated_confirmed_id_does_not_crowd_out_the_others(spark):
+    texts, toxic = corpus(400)
+    labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    docs, hot = frame(spark, texts), next(i for i, t in enumerate(toxic) if t and zlib.crc32(str(i).encode()) % 5)
+    more = spark.range(600).select(F.lit(hot).cast("long").alias("doc_id"), F.concat(F.lit("scum again "), F.col("id") % 7).alias("text"))
+    both = docs.select("doc_id", "text").union(more)
+    weights = [toxicity.train(d, labels).weights for d in (both, both.repartition(7).orderBy(F.desc("text")))]
+    assert (weights[0] == weights[1]).all()
+    got = toxicity.score_documents(both, labels).where(F.col("doc_id") != hot).toPandas()
+    assert toxicity.held_out_quality(got, labels.toPandas())["auc"] > 0.95
+
+
+def test_counts_over_all_other_rows(spark):
+    texts, toxic = corpus(60)
+    confirmed = spark.createDataFrame([(i,) for i, t in enumerate(toxic) if t], "doc_id long")
+    others, n = toxicity._others(frame(spark, texts).select("doc_id", "text"), confirmed)
+    trained = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 and not toxic[i]]
+    words = sum(len(set(texts[i].split())) for i in trained)
+    assert n == len(trained) and 0.99 * words < others.sum() <= words  # two words of a row may share a feature
