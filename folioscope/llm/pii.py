@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.shared import fresh
+
 #: Countries by the length of their IBANs.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
@@ -30,8 +32,8 @@ SHAPES = {
 ANY = "|".join(SHAPES.values())
 #: Rounds of the Feistel network.
 ROUNDS = 8
-#: Days of the 400 years over which the calendar repeats are 27 * 5411; blocks of 400 years begin in 1800.
-CYCLE, CYCLE_PARTS, FIRST_YEAR = 146097, (27, 5411), 1800
+#: A block of 400 years of the calendar has 27 * 5411 days; the first one begins with year 1 and has 93 * 1567.
+CYCLE_PARTS, FIRST_PARTS = (27, 5411), (93, 1567)
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -43,37 +45,42 @@ def feistel(values: Column, bases: Column, key: str, tweak: str) -> Column:
     """A keyed permutation of arrays of digits, where digit i is below bases[i]; the inverse adds the same numbers backwards.
 
     In each round one half moves, digit by digit modulo its base, by a hash of the other half: so it is one to one for any bases.
+    The other half is hashed once a round, so the work grows with the number of digits.
     """
-    half = F.floor(F.size(values) / 2).cast("int")
 
-    def moved(state: Column, r: Column) -> Column:
-        first = r % 2 == 0
-        other = F.when(first, F.slice(state, half + 1, F.size(state))).otherwise(F.slice(state, 1, half))
-        seed = F.concat_ws("|", F.lit(key), F.lit(tweak), r.cast("string"), F.array_join(other.cast("array<string>"), ","))
+    def permuted(start: Column) -> Column:
+        half = F.floor(F.size(start) / 2).cast("int")
+
+        def moved(state: Column, r: Column) -> Column:
+            first = r % 2 == 0
+            other = F.when(first, F.slice(state, half + 1, F.size(state))).otherwise(F.slice(state, 1, half))
+            seed = F.concat_ws("|", F.lit(key), F.lit(tweak), r.cast("string"), F.array_join(F.transform(other, lambda x: x["v"].cast("string")), ","))
+
+            def digits(both: Column) -> Column:
+                drawn = lambda i: F.conv(F.substring(F.sha2(F.concat_ws("|", both["seed"], i.cast("string")), 256), 1, 12), 16, 10).cast("long")
+                new = lambda x, i: F.when((i < both["half"]) == first, F.pmod(x["v"] + drawn(i), x["b"])).otherwise(x["v"])
+                return F.transform(both["state"], lambda x, i: F.struct(new(x, i).alias("v"), x["b"].alias("b")))
 
-        def digit(seed: Column) -> Column:
-            drawn = lambda i: F.conv(F.substring(F.sha2(F.concat_ws("|", seed, i.cast("string"), F.lit(key)), 256), 1, 12), 16, 10).cast("long")
-            return F.transform(state, lambda v, i: F.when((i < half) == first, F.pmod(v + drawn(i), F.get(bases, i))).otherwise(v).cast("long"))
+            return _let(F.struct(F.sha2(seed, 256).alias("seed"), half.alias("half"), state.alias("state")), digits)
 
-        return _let(seed, digit)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, moved, lambda s: F.transform(s, lambda x: x["v"]))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), values.cast("array<long>"), moved)
+    return _let(F.zip_with(values.cast("array<long>"), bases.cast("array<long>"), lambda v, b: F.struct(v.alias("v"), b.alias("b"))), permuted)
 
 
 def _characters(core: Column, key: str, tweak: str) -> Column:
     """Letters and digits of ASCII permuted, each within its kind and case; other characters stay where they are."""
     base = lambda c: F.when(c.between("0", "9"), F.lit(48)).when(c.between("a", "z"), F.lit(97)).otherwise(F.lit(65))
-    plain = F.split(F.regexp_replace(core, "[^A-Za-z0-9]", ""), "")
-    plain = F.filter(plain, lambda c: c != "")
-    values = F.transform(plain, lambda c: F.ascii(c) - base(c))
-    bases = F.transform(plain, lambda c: F.when(c.between("0", "9"), F.lit(10)).otherwise(F.lit(26)))
-    letters = F.filter(F.split(core, ""), lambda c: c != "")
+    plain = F.filter(F.split(F.regexp_replace(core, "[^A-Za-z0-9]", ""), ""), lambda c: c != "")
 
-    def rebuilt(new: Column) -> Column:
-        rank = lambda i: F.length(F.regexp_replace(F.substring(core, F.lit(1), i + 1), "[^A-Za-z0-9]", "")) - 1
-        return F.array_join(F.transform(letters, lambda c, i: F.when(c.rlike("^[A-Za-z0-9]$"), F.char(base(c) + F.get(new, rank(i)))).otherwise(c)), "")
+    def made(plain: Column) -> Column:
+        values = F.transform(plain, lambda c: F.ascii(c) - base(c))
+        new = feistel(values, F.transform(plain, lambda c: F.when(c.between("0", "9"), F.lit(10)).otherwise(F.lit(26))), key, tweak)
+        letters = F.zip_with(plain, new, lambda c, v: F.char(base(c) + v))
+        # What stands between two letters, and before the first and after the last, is one more string than there are letters.
+        return F.array_join(F.zip_with(F.split(core, "[A-Za-z0-9]", -1), letters, lambda gap, x: F.concat(gap, F.coalesce(x, F.lit("")))), "")
 
-    return _let(feistel(values, bases, key, tweak), rebuilt)
+    return _let(plain, made)
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -116,12 +123,16 @@ def _date(m: Column) -> Column:
 
 
 def _new_date(m: Column, key: str) -> Column:
-    year = _date_parts(m)[0]
-    block = F.floor((year - FIRST_YEAR) / 400).cast("int")
-    start = F.make_date(block * 400 + FIRST_YEAR, F.lit(1), F.lit(1))
+    block = F.floor(_date_parts(m)[0] / 400).cast("int")
+    start = F.make_date(F.greatest(block * 400, F.lit(1)), F.lit(1), F.lit(1))
     day = F.datediff(_date(m), start)
-    a, b = CYCLE_PARTS
-    new = feistel(F.array(F.floor(day / b).cast("long"), F.pmod(day, F.lit(b)).cast("long")), F.array(F.lit(a), F.lit(b)), key, "date")
+
+    def permuted(parts: tuple[int, int]) -> Column:
+        a, b = parts
+        new = feistel(F.array(F.floor(day / b), F.pmod(day, F.lit(b))), F.array(F.lit(a), F.lit(b)), key, "date")
+        return _let(new, lambda x: F.get(x, F.lit(0)) * b + F.get(x, F.lit(1))).cast("int")
+
+    moved = F.when(block == 0, permuted(FIRST_PARTS)).otherwise(permuted(CYCLE_PARTS))
 
     def written(d: Column) -> Column:
         n = [F.regexp_extract(m, r"^([0-9]+)[-/.]([0-9]+)[-/.]([0-9]+)$", i) for i in (1, 2, 3)]
@@ -131,7 +142,7 @@ def _new_date(m: Column, key: str) -> Column:
         other = F.concat(F.when(month_first, bare(month, n[0])).otherwise(bare(day, n[0])), sep, F.when(month_first, bare(day, n[1])).otherwise(bare(month, n[1])), sep, F.lpad(F.year(d).cast("string"), 4, "0"))
         return F.when(m.rlike("^[0-9]{4}-"), F.date_format(d, "yyyy-MM-dd")).otherwise(other)
 
-    return _let(F.date_add(start, _let(new, lambda x: F.get(x, F.lit(0)) * b + F.get(x, F.lit(1))).cast("int")), written)
+    return _let(F.date_add(start, moved), written)
 
 
 def kind_of(m: Column) -> Column:
@@ -185,17 +196,21 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     E-mail addresses (the part before the @), phone numbers (behind the country), payment cards (Luhn), IP addresses,
     US social security numbers, IBANs (modulo 97) and calendar dates are found by shape and checked; what fails its check stays
     as it is. Each valid one is permuted under ``key`` within its format, so a card stays a valid card, a date a date of the same
-    400 years, separators, case and length stay, and equal values get equal pseudonyms in all documents. Nothing is shuffled:
-    a row needs no other. A null text stays null with n_found 0; columns named n_found or kinds are replaced.
+    400 years (those that begin with a multiple of 400; the first with year 1), separators, case and length stay, and equal values get
+    equal pseudonyms in all documents. Nothing is shuffled: a row needs no other, so repeated rows repeat and ties have no meaning; an empty
+    table gives no rows. A null text stays null with n_found 0; columns named n_found or kinds are replaced, others stay whatever their
+    names. The work grows with the length of a text and of each value in it.
     """
+    kept = [c for c in docs.columns if c.lower() not in ("n_found", "kinds")]
+    hits_, found_, new_, text_ = fresh(docs.columns, "hits", "found", "new", "new_text")
     text = F.col("text")
     hits = F.when(text.rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
-    found = F.transform("__hits", lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
-    new = F.transform("__found", lambda x: F.when(x["kind"].isNull(), x["m"]).otherwise(pseudonym(x["m"], x["kind"], key)))
-    some = F.exists("__found", lambda x: x["kind"].isNotNull())
-    out = docs.drop("n_found", "kinds").withColumn("__hits", hits).withColumn("__found", F.when(F.size("__hits") > 0, found))
-    whole = F.array_join(F.transform(F.split(text, ANY, -1), lambda g, i: F.concat(g, F.coalesce(F.get("__new", i), F.lit("")))), "")
-    out = out.withColumn("__new", F.when(some, new)).withColumn("__text", F.when(F.col("__new").isNotNull(), whole).otherwise(text))
-    kinds = F.coalesce(F.filter(F.transform("__found", lambda x: x["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
-    keep = [F.col("__text").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_found", "kinds")]
+    found = F.transform(hits_, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
+    new = F.transform(found_, lambda x: F.when(x["kind"].isNull(), x["m"]).otherwise(pseudonym(x["m"], x["kind"], key)))
+    some = F.exists(found_, lambda x: x["kind"].isNotNull())
+    out = docs.select(*kept).withColumn(hits_, hits).withColumn(found_, F.when(F.size(hits_) > 0, found))
+    whole = F.array_join(F.zip_with(F.split(text, ANY, -1), new_, lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))), "")
+    out = out.withColumn(new_, F.when(some, new)).withColumn(text_, F.when(F.col(new_).isNotNull(), whole).otherwise(text))
+    kinds = F.coalesce(F.filter(F.transform(found_, lambda x: x["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
+    keep = [F.col(text_).alias("text") if c == "text" else F.col(c) for c in kept]
     return out.select(*keep, F.size(kinds).cast("long").alias("n_found"), F.array_join(kinds, ",").alias("kinds"))
