@@ -17,16 +17,14 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     both = scratch.keep(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     roots = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")))
     while True:
-        near = both.join(roots.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        hooked = roots.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
-        # Between roots: a root that found a smaller one passes it on to all that point at it.
-        up = hooked.groupBy(F.col("old").alias("mid")).agg(F.min("mid").alias("up"))
-        lifted = hooked.join(up, "mid", "left").select("node", "old", F.coalesce(F.least("mid", "up"), "mid").alias("root"))
-        after = scratch.keep(lifted)
-        changed = after.where("root <> old").limit(1).count()
-        scratch.drop(roots)
-        roots = after.select("node", "root") if not changed else scratch.keep(after.select("node", "root"))
-        if not changed:
+        near = both.join(scratch.hinted(roots).withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        hooked = scratch.keep(roots.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid")))
+        # Between roots: a root that found a smaller one passes it on to all that point at it. A written table, so a frequent root is a skewed side that Spark splits.
+        up = scratch.keep(hooked.groupBy(F.col("old").alias("mid")).agg(F.min("mid").alias("up")).where("up < mid"))
+        after = scratch.keep(hooked.join(scratch.hinted(up), "mid", "left").select("node", F.coalesce("up", "mid").alias("root")))
+        done = not up.limit(1).count()
+        scratch.drop(roots, hooked, up)
+        roots = after
+        if done:
             scratch.drop(both)
             return roots
-        scratch.drop(after)

@@ -55,10 +55,14 @@ def _jaccard(left: str, right: str, percent: int) -> Column:
     return F.expr(f"100L * {shared} >= {percent}L * (size({left}) + size({right}) - {shared})")
 
 
-def _stars(lists: DataFrame) -> DataFrame:
-    """Of each list, every class with the most typical one: the one whose retained values are the most frequent."""
-    pivot = lists.groupBy("v").agg(F.max(F.struct("typical", "digest", "n", "c")).alias("p"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-    return lists.join(pivot.where("lo <> hi"), "v").select(F.col("p.digest").alias("a"), F.col("digest").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"), F.col("p.c").alias("ca"), F.col("c").alias("cb"))
+def _stars(lists: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of each list, every class with the most typical one: the one whose retained values are the most frequent.
+
+    The lists' own rows join a written table of one row a list, so a long list is no more than a skewed side, which Spark splits.
+    """
+    pivot = lists.groupBy("v").agg(F.max(F.struct("typical", "id", "n", "c")).alias("p"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+    pivot = scratch.hinted(scratch.keep(pivot.select("v", "p")))
+    return lists.join(pivot, "v").select(F.col("p.id").alias("a"), F.col("id").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"), F.col("p.c").alias("ca"), F.col("c").alias("cb"))
 
 
 def _pairs(found: DataFrame, percent: int) -> DataFrame:
@@ -67,16 +71,19 @@ def _pairs(found: DataFrame, percent: int) -> DataFrame:
     return found.where(ok).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _links(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, k: int, least: int) -> DataFrame:
+def _links(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, k: int, least: int, scratch: Scratch) -> DataFrame:
     """Those pairs whose union sketch doesn't rule the similarity out and whose full sets have it."""
-    side = lambda t, c, x, y: t.select(F.col("digest").alias(c), F.col(x).alias(y))
+    side = lambda t, c, x, y: t.select(F.col("id").alias(c), F.col(x).alias(y))
     met = pairs.join(side(sketches, "a", "sketch", "sa"), "a").join(side(sketches, "b", "sketch", "sb"), "b")
     met = met.withColumn("u", F.expr(f"slice(array_sort(array_union(sa, sb)), 1, {k})")).withColumn("m", F.expr("size(array_intersect(array_intersect(u, sa), sb))"))
     # Where the sketches are whole sets, the estimate is the similarity itself.
     whole = F.expr(f"size(sa) < {k} and size(sb) < {k} and size(array_union(sa, sb)) < {k}")
-    met = met.where(F.when(whole, F.expr(f"100 * m >= {percent} * size(u)")).otherwise(F.expr(f"m >= {least}"))).select("a", "b")
+    met = scratch.keep(met.where(F.when(whole, F.expr(f"100 * m >= {percent} * size(u)")).otherwise(F.expr(f"m >= {least}"))).select("a", "b"))
+    # Sets that no pair names are not moved, while the names are few.
+    named = scratch.keep(met.select(F.col("a").alias("id")).union(met.select("b")).distinct())
+    sets = sets.join(scratch.hinted(named), "id", "left_semi")
     met = met.join(side(sets, "a", "items", "ia"), "a").join(side(sets, "b", "items", "ib"), "b")
-    return met.where(_jaccard("ia", "ib", percent)).select("a", "b")
+    return scratch.keep(met.where(_jaccard("ia", "ib", percent)).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, k: int = 40) -> DataFrame:
@@ -125,61 +132,69 @@ def _homes(docs: DataFrame, percent: int, width: int, k: int) -> tuple[DataFrame
     spark = docs.sparkSession
     scratch, least = Scratch(spark, "near"), k // 2
     sig = scratch.keep(signatures(docs, width, k))
-    classes = scratch.keep(sig.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    classes = sig.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = scratch.keep(classes.withColumn("id", F.monotonically_increasing_id()))
 
-    vals = classes.select("digest", F.explode("sketch").alias("v"))
-    counts = vals.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    shared = vals.join(counts, "v").groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"), F.sum("df").alias("typical"))
+    vals = classes.select("id", F.explode("sketch").alias("v"))
+    counts = scratch.keep(vals.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"))
+    shared = vals.join(scratch.hinted(counts), "v").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"), F.sum("df").alias("typical"))
     size, n = F.size("sketch"), F.col("n")
     short = f"size(sketch) - cast(ceil({percent} * size(sketch) / 100D) as int) + 1"
     prefix = F.when(n <= k * 2 // 5, F.expr(short)).otherwise(size - F.floor(size / 2) + 1).cast("int")
     # Values of one class alone come first in the order of rarity, and need no list.
-    room = (prefix - (size - F.size("vs"))).cast("int")
-    picked = classes.join(shared, "digest").withColumn("room", room).where("room > 0")
-    lists = scratch.keep(picked.select("digest", "n", "typical", F.explode(F.expr("slice(vs, 1, room)")).alias("x")).select("digest", "n", "typical", F.col("x.v").alias("v"), F.col("x.df").alias("df")))
-    by_list = lists.groupBy("v").agg(F.count("*").alias("m")).where("m > 1")
-    lists = scratch.keep(lists.join(by_list, "v").select("v", "digest", "n", "typical", "m"))
-
-    active = lists.select("digest").distinct().join(classes, "digest").select("digest", F.col("first").alias("doc_id"), "sketch")
+    needed = classes.select("id", "n", size.alias("size"), prefix.alias("prefix"))
+    picked = needed.join(shared, "id").withColumn("room", (F.col("prefix") - (F.col("size") - F.size("vs"))).cast("int")).where("room > 0")
+    lists = scratch.keep(picked.select("id", "n", "typical", F.explode(F.expr("slice(vs, 1, room)")).alias("x")).select("id", "n", "typical", F.col("x.v").alias("v")))
+    by_list = scratch.keep(lists.groupBy("v").agg(F.count("*").alias("m")).where("m > 1"))
+    lists = scratch.keep(lists.join(scratch.hinted(by_list), "v").select("v", "id", "n", "typical", "m"))
+    scratch.drop(counts, by_list)
+
+    active = lists.select("id").distinct().join(classes, "id").select("id", "digest", F.col("first").alias("doc_id"), "sketch")
     active = scratch.keep(active)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(active.select("doc_id"), "doc_id", "left_semi")
+    wanted = scratch.keep(active.select("doc_id").distinct())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(scratch.hinted(wanted), "doc_id", "left_semi")
     if classes.where("first is null").limit(1).count():
         texts = texts.union(docs.where("doc_id is null").select(F.col("doc_id").cast("long"), "text"))
-    sets = scratch.keep(full_sets(texts, width).join(active.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]))
-    confirm = lambda pairs: _links(pairs, active, sets, percent, k, least)
+    named = scratch.keep(active.select("digest", "id"))
+    sets = full_sets(texts, width).join(scratch.hinted(named), "digest").groupBy("id").agg(F.first("items").alias("items"))
+    sets = scratch.keep(sets)
+    confirm = lambda pairs: _links(pairs, active, sets, percent, k, least, scratch)
 
-    alone = lists.withColumn("c", F.col("digest"))
-    links = [scratch.keep(confirm(_pairs(_stars(alone), percent)))]
+    alone = lists.withColumn("c", F.col("id"))
+    links = [confirm(_pairs(_stars(alone, scratch), percent))]
     roots = components(links[0], scratch)
 
     def labelled(t: DataFrame) -> DataFrame:
-        return t.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("c", F.coalesce("root", "digest")).drop("root")
+        return t.join(scratch.hinted(roots).withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("root", "id")).drop("root")
 
     now = scratch.keep(labelled(lists))
-    mixed = now.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("v")
-    rest = scratch.keep(now.join(mixed, "v"))
+    mixed = scratch.keep(now.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("v"))
+    rest = scratch.keep(now.join(scratch.hinted(mixed), "v"))
+    scratch.drop(now)
     few = rest.where(F.col("m") <= SHORT_LIST)
-    left, right = (few.select(F.col("v").alias(f"v{s}"), F.col("digest").alias(s), F.col("n").alias(f"n{s}"), F.col("c").alias(f"c{s}")) for s in "ab")
+    left, right = (few.select(F.col("v").alias(f"v{s}"), F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("c").alias(f"c{s}")) for s in "ab")
     short_pairs = _pairs(left.join(right, (F.col("va") == F.col("vb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))), percent)
 
-    many = rest.where(F.col("m") > SHORT_LIST).groupBy("digest").agg(F.max("n").alias("n"), F.max("typical").alias("typical"), F.max("c").alias("c"))
+    many = rest.where(F.col("m") > SHORT_LIST).groupBy("id").agg(F.max("n").alias("n"), F.max("typical").alias("typical"), F.max("c").alias("c"))
     many = scratch.keep(many)
     deep = None
     if many.limit(1).count():
-        deep = scratch.keep(_deep_lists(many, sets, percent))
-        deep_pairs = _pairs(_stars(deep), percent)
-        links.append(scratch.keep(confirm(short_pairs.union(deep_pairs).distinct())))
+        deep = scratch.keep(_deep_lists(many, sets, percent, scratch))
+        deep_pairs = _pairs(_stars(deep, scratch), percent)
+        links.append(confirm(short_pairs.union(deep_pairs).distinct()))
     else:
-        links.append(scratch.keep(confirm(short_pairs)))
+        links.append(confirm(short_pairs))
     known = links[0].union(links[1])
     roots = components(known, scratch)
     if deep is not None:
-        links.append(scratch.keep(_block_links(labelled(deep.drop("c")), sets, percent)))
+        links.append(scratch.keep(_block_links(labelled(deep.drop("c")), sets, percent, scratch)))
         roots = components(known.union(links[2]), scratch)
 
-    owner = classes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "first", F.coalesce("root", "digest").alias("root"))
+    owner = classes.join(scratch.hinted(roots).withColumnRenamed("node", "id"), "id", "left").select("digest", "first", F.coalesce("root", "id").alias("root"))
     lowest = owner.groupBy("root").agg(F.min("first").alias("component_id"))
-    return sig, scratch.keep(owner.join(lowest, "root").select("digest", "root", "component_id"))
+    homes = scratch.keep(owner.join(lowest, "root").select("digest", "root", "component_id"))
+    scratch.drop_all_but(sig, homes)
+    return sig, homes
 
 
 def _alpha(percent: int, a: str, b: str) -> str:
@@ -187,29 +202,30 @@ def _alpha(percent: int, a: str, b: str) -> str:
     return f"cast(ceil({percent} * ({a} + {b}) / {100 + percent}D - 1e-9) as long)"
 
 
-def _deep_lists(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _deep_lists(many: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Lists by the rarest shingles of the full sets, with the place ``i`` of the shingle in the order of rarity."""
-    items = many.join(sets, "digest").select("digest", F.explode("items").alias("v"))
-    counts = items.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    shared = items.join(counts, "v").groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
-    base = many.join(shared, "digest").withColumn("lone", F.expr("n - size(vs)"))
+    items = many.join(sets, "id").select("id", F.explode("items").alias("v"))
+    counts = scratch.keep(items.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"))
+    shared = items.join(scratch.hinted(counts), "v").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    base = many.join(shared, "id").withColumn("lone", F.expr("n - size(vs)"))
     room = F.expr(f"cast(n - cast(ceil({percent} * n / 100D) as long) + 1 - lone as int)")
-    lists = base.withColumn("room", room).where("room > 0").select("digest", "n", "typical", "c", "lone", F.posexplode(F.expr("slice(vs, 1, room)")).alias("i", "x"))
-    lists = lists.select("digest", "n", "typical", "c", (F.col("i") + F.col("lone")).alias("i"), F.col("x.v").alias("v"))
-    smallest = lists.groupBy("v").agg(F.min("n").alias("least"), F.count("*").alias("m")).where("m > 1")
-    return lists.join(smallest.drop("m"), "v").where(f"n - i >= {_alpha(percent, 'n', 'least')}").drop("least")
+    lists = base.withColumn("room", room).where("room > 0").select("id", "n", "typical", "c", "lone", F.posexplode(F.expr("slice(vs, 1, room)")).alias("i", "x"))
+    lists = scratch.keep(lists.select("id", "n", "typical", "c", (F.col("i") + F.col("lone")).alias("i"), F.col("x.v").alias("v")))
+    smallest = scratch.keep(lists.groupBy("v").agg(F.min("n").alias("least"), F.count("*").alias("m")).where("m > 1").drop("m"))
+    return lists.join(scratch.hinted(smallest), "v").where(f"n - i >= {_alpha(percent, 'n', 'least')}").drop("least")
 
 
-def _block_links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _block_links(lists: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links between different components in the lists, block against block; the join's condition confirms them."""
-    sizes = lists.groupBy("v").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-    dealt = lists.join(sizes.select("v", "m"), "v").withColumn("of", F.expr(f"cast(ceil(m / {BLOCK}D) as int)"))
-    dealt = dealt.withColumn("own", F.expr("pmod(xxhash64(digest), of)")).join(sets, "digest")
+    lists = scratch.keep(lists)
+    sizes = scratch.keep(lists.groupBy("v").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("v", "m"))
+    dealt = lists.join(scratch.hinted(sizes), "v").withColumn("of", F.expr(f"cast(ceil(m / {BLOCK}D) as int)"))
+    dealt = dealt.withColumn("own", F.expr("pmod(xxhash64(id), of)")).join(sets, "id")
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, of - 1)")))
-    dealt = dealt.select("v", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "digest", "n", "i", "c", "items")
+    dealt = dealt.select("v", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "n", "i", "c", "items")
     left, right = (dealt.select([F.col(c).alias(f"{c}_{s}") for c in dealt.columns]) for s in "ab")
     same = (F.col("v_a") == F.col("v_b")) & (F.col("p_a") == F.col("p_b")) & (F.col("q_a") == F.col("q_b"))
-    met = (F.col("digest_a") < F.col("digest_b")) & (F.col("c_a") != F.col("c_b")) & ((F.col("p_a") == F.col("q_a")) | (F.col("own_a") != F.col("own_b")))
+    met = (F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & ((F.col("p_a") == F.col("q_a")) | (F.col("own_a") != F.col("own_b")))
     place = F.expr(f"least(n_a - i_a, n_b - i_b) >= {_alpha(percent, 'n_a', 'n_b')}")
     found = left.join(right, same & met & place & _jaccard("items_a", "items_b", percent))
-    return found.select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).distinct()
+    return found.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()

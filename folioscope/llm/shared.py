@@ -62,6 +62,8 @@ class Scratch:
 
     def hinted(self, table: DataFrame) -> DataFrame:
         """A kept table for the small side of a join: broadcast while its files are below SMALL, else joined by a shuffle."""
+        if not any(out is table for out, _ in self.paths.values()):
+            raise ValueError("only a kept table has a size")
         return F.broadcast(table) if self.size(table) < SMALL else table.hint("merge")
 
 
