@@ -19,34 +19,47 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.shared import bound_batches
 
-#: Pieces and pairs of tokens that a worker remembers; the oldest half is forgotten beyond that.
-REMEMBERED = 600_000
+#: Bytes of pieces and their encodings that a worker remembers, pairs of tokens, and what a piece takes besides its characters, about.
+REMEMBERED, PAIRS, ENTRY = 96 << 20, 600_000, 300
+#: Characters of text whose pieces are looked up together.
+TOGETHER = 1 << 20
 
 
-class Recent(dict):
-    """A dict that forgets its older half when it is full, and remembers again what is asked for."""
+class Pieces(dict):
+    """Encodings by piece: the decimal ids joined by commas, and the bytes that they stand for."""
 
     def __init__(self):
         super().__init__()
-        self.old: dict = {}
+        self.bytes = 0
 
-    def find(self, key):
-        found = self.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
-        return found
-
-    def put(self, key, value) -> None:
-        if len(self) >= REMEMBERED // 2:
-            self.old = dict(self)
+    def learn(self, bpe: ByteBpe, wanted: set[str]) -> None:
+        """Know all of ``wanted``. New pieces are encoded in the order of their bytes, so each goes on from the prefix that it shares with the one before."""
+        if self.bytes >= REMEMBERED:
             self.clear()
-        self[key] = value
+            self.bytes = 0
+        before, last = b"", []
+        for data, piece in sorted((x.encode(), x) for x in wanted - self.keys()):
+            token = bpe.ranks.get(data)
+            if token is not None:
+                ids = [token]
+            else:
+                same = next((i for i, (x, y) in enumerate(zip(before, data, strict=False)) if x != y), min(len(before), len(data)))
+                before, last = data, bpe.last_tokens(data, last[:same])
+                ids = bpe.walk(last)
+            self[piece] = made = ",".join(map(str, ids)), bpe.decode(ids)
+            self.bytes += ENTRY + 4 * len(piece) + len(made[0]) + len(made[1])
+
+
+def check_bytes(ranks: dict[bytes, int]) -> None:
+    if lacking := [b for b in range(256) if bytes([b]) not in ranks]:
+        raise ValueError(f"the vocabulary has no token for {len(lacking)} of the 256 bytes")
 
 
 class ByteBpe:
     """Encodes pieces by ranks: token bytes to id, where a smaller id merges first."""
 
     def __init__(self, ranks: dict[bytes, int]):
+        check_bytes(ranks)
         self.ranks, self.bytes_of = ranks, {i: b for b, i in ranks.items()}
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[int, bool] = {}
@@ -108,7 +121,7 @@ class ByteBpe:
                     end, left = left, first[1]
                 else:
                     end, right = right + 1, second[0]
-            if len(self.pairs) >= REMEMBERED:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             self.pairs[key] = known
         return known
@@ -204,7 +217,21 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
 
 
-_made: dict[str, tuple[ByteBpe, Recent]] = {}
+#: Of the vocabulary that this worker used last; it lives as long as the worker, which Spark reuses for task after task.
+_made: dict[str, tuple[ByteBpe, Pieces]] = {}
+
+
+def _together(texts: list[str | None]) -> Iterator[list[str]]:
+    """Runs of texts of about TOGETHER characters; a longer text is alone."""
+    some, size = [], 0
+    for text in texts:
+        if some and size + len(text or "") > TOGETHER:
+            yield some
+            some, size = [], 0
+        some.append(text or "")
+        size += len(text or "")
+    if some:
+        yield some
 
 
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False) -> DataFrame:
@@ -212,40 +239,38 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, wit
 
     Each match of ``pattern`` is encoded by itself; special tokens have no part. ids_sha256 is of the decimal ids joined
     by commas, decoded_sha256 of the bytes that the ids stand for. A null text counts as an empty one, which has no
-    tokens. A row never waits for another, so order, repeated rows and long texts change nothing; no shuffle is needed.
+    tokens. A row never waits for another, so order, ties, repeated rows and long texts change nothing, further columns are
+    ignored, an empty table gives no rows, and no shuffle is needed. A vocabulary without all 256 bytes is an error.
     """
+    check_bytes(ranks)
     spark = docs.sparkSession
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(ranks)  # a vocabulary: its size does not depend on the documents
-    key = sha256(repr((len(ranks), sorted(ranks.values())[-1:], pattern)).encode()).hexdigest()
+    digest = sha256(repr(pattern).encode())
+    for token, rank in sorted(ranks.items()):
+        digest.update(b"%d %d " % (rank, len(token)) + token)
+    key = digest.hexdigest()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _made:
             _made.clear()
-            _made[key] = ByteBpe(shared.value), Recent()
+            _made[key] = ByteBpe(shared.value), Pieces()
         bpe, pieces = _made[key]
-        split, new = regex.compile(pattern).findall, pieces.get
-
-        def piece(x: str) -> tuple[str, bytes]:
-            if (known := pieces.find(x)) is not None:
-                return known
-            ids = bpe.encode(x.encode())
-            made = ",".join(map(str, ids)), bpe.decode(ids)
-            if len(x) <= 64:
-                pieces.put(x, made)
-            return made
-
+        split, of = regex.compile(pattern).findall, pieces.__getitem__
         for batch in batches:
             n, sums, decoded_sums, all_ids, all_decoded = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                got = [new(x) or piece(x) for x in split(text or "")]
-                ids, decoded = ",".join(map(itemgetter(0), got)), b"".join(map(itemgetter(1), got))
-                n.append(ids.count(",") + 1 if ids else 0)
-                sums.append(sha256(ids.encode()).hexdigest())
-                decoded_sums.append(sha256(decoded).hexdigest())
-                if with_ids:
-                    all_ids.append([int(i) for i in ids.split(",")] if ids else [])
-                    all_decoded.append(decoded.decode())
+            for texts in _together(batch.column(1).to_pylist()):
+                cut = list(map(split, texts))
+                pieces.learn(bpe, set().union(*cut))
+                for found in cut:
+                    got = list(map(of, found))
+                    ids, decoded = ",".join(map(itemgetter(0), got)), b"".join(map(itemgetter(1), got))
+                    n.append(ids.count(",") + 1 if ids else 0)
+                    sums.append(sha256(ids.encode()).hexdigest())
+                    decoded_sums.append(sha256(decoded).hexdigest())
+                    if with_ids:
+                        all_ids.append([int(i) for i in ids.split(",")] if ids else [])
+                        all_decoded.append(decoded.decode())
             more = [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_decoded, pa.string())] if with_ids else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.string()), pa.array(decoded_sums, pa.string()), *more], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"][: len(more)]])
 

@@ -6,6 +6,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from folioscope.llm import bpe
 from tests.llm.conftest import frame
@@ -50,9 +51,12 @@ def test_prefixes_hold_every_encoding():
 
 
 @pytest.mark.parametrize("ids", [False, True])
-def test_documents(spark, odd_docs, odd_texts, empty_docs, ids):
+@pytest.mark.parametrize("together", [1, 1 << 20])
+def test_documents(spark, odd_docs, odd_texts, empty_docs, ids, together, monkeypatch):
+    monkeypatch.setattr(bpe, "TOGETHER", together)
     sha = lambda b: hashlib.sha256(b).hexdigest()
-    got = bpe.encode_documents(odd_docs, RANKS, public_tokenizers.PATTERN, with_ids=ids).orderBy("doc_id").collect()
+    clash = odd_docs.withColumn("n_tokens", F.lit("x")).withColumn("ids", F.lit(1))
+    got = bpe.encode_documents(clash, RANKS, public_tokenizers.PATTERN, with_ids=ids).orderBy("doc_id").collect()
     for r, t in zip(got, odd_texts, strict=True):
         want = REAL.encode_ordinary(t or "")
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(want), sha(",".join(map(str, want)).encode()), sha((t or "").encode()))
@@ -60,8 +64,32 @@ def test_documents(spark, odd_docs, odd_texts, empty_docs, ids):
     assert bpe.encode_documents(empty_docs, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
-def test_forgetting_changes_nothing(spark, monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 4)
-    small = bpe.ByteBpe(RANKS)
+def test_two_vocabularies_of_one_size(spark):
+    """Equal in size and in ids; only two tokens have changed places."""
+    a, b = (next(t for t in RANKS if t.strip() == w and t.startswith(b" ")) for w in (b"the", b"and"))
+    turned = RANKS | {a: RANKS[b], b: RANKS[a]}
+    docs = frame(spark, ["the and of the", "so and so"] * 4).coalesce(1)
+    for _ in range(2):
+        for ranks in (RANKS, turned):
+            real = tiktoken.Encoding("other", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            got = bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN, with_ids=True).orderBy("doc_id").collect()
+            assert [r.ids for r in got] == [real.encode_ordinary(t) for t in ["the and of the", "so and so"] * 4]
+
+
+def test_a_vocabulary_without_a_byte_is_an_error(spark, odd_docs):
+    with pytest.raises(ValueError, match="1 of the 256 bytes"):
+        bpe.encode_documents(odd_docs, {t: i for t, i in RANKS.items() if t != b"x"}, public_tokenizers.PATTERN)
+
+
+def test_forgetting_changes_nothing(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 4_000)
+    monkeypatch.setattr(bpe, "PAIRS", 4)
+    small, pieces = bpe.ByteBpe(RANKS), bpe.Pieces()
     text = "Ouwhea the of rend and threlyes ofthstthor nd of ouble edoution wh onharent. " * 3
     assert bpe.EditableEncoding(small, public_tokenizers.PATTERN, text).ids() == REAL.encode_ordinary(text)
+    rng = random.Random(4)
+    for _ in range(40):
+        words = {"".join(rng.choices("abehrté", k=rng.randint(1, 9))) for _ in range(30)}
+        pieces.learn(small, words)
+        assert all(pieces[w] == (",".join(map(str, REAL.encode_ordinary(w))), w.encode()) for w in words)
+        assert pieces.bytes < 4_000 + 30 * 400
