@@ -18,8 +18,9 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = secrets.train(secrets.labelled_findings(spark))
-    found = secrets.scan(_table(spark, sf_dir, "documents"), model)
+    dictionary = secrets.Dictionary(spark, secrets.vocabulary_words(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+    model = secrets.train(secrets.labelled_findings(spark), dictionary)
+    found = secrets.scan(_table(spark, sf_dir, "documents"), model, dictionary)
     return found.select("doc_id", "start", "length", F.sha2(F.col("candidate").cast("binary"), 256).alias("candidate_sha256"), "score", "secret")
 
 
