@@ -1,11 +1,10 @@
-import math
 import random
-from collections import Counter
 
 import numpy as np
 
 from folioscope.llm import lm_scoring
 from tests.llm.conftest import frame
+from tests.llm.test_lm_scoring import brute
 
 
 def test_more_words_than_slots_equal_real_strings(spark, monkeypatch):
@@ -18,19 +17,7 @@ def test_more_words_than_slots_equal_real_strings(spark, monkeypatch):
     docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
     good = {i for i in range(50) if i % 3 == 0}
     got = lm_scoring.score_documents(docs, spark.createDataFrame([(i,) for i in good], "doc_id long")).collect()
-    rows = [(i, t.split()) for i, t in zip(ids, texts, strict=True)]
-    counts = [[Counter(), Counter(), Counter()] for _ in range(2)]
-    for i, w in rows:
-        for m, (own, heads, pairs) in enumerate(counts):
-            if m or i in good:
-                own.update(w), heads.update([None, *w[:-1]]), pairs.update(zip([None, *w[:-1]], w, strict=True))
-    want = []
-    for i, w in rows:
-        losses = []
-        for own, heads, pairs in counts:
-            total = sum(own.values()) + 0.5 * 80_000
-            losses.append(sum(-math.log((pairs[a, b] + 200 * (own[b] + 0.5) / total) / (heads[a] + 200)) for a, b in zip([None, *w[:-1]], w, strict=True)) / len(w))
-        want.append((-1 if i is None else i, len(w), *losses))
+    want = [(-1 if r[0] is None else r[0], *r[1:]) for r in brute(list(zip(ids, texts, strict=True)), good, 80_000)]
     found = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in got)
     assert np.allclose(found, sorted(want), rtol=1e-9)
 
