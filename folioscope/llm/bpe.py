@@ -20,34 +20,32 @@ from pyspark.sql import functions as F
 from folioscope.llm.shared import bound_batches
 
 #: Bytes of pieces and their encodings that a worker remembers, pairs of tokens, and what a piece takes besides its characters, about.
-REMEMBERED, PAIRS, ENTRY = 96 << 20, 600_000, 300
-#: Characters of text whose pieces are looked up together.
-TOGETHER = 1 << 20
+REMEMBERED, PAIRS, ENTRY = 224 << 20, 600_000, 300
 
 
 class Pieces(dict):
-    """Encodings by piece: the decimal ids joined by commas, and the bytes that they stand for."""
+    """Encodings by piece: the decimal ids joined by commas, and the bytes that they stand for.
 
-    def __init__(self):
+    Forgets its older half when it is full, and remembers again what is asked for.
+    """
+
+    def __init__(self, bpe: ByteBpe):
         super().__init__()
-        self.bytes = 0
-
-    def learn(self, bpe: ByteBpe, wanted: set[str]) -> None:
-        """Know all of ``wanted``. New pieces are encoded in the order of their bytes, so each goes on from the prefix that it shares with the one before."""
-        if self.bytes >= REMEMBERED:
-            self.clear()
-            self.bytes = 0
-        before, last = b"", []
-        for data, piece in sorted((x.encode(), x) for x in wanted - self.keys()):
-            token = bpe.ranks.get(data)
-            if token is not None:
-                ids = [token]
-            else:
-                same = next((i for i, (x, y) in enumerate(zip(before, data, strict=False)) if x != y), min(len(before), len(data)))
-                before, last = data, bpe.last_tokens(data, last[:same])
-                ids = bpe.walk(last)
-            self[piece] = made = ",".join(map(str, ids)), bpe.decode(ids)
-            self.bytes += ENTRY + 4 * len(piece) + len(made[0]) + len(made[1])
+        self.bpe, self.old, self.bytes = bpe, {}, 0
+
+    def __missing__(self, piece: str) -> tuple[str, bytes]:
+        made = self.old.get(piece)
+        if made is None:
+            ids = self.bpe.encode(piece.encode())
+            made = ",".join(map(str, ids)), self.bpe.decode(ids)
+        size = ENTRY + 4 * len(piece) + len(made[0]) + len(made[1])
+        if size < REMEMBERED // 100:
+            if self.bytes >= REMEMBERED // 2:
+                self.old, self.bytes = dict(self), 0
+                self.clear()
+            self[piece] = made
+            self.bytes += size
+        return made
 
 
 def check_bytes(ranks: dict[bytes, int]) -> None:
@@ -58,11 +56,14 @@ def check_bytes(ranks: dict[bytes, int]) -> None:
 class ByteBpe:
     """Encodes pieces by ranks: token bytes to id, where a smaller id merges first."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], loose: frozenset[int] | None = None):
         check_bytes(ranks)
         self.ranks, self.bytes_of = ranks, {i: b for b, i in ranks.items()}
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[int, bool] = {}
+        #: Tokens that are not the encoding of their own bytes, and so are in none.
+        self.loose = frozenset(i for i in ranks.values() if not self.stands(i)) if loose is None else loose
+        self.standing = {b: i for b, i in ranks.items() if i not in self.loose} if self.loose else ranks
         # By its last three bytes, the lengths of the tokens that can end there, the longest first.
         lengths: dict[bytes, set[int]] = {}
         for b in ranks:
@@ -129,23 +130,22 @@ class ByteBpe:
     def last_tokens(self, piece: bytes, last: list[int] | None = None) -> list[int]:
         """last[i]: the last token of the encoding of the first i + 1 bytes; goes on where ``last`` ends."""
         last = last if last is not None else []
-        rank_of, lengths_of, pairs, follows = self.ranks.get, self.lengths, self.pairs.get, self.follows
+        rank_of, lengths_of, pairs, follows, found = self.standing.get, self.lengths.get, self.pairs.get, self.follows, last.append
         for end in range(len(last) + 1, len(piece) + 1):
-            for n in lengths_of.get(piece[end - 3 if end > 3 else 0 : end], (2, 1)):
-                begin = end - n
-                if begin < 0:
+            for n in lengths_of(piece[end - 3 if end > 3 else 0 : end], (2, 1)):
+                if n > end:
                     continue
+                begin = end - n
                 token = rank_of(piece[begin:end])
                 if token is None:
                     continue
-                if begin:
-                    before = last[begin - 1]
-                    known = pairs(before << 32 | token)
-                    if known or (known is None and self.stands(token) and follows(before, token)):
-                        last.append(token)
-                        break
-                elif self.stands(token):
-                    last.append(token)
+                if not begin:
+                    found(token)
+                    break
+                before = last[begin - 1]
+                known = pairs(before << 32 | token)
+                if known or (known is None and follows(before, token)):
+                    found(token)
                     break
         return last
 
@@ -218,20 +218,7 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
 
 
 #: Of the vocabulary that this worker used last; it lives as long as the worker, which Spark reuses for task after task.
-_made: dict[str, tuple[ByteBpe, Pieces]] = {}
-
-
-def _together(texts: list[str | None]) -> Iterator[list[str]]:
-    """Runs of texts of about TOGETHER characters; a longer text is alone."""
-    some, size = [], 0
-    for text in texts:
-        if some and size + len(text or "") > TOGETHER:
-            yield some
-            some, size = [], 0
-        some.append(text or "")
-        size += len(text or "")
-    if some:
-        yield some
+_made: dict[str, Pieces] = {}
 
 
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False) -> DataFrame:
@@ -245,7 +232,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, wit
     check_bytes(ranks)
     spark = docs.sparkSession
     bound_batches(spark)
-    shared = spark.sparkContext.broadcast(ranks)  # a vocabulary: its size does not depend on the documents
+    shared = spark.sparkContext.broadcast((ranks, ByteBpe(ranks).loose))  # a vocabulary: its size does not depend on the documents
     digest = sha256(repr(pattern).encode())
     for token, rank in sorted(ranks.items()):
         digest.update(b"%d %d " % (rank, len(token)) + token)
@@ -254,23 +241,19 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, wit
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _made:
             _made.clear()
-            _made[key] = ByteBpe(shared.value), Pieces()
-        bpe, pieces = _made[key]
-        split, of = regex.compile(pattern).findall, pieces.__getitem__
+            _made[key] = Pieces(ByteBpe(*shared.value))
+        split, of = regex.compile(pattern).findall, _made[key].__getitem__
         for batch in batches:
             n, sums, decoded_sums, all_ids, all_decoded = [], [], [], [], []
-            for texts in _together(batch.column(1).to_pylist()):
-                cut = list(map(split, texts))
-                pieces.learn(bpe, set().union(*cut))
-                for found in cut:
-                    got = list(map(of, found))
-                    ids, decoded = ",".join(map(itemgetter(0), got)), b"".join(map(itemgetter(1), got))
-                    n.append(ids.count(",") + 1 if ids else 0)
-                    sums.append(sha256(ids.encode()).hexdigest())
-                    decoded_sums.append(sha256(decoded).hexdigest())
-                    if with_ids:
-                        all_ids.append([int(i) for i in ids.split(",")] if ids else [])
-                        all_decoded.append(decoded.decode())
+            for text in batch.column(1).to_pylist():
+                got = list(map(of, split(text or "")))
+                ids, decoded = ",".join(map(itemgetter(0), got)), b"".join(map(itemgetter(1), got))
+                n.append(ids.count(",") + 1 if ids else 0)
+                sums.append(sha256(ids.encode()).hexdigest())
+                decoded_sums.append(sha256(decoded).hexdigest())
+                if with_ids:
+                    all_ids.append([int(i) for i in ids.split(",")] if ids else [])
+                    all_decoded.append(decoded.decode())
             more = [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_decoded, pa.string())] if with_ids else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.string()), pa.array(decoded_sums, pa.string()), *more], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"][: len(more)]])
 
