@@ -43,6 +43,13 @@ def test_appends_and_reuse():
     assert made.ids() == REAL.encode_ordinary(text[:1000] + "zzz" + text[1003:]) and made.reused > 0.9 * len(made.spans)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("aehinrst é漢", min_size=1, max_size=30))
+def test_filling_from_the_end_equals_all_prefixes(text):
+    piece = text.encode()
+    assert OWN.encode(piece) == ([RANKS[piece]] if piece in RANKS else OWN.walk(OWN.last_tokens(piece))) == REAL._encode_single_piece(piece)
+
+
 def test_prefixes_hold_every_encoding():
     piece = b"counterrevolutionaries"
     last = OWN.last_tokens(piece)
