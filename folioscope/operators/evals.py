@@ -14,24 +14,28 @@ from folioscope.functions.text import is_mixed_script
 STATUSES = ("pass", "fail", "weak", "known_gap", "needs_human", "error")
 
 
-def case_metrics(cases: DataFrame, retrieved: DataFrame, truth: DataFrame) -> DataFrame:
-    """Per case (case_id, person_id, period, expected array): recall and precision of its retrieved documents, leaks and empty_ok.
+def case_metrics(cases: DataFrame, retrieved: DataFrame, truth: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """Per case (case_id, person_id, period): recall and precision of its retrieved documents, leaks and empty_ok.
 
-    retrieved has (case_id, doc_id), truth (doc_id, person_id, period); a retrieved document of another scope, or without truth, is a
-    leak. With nothing expected, recall and precision are null, and empty_ok tells whether nothing was retrieved; else empty_ok is null.
+    expected and retrieved have (case_id, doc_id), truth (doc_id, person_id, period); without ``expected``, cases have an array of that name. A
+    retrieved document of another scope, or without truth, is a leak. With nothing expected, recall and precision are null, and empty_ok
+    tells whether nothing was retrieved; else empty_ok is null. Documents stay rows: they are counted by case and document first, then by case.
     """
+    wanted = expected if expected is not None else cases.select("case_id", F.explode("expected").alias("doc_id"))
     known = truth.groupBy("doc_id").agg(F.min("person_id").alias("t_person"), F.collect_set("period").alias("t_periods"))
     rows = retrieved.join(known, "doc_id", "left").join(cases.select("case_id", "person_id", "period"), "case_id")
     own = F.col("t_person").eqNullSafe(F.col("person_id")) & F.coalesce(F.array_contains("t_periods", F.col("period")), F.lit(False))
-    found = rows.groupBy("case_id").agg(F.collect_set("doc_id").alias("r"), F.count_if(~own).alias("leaks"))
-    out = cases.join(found, "case_id", "left").withColumn("r", F.coalesce("r", F.array().cast("array<string>")))
-    hit, some = F.size(F.array_intersect("r", "expected")), F.size("expected") > 0
+    each = rows.select("case_id", "doc_id", F.lit(0).alias("e"), F.lit(1).alias("r"), (~own).cast("int").alias("leak")).union(wanted.where("doc_id is not null").select("case_id", "doc_id", F.lit(1), F.lit(0), F.lit(0)))
+    each = each.groupBy("case_id", "doc_id").agg(F.max("e").alias("e"), F.max("r").alias("r"), F.sum("leak").alias("leak"))
+    found = each.groupBy("case_id").agg(F.sum("e").alias("e"), F.sum("r").alias("r"), F.sum(F.col("e") * F.col("r")).alias("hit"), F.sum("leak").alias("leaks"))
+    out = cases.select("case_id").join(found, "case_id", "left").na.fill(0, ["e", "r", "hit", "leaks"])
+    some = F.col("e") > 0
     return out.select(
         "case_id",
-        F.when(some, hit / F.size(F.array_distinct("expected"))).alias("recall"),
-        F.when(some, F.when(F.size("r") > 0, hit / F.size("r")).otherwise(0.0)).alias("precision"),
-        F.coalesce("leaks", F.lit(0)).cast("long").alias("leaks"),
-        F.when(~some, F.size("r") == 0).alias("empty_ok"),
+        F.when(some, F.col("hit") / F.col("e")).alias("recall"),
+        F.when(some, F.when(F.col("r") > 0, F.col("hit") / F.col("r")).otherwise(0.0)).alias("precision"),
+        F.col("leaks").cast("long").alias("leaks"),
+        F.when(~some, F.col("r") == 0).alias("empty_ok"),
     )
 
 

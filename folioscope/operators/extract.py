@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import evaluator, ingested_value, labelled_value, parsed_date, pipe_row
+from folioscope.functions.text import LOOKALIKES, evaluator, evaluator_line, ingested_value, labelled_value, parsed_date, pipe_row, stripped
 
 
 def pipe_records(sections: DataFrame, first_label: str) -> DataFrame:
@@ -59,21 +59,85 @@ def characterization(text: Column, vocabulary: Sequence[str]) -> Column:
     return F.struct(F.when(known, word).alias("word"), F.when(known, n.cast("int")).alias("score"))
 
 
+def positional_scores(lines: Column, codes: Sequence[str], words: Sequence[str]) -> Column:
+    """Field scores without labels as an array of structs: a line that is a known code, its description on one or more lines, and a line with the value.
+
+    A value is digits alone or a word of ``words``; a code without a value behind it yields nothing. ``lines`` are trimmed.
+    """
+    found = "array<struct<field_code:string,value:string>>"
+    zero = F.struct(F.lit(None).cast("string").alias("code"), F.array().cast(found).alias("out"))
+
+    def step(state: Column, line: Column) -> Column:
+        value = line.rlike("^[0-9]+$") | line.isin(*words)
+        code = F.when(state["code"].isNull(), F.when(line.isin(*codes), line)).when(~value, state["code"])
+        out = F.when(state["code"].isNotNull() & value, F.concat(state["out"], F.array(F.struct(state["code"].alias("field_code"), line.alias("value"))))).otherwise(state["out"])
+        return F.struct(code.alias("code"), out.alias("out"))
+
+    return F.aggregate(lines, zero, step)["out"]
+
+
+#: The fields of an evaluation, from whichever layout.
+EVALUATION = ("doc_id", "block", "period_start", "period_end", "kind", "characterization", "score", "unit", "evaluator", "reviewer", "reviewer_notes", "defects", "field_scores", "reject_reason")
+
+
 def evaluations(blocks: DataFrame, labels: Mapping[str, str], vocabulary: Sequence[str], kinds: Sequence[str], words: Sequence[str], none_word: str) -> DataFrame:
     """Evaluations and rejects from labelled blocks (doc_id, block, text).
 
-    labels names period_start, period_end, kind, characterization, unit, evaluator and defects. A missing kind is the first one. An
-    unknown characterization rejects a record of the first kind; for the second kind, its text is the unit. ``none_word`` as defects is null.
+    labels names period_start, period_end, kind, characterization, unit, evaluator and defects, and perhaps reviewer and reviewer_notes. A
+    missing kind is the first one. An unknown characterization rejects a record of the first kind; for the second kind, its text is the
+    unit. ``none_word`` as defects is null.
     """
-    v = {n: labelled_value(F.col("text"), label) for n, label in labels.items()}
+    v = {n: labelled_value(F.col("text"), labels[n]) if n in labels else F.lit(None).cast("string") for n in (*labels, "reviewer", "reviewer_notes")}
     out = blocks.select("doc_id", "block", *[c.alias(n) for n, c in v.items()], field_scores(F.col("text"), words).alias("field_scores"))
     start, end = parsed_date(F.col("period_start")), parsed_date(F.col("period_end"))
     rated = characterization(F.col("characterization"), vocabulary)
     out = out.withColumn("kind", F.coalesce("kind", F.lit(kinds[0]))).withColumn("rated", rated)
     out = out.withColumn("unit", F.coalesce("unit", F.when((F.col("kind") == kinds[1]) & F.col("rated.word").isNull(), F.col("characterization"))))
     reason = F.when(start["date"].isNull() | end["date"].isNull(), "period").when((F.col("kind") == kinds[0]) & F.col("rated.word").isNull(), "characterization")
-    out = out.withColumn("reject_reason", reason).withColumn("start", start["date"]).withColumn("end", end["date"])
-    return out.select("doc_id", "block", F.col("start").alias("period_start"), F.col("end").alias("period_end"), "kind", F.col("rated.word").alias("characterization"), F.col("rated.score").alias("score"), "unit", evaluator(F.col("evaluator")).alias("evaluator"), F.when(F.col("defects") != none_word, F.col("defects")).alias("defects"), "field_scores", "reject_reason")
+    out = out.withColumn("reject_reason", reason).withColumn("period_start", start["date"]).withColumn("period_end", end["date"])
+    out = out.withColumn("characterization", F.col("rated.word")).withColumn("score", F.col("rated.score")).withColumn("defects", F.when(F.col("defects") != none_word, F.col("defects")))
+    return out.withColumn("evaluator", evaluator(F.col("evaluator"))).withColumn("reviewer", F.when(F.col("reviewer").isNotNull(), evaluator(F.col("reviewer")))).select(*EVALUATION)
+
+
+def positional_evaluations(blocks: DataFrame, labels: Mapping[str, str], vocabulary: Sequence[str], kinds: Sequence[str], codes: Sequence[str], words: Sequence[str]) -> DataFrame:
+    """Evaluations and rejects from blocks (doc_id, block, text) that go by the places of their lines.
+
+    The lines without blank ones are: the kind; a date, a hyphen, a date; perhaps a word of ``vocabulary`` with a score in brackets; lines of unit and
+    duties, of which the first that is no hyphen and no number is the unit; a line with the label of the evaluator (labels: evaluator,
+    reviewer, reviewer_notes), whose name stands on it or on the next one; and perhaps the reviewer's notes and the reviewer so. Look-alike
+    Latin capitals in the word count as the Greek ones. A block of the first kind without a known word is rejected, since taking the
+    line as the unit would lose the unit; one of the second kind begins with its unit there.
+    """
+    bare = str.maketrans(LOOKALIKES)
+    names = F.create_map(*[F.lit(x) for w in vocabulary for x in (w.translate(bare), w)])
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: stripped(x)), lambda x: x != "")
+    out = blocks.select("doc_id", "block", lines.alias("lines"))
+    line = lambda i: F.get("lines", F.lit(i))
+    dated = line(1).rlike(r"^\d{2}/\d{2}/\d{4}$") & (line(2) == "-") & line(3).rlike(r"^\d{2}/\d{2}/\d{4}$")
+    token = F.trim(F.regexp_replace(line(4), r"\s*\((\d{1,3})\)\s*$", ""))
+    word = F.try_element_at(names, F.translate(token, "".join(LOOKALIKES), "".join(LOOKALIKES.values())))
+    out = out.withColumns({"kind": line(0), "dated": F.coalesce(dated, F.lit(False)), "start": line(1), "end": line(3), "word": word, "n": F.regexp_extract(line(4), r"\((\d{1,3})\)\s*$", 1)})
+    out = out.withColumn("rest", F.expr("slice(lines, if(word is null, 5, 6), size(lines))"))
+
+    def said(label: str) -> tuple[Column, Column]:
+        """The place, from 1, of the first line with a label (null without), and what stands behind the colon."""
+        pattern = rf"^{re.escape(label)}\s*:\s*(.*)$"
+        at = F.nullif(F.array_position(F.transform("rest", lambda x: x.rlike(pattern)), True), F.lit(0)).cast("int")
+        return at, stripped(F.regexp_extract(F.get("rest", at - 1), pattern, 1))
+
+    (evaluator_at, evaluator_said), (reviewer_at, reviewer_said), (notes_at, notes_said) = (said(labels[x]) for x in ("evaluator", "reviewer", "reviewer_notes"))
+    person = lambda at, text: evaluator_line(F.coalesce(F.nullif(text, F.lit("")), F.get("rest", at)))
+    before = F.slice("rest", F.lit(1), F.coalesce(evaluator_at - 1, F.size("rest")))
+    unit = F.get(F.filter(before, lambda x: (x != "-") & ~x.rlike("^[0-9]+$")), F.lit(0))
+    body = F.slice("rest", notes_at + 1, F.greatest(F.coalesce(reviewer_at, notes_at + 1) - notes_at - 1, F.lit(0)))
+    notes = F.nullif(F.array_join(F.filter(F.concat(F.array(notes_said), body), lambda x: x != ""), " "), F.lit(""))
+    start, end = parsed_date(F.col("start")), parsed_date(F.col("end"))
+    reason = F.when(~F.col("dated") | start["date"].isNull() | end["date"].isNull(), "period").when((F.col("kind") == kinds[0]) & F.col("word").isNull(), "characterization")
+    return out.withColumns({
+        "period_start": F.when(F.col("dated"), start["date"]), "period_end": F.when(F.col("dated"), end["date"]), "characterization": F.col("word"), "score": F.when(F.col("word").isNotNull(), F.nullif("n", F.lit("")).cast("int")),
+        "unit": F.coalesce(unit, F.lit("")), "evaluator": F.when(evaluator_at.isNotNull(), person(evaluator_at, evaluator_said)), "reviewer": F.when(reviewer_at.isNotNull(), person(reviewer_at, reviewer_said)),
+        "reviewer_notes": F.when(notes_at.isNotNull(), notes), "defects": F.lit(None).cast("string"), "field_scores": positional_scores(F.col("lines"), codes, words), "reject_reason": reason,
+    }).select(*EVALUATION)
 
 
 def promotion_rows(sections: DataFrame, header: Sequence[str]) -> DataFrame:

@@ -13,6 +13,8 @@ from folioscope.functions.text import rank_form, stems
 from folioscope.operators.scope import Scope
 
 RETRIEVED, RERANKED, BUCKETS = 20, 5, 256
+#: Parts of a scope's chunks.
+PARTS = 16
 
 
 def bag_of_stems(tokens: Column, buckets: int = BUCKETS) -> Column:
@@ -54,11 +56,18 @@ def search(chunks: DataFrame, scope: Scope, question: Sequence[float], k: int =
 
 
 def search_many(chunks: DataFrame, questions: DataFrame, k: int = RETRIEVED) -> DataFrame:
-    """``search`` for a table of questions (question_id, person_id, period, question_embedding): joined by scope, ranked per question."""
+    """``search`` for a table of questions (question_id, person_id, period, question_embedding): joined by scope, ranked per question.
+
+    A scope's chunks are dealt to parts, and its questions meet each part under a key of its own, so a frequent scope is split. Vectors
+    end at the score: what is ranked, first in each task and then per question, are ids and scores, and only the k best meet their chunks again.
+    """
     scoped = questions.withColumn("wanted", F.explode(F.array_distinct(F.array("period", F.lit("career"))))).drop("period").withColumnRenamed("wanted", "period")
-    near = chunks.join(scoped, ["person_id", "period"]).withColumn("score", cosine(F.col("embedding"), F.col("question_embedding")))
-    w = Window.partitionBy("question_id").orderBy(F.desc("score"), "id")
-    return near.where("score is not null").withColumn("retrieval_rank", F.row_number().over(w)).where(F.col("retrieval_rank") <= k)
+    scoped = scoped.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    dealt = chunks.select("id", "person_id", "period", "embedding").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int"))
+    near = dealt.join(scoped, ["person_id", "period", "part"]).select("question_id", "id", "period", cosine(F.col("embedding"), F.col("question_embedding")).alias("score"))
+    w = Window.partitionBy("question_id").orderBy(F.desc("score"), "id", "period")
+    best = near.where("score is not null").withColumn("retrieval_rank", F.row_number().over(w)).where(F.col("retrieval_rank") <= k)
+    return best.join(chunks, ["id", "period"])
 
 
 def overlap(a: Column, b: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -32,6 +33,9 @@ class Form:
     promotion_header: Sequence[str]
     service_section: str
     service_units: Sequence[str]
+    #: The labels of evaluator, reviewer and reviewer_notes, and the codes, of blocks that go by the places of their lines; without labels there are none.
+    positional_labels: Mapping[str, str] = field(default_factory=dict)
+    field_codes: Sequence[str] = field(default_factory=tuple)
     subsection_headers: Sequence[str] = field(default_factory=tuple)
     words: Sequence[str] = ("yes", "no")
     none_word: str = "none"
@@ -53,9 +57,24 @@ def ingest(pages: DataFrame, form: Form) -> dict[str, DataFrame]:
     known = people.where("person_id is not null").select("doc_id", "person_id", "name")
     nameless = pages.select("doc_id").distinct().join(known, "doc_id", "left_anti").select("doc_id", F.lit("no person").alias("reason"))
 
-    anchor = F.split("text", rf"(?m)(?=^{form.evaluation_anchor})")
-    blocks = of(form.evaluation_section).select("doc_id", F.posexplode(F.filter(anchor, lambda b: F.startswith(b, F.lit(form.evaluation_anchor)))).alias("block", "text"))
-    read = extract.evaluations(blocks, form.evaluation_labels, form.characterizations, form.kinds, form.words, form.none_word).join(known.select("doc_id", "person_id"), "doc_id")
+    def split_at(anchor: str, texts: DataFrame) -> DataFrame:
+        parts = F.filter(F.split("text", rf"(?m)(?=^{anchor})"), lambda b: b.rlike(rf"(?m)^{anchor}"))
+        return texts.select("doc_id", F.posexplode(parts).alias("block", "text"))
+
+    def owned(rows: DataFrame) -> DataFrame:
+        return rows.join(known.select("doc_id", "person_id"), "doc_id")
+
+    rated_texts = of(form.evaluation_section)
+    blocks = split_at(form.evaluation_anchor, rated_texts)
+    read = extract.evaluations(blocks, form.evaluation_labels, form.characterizations, form.kinds, form.words, form.none_word)
+    if form.positional_labels:
+        # A document without any labelled block goes by the places of its lines.
+        bare = rated_texts.where(~F.col("text").rlike(rf"(?m)^{form.evaluation_anchor}"))
+        kinds = "|".join(re.escape(k) for k in form.kinds)
+        placed = split_at(rf"[ \t]*(?:{kinds})[ \t]*$", bare)
+        read = read.unionByName(extract.positional_evaluations(placed, form.positional_labels, form.characterizations, form.kinds, form.field_codes, form.words))
+        blocks = blocks.union(placed)
+    read = owned(read)
     read = read.withColumn("period", period(F.col("period_start"), F.col("period_end")))
     good = read.where("reject_reason is null").withColumn("id", stable_id("person_id", "period"))
     scores = good.select(F.col("id").alias("eval_id"), F.posexplode("field_scores").alias("n", "f")).select(stable_id("eval_id", "n").alias("id"), "eval_id", "f.field_code", "f.value", stored_value(F.col("f.value")).alias("number"))

@@ -234,13 +234,13 @@ def vector_topk(spark, sf):
     return retrieval.search(e, Scope("3", "1996"), asked).select("id", F.round("score", 6).alias("score"))
 
 
-@query("""WITH q AS (SELECT vec_id AS question_id, label, embedding AS e FROM embeddings WHERE vec_id % 100 = 0),
+@query("""WITH q AS (SELECT vec_id AS question_id, label, embedding AS e FROM embeddings WHERE vec_id % 20 = 0),
     s AS (SELECT question_id, vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) AS score FROM q JOIN embeddings USING (label)),
     r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS p FROM s)
     SELECT question_id, id, p::INT AS retrieval_rank, round(score, 6) AS score FROM r WHERE p <= 20""")
 def scoped_topk_many(spark, sf):
     e = c.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("person_id"), F.lit("career").alias("period"), "embedding")
-    q = e.where("id % 100 = 0").select(F.col("id").alias("question_id"), "person_id", F.lit("1996").alias("period"), F.col("embedding").alias("question_embedding"))
+    q = e.where("id % 20 = 0").select(F.col("id").alias("question_id"), "person_id", F.lit("1996").alias("period"), F.col("embedding").alias("question_embedding"))
     return retrieval.search_many(e, q).select("question_id", "id", "retrieval_rank", F.round("score", 6).alias("score"))
 
 
@@ -413,8 +413,7 @@ def mixed_script(spark, sf):
     x AS (SELECT case_id, count(*) FILTER (lang IN ('en', 'fr')) AS nr, count(*) FILTER (quality = 1) AS ne, count(*) FILTER (quality = 1 AND lang IN ('en', 'fr')) AS hit, count(*) FILTER (lang = 'fr') AS leaks FROM r GROUP BY 1)
     SELECT case_id, round(CASE WHEN ne > 0 THEN hit / ne END, 6) AS recall, round(CASE WHEN ne > 0 THEN CASE WHEN nr > 0 THEN hit / nr ELSE 0 END END, 6) AS precision, leaks, CASE WHEN ne = 0 THEN nr = 0 END AS empty_ok FROM x""")
 def citation_metrics(spark, sf):
-    cases, found, truth = _eval_inputs(spark, sf)
-    return evals.case_metrics(cases, found, truth).withColumns({"recall": F.round("recall", 6), "precision": F.round("precision", 6)})
+    return evals.case_metrics(*_eval_inputs(spark, sf)).withColumns({"recall": F.round("recall", 6), "precision": F.round("precision", 6)})
 
 
 @query("""WITH r AS (SELECT source AS case_id, lang, quality FROM documents LEFT JOIN labels USING (doc_id)),
@@ -422,16 +421,15 @@ def citation_metrics(spark, sf):
     SELECT round(avg(CASE WHEN ne > 0 THEN hit / ne END), 6) AS recall, round(avg(CASE WHEN ne > 0 THEN hit / nr END), 6) AS precision, sum(leaks)::BIGINT AS leaks, coalesce(bool_and(CASE WHEN ne = 0 THEN nr = 0 END), false) AS empty_ok,
            sum(leaks) = 0 AND coalesce(bool_and(CASE WHEN ne = 0 THEN nr = 0 END), false) AS passed FROM x""")
 def metric_rollup(spark, sf):
-    cases, found, truth = _eval_inputs(spark, sf)
-    return evals.roll_up(evals.case_metrics(cases, found, truth)).withColumns({"recall": F.round("recall", 6), "precision": F.round("precision", 6)})
+    return evals.roll_up(evals.case_metrics(*_eval_inputs(spark, sf))).withColumns({"recall": F.round("recall", 6), "precision": F.round("precision", 6)})
 
 
 def _eval_inputs(spark, sf):
     d = c.table(spark, sf, "documents").join(c.table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left").withColumn("doc_id", F.col("doc_id").cast("string"))
-    cases = d.groupBy(F.col("source").alias("case_id")).agg(F.collect_set(F.when(F.col("quality") == 1, F.col("doc_id"))).alias("expected"))
-    cases = cases.select("case_id", F.col("case_id").alias("person_id"), F.lit("en").alias("period"), "expected")
+    cases = d.select(F.col("source").alias("case_id")).distinct().select("case_id", F.col("case_id").alias("person_id"), F.lit("en").alias("period"))
+    wanted = d.where("quality = 1").select(F.col("source").alias("case_id"), "doc_id")
     found = d.where("lang in ('en', 'fr')").select(F.col("source").alias("case_id"), "doc_id")
-    return cases, found, d.select("doc_id", F.col("source").alias("person_id"), F.col("lang").alias("period"))
+    return cases, found, d.select("doc_id", F.col("source").alias("person_id"), F.col("lang").alias("period")), wanted
 
 
 @query("""WITH r AS (SELECT o_orderpriority AS tier, o_orderstatus AS s FROM orders)
@@ -511,7 +509,12 @@ def session_ttl(spark, sf):
     return sessions.live_sessions(s.join(F.broadcast(now)), users, F.col("now"))  # now is one row
 
 
-@query()
+@query("""WITH RECURSIVE a AS (SELECT user_id, ts, event_id AS attempt_id, event_type = 'signup' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE event_type IN ('error', 'signup')),
+    s AS (SELECT DISTINCT user_id, 0::BIGINT AS r, 0 AS n, NULL::TIMESTAMP AS until, NULL::BIGINT AS attempt_id, NULL::TIMESTAMP AS ts, NULL::BOOLEAN AS ok, NULL::VARCHAR AS outcome FROM a
+        UNION ALL SELECT user_id, r, CASE WHEN held THEN n WHEN ok OR n >= 4 THEN 0 ELSE n + 1 END, CASE WHEN NOT held AND NOT ok AND n >= 4 THEN moment + INTERVAL 15 MINUTE ELSE until END, id, moment, ok,
+            CASE WHEN held THEN 'refused' WHEN ok THEN 'ok' WHEN n >= 4 THEN 'locked' ELSE 'failed' END
+        FROM (SELECT a.user_id, a.r, s.n, s.until, a.attempt_id AS id, a.ts AS moment, a.ok, coalesce(a.ts < s.until, false) AS held FROM s JOIN a ON a.user_id = s.user_id AND a.r = s.r + 1))
+    SELECT user_id, attempt_id, ts, ok, outcome FROM s WHERE r > 0""")
 def lockout(spark, sf):
     e = c.table(spark, sf, "events").where("event_type in ('error', 'signup')")
     return sessions.lockouts(e.select("user_id", "ts", F.col("event_id").alias("attempt_id"), (F.col("event_type") == "signup").alias("ok")))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StringType, StructField, StructType
 
 FAILURES, LOCK_MINUTES, SESSION_HOURS = 5, 15, 8
 
@@ -16,22 +18,33 @@ def lockouts(attempts: DataFrame, failures: int = FAILURES, minutes: int = LOCK_
     """attempts (user_id, ts, attempt_id, ok) with outcome: ok, failed, locked (the attempt that locks) or refused (while locked).
 
     ``failures`` failed attempts without a success between lock for ``minutes``; the count starts anew on a lock and on a success, has no
-    window of time, and nothing counts during a lock. What an attempt does depends on all before it, so a user's attempts are one array
-    that is folded in order inside Spark; ``stream_lockouts`` needs only the state, and fits users with very many.
+    window of time, and nothing counts during a lock. What an attempt does depends on all before it, so a user's attempts are read in order
+    in one task; what is carried from one to the next is a count and the end of a lock, however many there are. An attempt without a
+    time comes first and locks for no time.
     """
-    item = F.struct(F.col("ts").alias("ts"), "attempt_id", "ok")
-    rows = attempts.groupBy("user_id").agg(F.sort_array(F.collect_list(item)).alias("a"))
-    zero = F.struct(F.lit(0).alias("count"), F.lit(None).cast(attempts.schema["ts"].dataType).alias("until"), F.array().cast("array<string>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        held = s["until"].isNotNull() & (x["ts"] < s["until"])
-        count = F.when(x["ok"], F.lit(0)).otherwise(s["count"] + 1)
-        locks = ~held & (count >= failures)
-        outcome = F.when(held, "refused").when(x["ok"], "ok").when(locks, "locked").otherwise("failed")
-        return F.struct(F.when(held, s["count"]).when(locks, 0).otherwise(count).alias("count"), F.when(locks, x["ts"] + F.expr(f"interval {minutes} minutes")).otherwise(s["until"]).alias("until"), F.concat(s["out"], F.array(outcome)).alias("out"))
-
-    folded = rows.withColumn("out", F.aggregate("a", zero, step)["out"])
-    return folded.select("user_id", F.explode(F.arrays_zip("a", "out")).alias("z")).select("user_id", "z.a.attempt_id", "z.a.ts", "z.a.ok", F.col("z.out").alias("outcome"))
+    rows = attempts.select("user_id", "ts", "attempt_id", "ok").repartition("user_id").sortWithinPartitions("user_id", "ts", "attempt_id")
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, count, until = object(), 0, None
+        for batch in batches:
+            out = []
+            times = batch.column(1).cast(pa.int64()).to_pylist()
+            for who, ts, ok in zip(batch.column(0).to_pylist(), times, batch.column(3).to_pylist(), strict=True):
+                if who != user:
+                    user, count, until = who, 0, None
+                if until is not None and ts is not None and ts < until:
+                    out.append("refused")
+                    continue
+                count = 0 if ok else count + 1
+                if count >= failures:
+                    count, until = 0, None if ts is None else ts + minutes * 60_000_000
+                    out.append("locked")
+                else:
+                    out.append("ok" if ok else "failed")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "outcome"])
+
+    schema = StructType([*rows.schema.fields, StructField("outcome", StringType())])
+    return rows.mapInArrow(folded, schema).select("user_id", "attempt_id", "ts", "ok", "outcome")
 
 
 def stream_lockouts(attempts: DataFrame, failures: int = FAILURES, minutes: int = LOCK_MINUTES) -> DataFrame:

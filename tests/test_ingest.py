@@ -1,6 +1,8 @@
+import dataclasses
+
 import pytest
 
-from folioscope.operators import structured, timeline
+from folioscope.operators import extract, structured, timeline
 from folioscope.plans.ingest import Form, attach_duties, coverage, ingest
 
 FORM = Form(
@@ -48,3 +50,53 @@ def test_duties_need_their_evaluation(spark):
     assert [tuple(d) for d in got["x"]] == [("a", None), ("b", 2)] and got["y"] is None
     with pytest.raises(ValueError):
         attach_duties(e.where("period = 'y'"), duties)
+
+
+PLACED = """
+REGULAR
+01/01/{0}
+-
+31/12/{0}
+{1}
+-
+3
+Harbour office
+deck duties
+Rated by: {2}
+Remarks of the reviewer: keen
+and quick
+Reviewer:
+CPT (NAV) Kim Roe - head
+51
+Skill at
+sea
+{3}
+99
+Odd code
+yes
+52
+unfinished
+"""
+
+
+def test_blocks_without_labels_go_by_their_lines(spark):
+    form = dataclasses.replace(FORM, positional_labels={"evaluator": "Rated by", "reviewer": "Reviewer", "reviewer_notes": "Remarks of the reviewer"}, field_codes=["51", "52", "141"])
+    bare = PLACED.format(2019, "GOOD (90)", "LT Ann Lee - chief of staff", 95) + PLACED.format(2020, "ODD (7)", "x", 1) + "NOTE\n01/03/2021\n-\n05/03/2021\nSchool\nRated by:\nMAJ Jo Poe\n" + "NOTE\n01/03\n-\n05/03/2021\nSchool\n"
+    data = [("d", 1, "Person\nNumber: p7\nName: Ann Lee"), ("d", 2, "Evaluations\n" + bare), ("e", 1, "Person\nNumber: p8\nName: Bo"), ("e", 2, "Evaluations\n" + BLOCK.format(2019, "GOOD (91)", 94))]
+    t = ingest(spark.createDataFrame(data, "doc_id string, page int, text string"), form)
+    e = {(r.person_id, r.period): r for r in t["evaluations"].collect()}
+    assert set(e) == {("p7", "2019-01-01..2019-12-31"), ("p7", "2021-03-01..2021-03-05"), ("p8", "2019-01-01..2019-12-31")}
+    first, note = e["p7", "2019-01-01..2019-12-31"], e["p7", "2021-03-01..2021-03-05"]
+    assert (first.kind, first.characterization, first.score, first.unit, first.reviewer_notes) == ("REGULAR", "GOOD", 90, "Harbour office", "keen and quick")
+    assert tuple(first.evaluator) == ("LT", "Ann Lee", "chief of staff") and tuple(first.reviewer) == ("CPT (NAV)", "Kim Roe", "head")
+    assert (note.kind, note.characterization, note.score, note.unit, tuple(note.evaluator), note.reviewer) == ("NOTE", None, None, "School", ("MAJ", "Jo Poe", None), None)
+    assert sorted((r.doc_id, r.reason) for r in t["rejects"].collect()) == [("d", "evaluation: characterization"), ("d", "evaluation: period")]
+    scores = {(r.person_id, r.field_code): r.value for r in t["field_scores"].join(t["evaluations"].selectExpr("id AS eval_id", "person_id"), "eval_id").collect()}
+    assert scores == {("p7", "51"): "95", ("p8", "51"): "94", ("p8", "141"): "99"}
+    assert {c.period for c in t["chunks"].where("section = 'Evaluations' and person_id = 'p7'").collect()} == {"2019-01-01..2019-12-31", "2021-03-01..2021-03-05"}
+
+
+def test_lookalike_letters_and_a_bare_word(spark):
+    text = "R\n01/01/2019\n-\n02/01/2019\nKAΛOΣ\nBase"
+    row = extract.positional_evaluations(spark.createDataFrame([("d", 0, text)], "doc_id string, block int, text string"), {"evaluator": "E", "reviewer": "R", "reviewer_notes": "N"}, ["ΚΑΛΟΣ"], ["R", "N"], [], ["yes"]).first()
+    assert (row.characterization, row.score, row.unit, row.evaluator, row.reject_reason) == ("ΚΑΛΟΣ", None, "Base", None, None)
