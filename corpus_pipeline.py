@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from folioscope.llm import bpe, decontaminate, language_id, near_dedup, pii
 from folioscope.llm.shared import Scratch
@@ -15,7 +14,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known with enough certainty; texts without letters go."""
+    """Documents in one or several of the languages that the documents declare; texts in none of them, letter junk and texts without letters go."""
     return language_id.identify(docs).where("accepted").select(*docs.columns)
 
 
