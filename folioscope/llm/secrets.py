@@ -18,6 +18,8 @@ from folioscope.llm.wordset import WordSet
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
 #: Characters before and after a candidate that count as its neighbours.
 AROUND = 40
+#: Slots of the filter that holds the dictionary's words.
+DICTIONARY_SLOTS = 1 << 18
 #: Candidates whose lengths are added up together.
 RUN = 256
 #: Words that identifiers, paths and placeholders are made of.
@@ -48,7 +50,7 @@ class Dictionary:
 
     def __init__(self, spark: SparkSession, words: Sequence[str] = ()):
         every = sorted({*WORDS, *words})
-        self.set = WordSet(spark.createDataFrame([(w,) for w in every], "word string"), "word")
+        self.set = WordSet(spark.createDataFrame([(w,) for w in every], "word string"), "word", DICTIONARY_SLOTS)
 
     def covered(self, candidate: Column) -> Column:
         """Characters in runs of three or more letters of one case (the first may be a capital) that are words."""

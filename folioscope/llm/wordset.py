@@ -5,12 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Slots of the filter, a byte each: what reaches the driver, and goes into a plan, has this size at most.
-SLOTS = 1 << 20
-
-
-def _slot(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(SLOTS)).cast("int")
+#: Slots of a filter, a byte each: what reaches the driver, and goes into plans and (as hexadecimal digits) their descriptions, has this size at most.
+SLOTS = 1 << 17
 
 
 class WordSet:
@@ -20,14 +16,18 @@ class WordSet:
     join does more of the work. The bytes of the slots are one constant, however many words there are.
     """
 
-    def __init__(self, table: DataFrame, column: str):
-        found = table.select(_slot(F.col(column)).alias("slot")).distinct().toArrow()["slot"].to_pylist()
-        slots = bytearray(SLOTS if found else 0)
+    def __init__(self, table: DataFrame, column: str, slots: int | None = None):
+        self.n = slots or SLOTS
+        found = table.select(self._slot(F.col(column)).alias("slot")).distinct().toArrow()["slot"].to_pylist()
+        marks = bytearray(self.n)
         for slot in found:
-            slots[slot] = 1
-        self.slots = F.lit(bytes(slots)) if found else None
+            marks[slot] = 1
+        self.marks = F.lit(bytes(marks)) if found else None
+
+    def _slot(self, word: Column) -> Column:
+        return F.pmod(F.xxhash64(word), F.lit(self.n)).cast("int")
 
     def may_have(self, word: Column) -> Column:
-        if self.slots is None:
+        if self.marks is None:
             return F.lit(False)
-        return F.substring(self.slots, _slot(word) + 1, F.lit(1)) == F.lit(b"\x01")
+        return F.substring(self.marks, self._slot(word) + 1, F.lit(1)) == F.lit(b"\x01")

@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from folioscope.llm import secrets, wordset
+from folioscope.llm import secrets
 from tests.llm.conftest import frame
 
 PATTERN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
@@ -44,7 +44,7 @@ def test_positions_equal_brute_force(spark, odd_docs, odd_texts):
 def test_features_equal_brute_force(spark, dictionary):
     rows = secrets.with_features(secrets.labelled_findings(spark, 280, "brute"), dictionary).collect()
     words = {*secrets.WORDS, *secrets.vocabulary_words(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))}
-    slot = lambda w: xxhash.xxh64(w, seed=42).intdigest() % wordset.SLOTS
+    slot = lambda w: xxhash.xxh64(w, seed=42).intdigest() % secrets.DICTIONARY_SLOTS
     slots = {slot(w) for w in words}
     for r in rows:
         c, low, near, n = r.candidate, r.candidate.lower(), f"{r.before} {r.after}".lower(), len(r.candidate)
