@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.components import components
-from folioscope.llm.shared import Scratch, bound_batches
+from folioscope.llm.shared import Scratch, bound_batches, fresh
 from folioscope.llm.words import Words, chunks, shingles
 
 #: Lists of up to so many classes are paired directly; longer ones go through the prefixes of the full sets.
@@ -116,13 +116,14 @@ def kept_rows(docs: DataFrame, percent: int = 80, width: int = 5, k: int = 40) -
     Rows decide and not ids, so rows that share a doc_id, or have none, stay if they are no near copies. Of a component the row of
     the smallest doc_id stays (null last), and of several such rows that of the smallest digest of all columns.
     """
+    (key,) = fresh(docs.columns, "row_digest")
     row = F.unhex(F.sha2(F.to_json(F.struct(*[F.col(c) for c in docs.columns]), {"ignoreNullFields": "false"}), 256))
     worded = docs.where(F.col("text").rlike(r"[^ \t\n\x0b\x0c\r]"))
     sig, home = _homes(worded.select("doc_id", "text", row.alias("row")), percent, width, k)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    kept = sig.select("doc_id", "row", "digest").join(home, "digest").groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.row").alias("__row"))
+    kept = sig.select("doc_id", "row", "digest").join(home, "digest").groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.row").alias(key))
     # Rows that are equal in all columns are one by now, before the join, however many they are.
-    one = worded.withColumn("__row", row).dropDuplicates(["__row"]).join(kept, "__row", "left_semi").select(*docs.columns)
+    one = worded.withColumn(key, row).dropDuplicates([key]).join(kept, key, "left_semi").select(*docs.columns)
     blank = docs.where(~F.coalesce(F.col("text").rlike(r"[^ \t\n\x0b\x0c\r]"), F.lit(False)))
     return one.union(blank)
 

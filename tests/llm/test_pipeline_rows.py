@@ -9,3 +9,14 @@ def test_null_and_shared_ids_keep_different_texts(spark, tmp_path):
     assert got.columns == docs.columns
     want = [(None, texts["a"]), (None, texts["b"]), (7, texts["c"]), (7, texts["d"]), (3, texts["e"]), (9, None), (9, None), (9, " \n"), (8, texts["f"])]
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_empty_table_and_clashing_columns(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row_digest string, digest int, `__row` string, root string"
+    empty = spark.createDataFrame([], schema)
+    assert corpus_pipeline.near_dedup_stage(spark, empty, str(tmp_path)).collect() == []
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, f"r{i}", i, "x", "y") for i, t in enumerate([text, text + " more", "plain words of another text altogether"])], schema)
+    got = corpus_pipeline.near_dedup_stage(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.row_digest, r.digest) for r in got.collect()) == [(0, "r0", 0), (2, "r2", 2)]
