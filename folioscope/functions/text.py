@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections.abc import Sequence
 from difflib import SequenceMatcher
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -94,63 +95,101 @@ def fuzzy_ratio(left: pa.Array, right: pa.Array) -> pa.Array:
 def best_match(line: Column, titles: Sequence[str], least: float = 0.72, longest: int = 80, slack: int = 20, numbered: float = 0.9) -> Column:
     """The title that a line is a heading of, or null: titles are few and constant, so they travel with the function.
 
-    A line of up to ``longest`` characters counts. One with a leading number that contains a folded title has at least the
-    ratio ``numbered``; without a number it may be ``slack`` characters longer than the title at most. The best ratio wins, the first title on ties.
+    A line of up to ``longest`` characters counts by the ratio of its whole folded form to a folded title. A line that begins with a number and a full
+    stop or hyphen, and has the title behind it, has at least the ratio ``numbered``; one without a number may be ``slack`` characters
+    longer than the title at most. The best ratio wins, the first title on ties. Longer lines don't leave the JVM, and equal ones of a batch are compared once.
     """
     known = [(t, plain_form(t)) for t in titles]
 
+    def one(text: str) -> str | None:
+        whole = text.strip()
+        head = re.match(r"\d+\s*[-.]\s*", whole)
+        plain, behind = plain_form(whole), plain_form(whole[head.end() :]) if head else ""
+        best, found = 0.0, None
+        for title, form in known if plain else []:
+            if not head and len(whole) > len(title) + slack:
+                continue
+            ratio = SequenceMatcher(None, form, plain).ratio()
+            if head and form in behind:
+                ratio = max(ratio, numbered)
+            if ratio > best and ratio >= least:
+                best, found = ratio, title
+        return found
+
     @F.arrow_udf("string")
     def matched(column: pa.Array) -> pa.Array:
-        def one(text: str) -> str | None:
-            plain = plain_form(text)
-            if not plain or len(plain) > longest:
-                return None
-            head = re.match(r"^\d+\s*[.)]?\s*", plain)
-            body, best, found = plain[head.end() :] if head else plain, 0.0, None
-            for title, form in known:
-                if not head and len(plain) > len(form) + slack:
-                    continue
-                ratio = SequenceMatcher(None, body, form).ratio()
-                if head and form in body:
-                    ratio = max(ratio, numbered)
-                if ratio > best and ratio >= least:
-                    best, found = ratio, title
-            return found
-
-        return pa.array([None if x is None else one(x) for x in column.to_pylist()], pa.string())
-
-    return matched(line)
+        each = column.to_pylist()
+        of = {x: one(x) for x in set(each) if x is not None}
+        return pa.array([of.get(x) for x in each], pa.string())
+
+    return matched(F.when(F.length(line) <= longest, line))
+
+
+@cache
+def _accented() -> dict[str, str]:
+    """The letters with accents of the Latin and Greek blocks by their plain letter."""
+    forms: dict[str, str] = {}
+    for c in map(chr, range(0xC0, 0x2000)):
+        plain = _bare(c, "NFKD").lower()
+        if len(plain) == 1 and plain.isalpha() and plain != c.lower():
+            forms[plain] = forms.get(plain, "") + c
+    return forms
+
+
+def _coded(prefixes: Sequence[str]) -> str:
+    """The pattern of a code behind one of the words, whatever the accents and the case; a word that ends in ``*`` may go on."""
+
+    def word(prefix: str) -> str:
+        letters = "".join(f"[{c}{_accented().get(c, '')}]\\p{{M}}*" if c.isalpha() else re.escape(c) for c in plain_form(prefix.removesuffix("*")))
+        return letters + (r"\w*" if prefix.endswith("*") else "")
+
+    return rf"(?iuU)(?:{'|'.join(map(word, prefixes))})\s*(\d{{1,4}})(?:\s?([αβγab]))?(?!\w)"
 
 
 def field_code(text: Column, prefixes: Sequence[str]) -> Column:
-    """The first code behind one of the prefix words: 1 to 4 digits and perhaps α, β or γ (a and b count as α and β); null without one."""
-    words = "|".join(re.escape(p) for p in prefixes)
-    code = F.regexp_extract(text, rf"(?iuU)(?<!\w)(?:{words})\.?\s*(\d{{1,4}}\s?[αβγab]?)(?!\w)", 1)
-    return F.nullif(F.translate(F.lower(F.replace(code, F.lit(" "), F.lit(""))), "ab", "αβ"), F.lit(""))
+    """The first code behind one of the prefix words: 1 to 4 digits and perhaps α, β or γ (a and b count as α and β); null without one.
+
+    Accents and case of the words don't matter, and a prefix that ends in ``*`` stands for all words that begin so.
+    """
+    code = F.concat(*[F.regexp_extract(text, _coded(prefixes), i) for i in (1, 2)])
+    return F.nullif(F.translate(F.lower(code), "ab", "αβ"), F.lit(""))
 
 
 def years(text: Column, prefixes: Sequence[str] = ()) -> Column:
     """Sorted distinct years 1900 to 2099 that no digit touches, after codes behind the prefixes are blanked."""
     if prefixes:
-        words = "|".join(re.escape(p) for p in prefixes)
-        text = F.regexp_replace(text, rf"(?iuU)(?<!\w)(?:{words})\.?\s*\d{{1,4}}\s?[αβγab]?(?!\w)", " ")
+        text = F.regexp_replace(text, _coded(prefixes), " ")
     found = F.regexp_extract_all(text, F.lit(r"(?<!\d)((?:19|20)\d{2})(?!\d)"), F.lit(1))
     return F.array_sort(F.array_distinct(F.transform(found, lambda y: y.cast("int"))))
 
 
+def spaced(label: str) -> str:
+    """The pattern of a label with any white space between its characters, and some between its words."""
+    return r"\s*".join(re.escape(c) if c != " " else "" for c in re.sub(r"\s*/\s*", "/", re.sub(r"\s+", " ", label))).replace(r"\s*\s*", r"\s+")
+
+
 def labelled_value(text: Column, label: str) -> Column:
     """What follows ``label:`` at the start of a line, up to the next line that looks like a label or a blank line; null if empty."""
-    spaced = r"\s*".join(re.escape(c) if c != " " else "" for c in re.sub(r"\s+", " ", label)).replace(r"\s*\s*", r"\s+")
-    value = F.regexp_extract(text, rf"(?ms)^[ \t]*{spaced}[ \t]*:[ \t]*(.*?)(?=\n[ \t]*\n|\n[^\n:]{{1,60}}:|\z)", 1)
+    value = F.regexp_extract(text, rf"(?ms)^[ \t]*{spaced(label)}[ \t]*:[ \t]*(.*?)(?=\n[ \t]*\n|\n[^\n:]{{1,60}}:|\z)", 1)
     return F.nullif(F.trim(F.regexp_replace(value, r"\s+", " ")), F.lit(""))
 
 
+def _last_values(pairs: Column) -> Column:
+    """A map of structs (k, v); of a key that repeats, the last value counts."""
+    return F.map_from_entries(F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"] == x["k"])))
+
+
 def pipe_row(line: Column) -> Column:
     """``k: v | k: v`` as a map of strings; of a key that repeats, the last value counts."""
     parts = F.filter(F.split(line, r"\|"), lambda p: p.contains(":"))
-    pairs = F.transform(parts, lambda p: F.struct(F.trim(F.substring_index(p, ":", 1)).alias("k"), F.trim(F.substring(p, F.instr(p, ":") + 1, F.length(p))).alias("v")))
-    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"] == x["k"]))
-    return F.map_from_entries(last)
+    return _last_values(F.transform(parts, lambda p: F.struct(F.trim(F.substring_index(p, ":", 1)).alias("k"), F.trim(F.substring(p, F.instr(p, ":") + 1, F.length(p))).alias("v"))))
+
+
+def label_lines(lines: Column) -> Column:
+    """An array of lines ``k: v`` as a map of strings; a key begins with a letter and has up to 61 characters, and other lines don't count."""
+    pattern = r"(?s)^\s*([\p{IsGreek}A-Za-z][^:]{0,60}?)\s*:\s*(.*)$"
+    fit = F.filter(lines, lambda x: x.rlike(pattern))
+    return _last_values(F.transform(fit, lambda x: F.struct(F.regexp_extract(x, pattern, 1).alias("k"), stripped(F.regexp_extract(x, pattern, 2)).alias("v"))))
 
 
 def parsed_date(text: Column) -> Column:

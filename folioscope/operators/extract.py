@@ -9,16 +9,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import LOOKALIKES, evaluator, evaluator_line, ingested_value, labelled_value, parsed_date, pipe_row, stripped
+from folioscope.functions.text import LOOKALIKES, evaluator, evaluator_line, ingested_value, label_lines, labelled_value, parsed_date, pipe_row, spaced, stripped
 
 
 def pipe_records(sections: DataFrame, first_label: str) -> DataFrame:
-    """(doc_id, row, values map) of texts with ``k: v | k: v`` on a line, or one ``k: v`` a line where ``first_label`` opens a record."""
-    rows = sections.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t")).where(F.col("t").contains(":"))
-    opens = F.startswith(F.trim("t"), F.lit(first_label)).cast("int")
+    """(doc_id, row, values map) of texts whose records begin with a line ``first_label:`` and go on to the next one.
+
+    A record with a | anywhere is ``k: v | k: v``, over as many lines as it takes; another one has one ``k: v`` a line.
+    """
+    rows = sections.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    opens = F.col("t").rlike(rf"^{spaced(first_label)}\s*:").cast("int")
     row = F.sum(opens).over(Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)) - 1
-    joined = rows.withColumn("row", row).where("row >= 0").groupBy("doc_id", "row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "t"))), lambda x: x["t"]), " | ").alias("t"))
-    return joined.select("doc_id", "row", pipe_row(F.col("t")).alias("values"))
+    each = F.transform(F.sort_array(F.collect_list(F.struct("line", "t"))), lambda x: x["t"])
+    blocks = rows.withColumn("row", row).where("row >= 0").groupBy("doc_id", "row").agg(each.alias("lines"))
+    piped = F.exists("lines", lambda x: x.contains("|"))
+    return blocks.select("doc_id", "row", F.when(piped, pipe_row(F.array_join("lines", " "))).otherwise(label_lines(F.col("lines"))).alias("values"))
 
 
 def records(rows: DataFrame, columns: Mapping[str, str], dates: Sequence[str] = (), numbers: Sequence[str] = ()) -> DataFrame:

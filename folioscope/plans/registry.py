@@ -321,7 +321,10 @@ def long_text_pieces(spark, sf):
     return sections.split_long(c.table(spark, sf, "documents").select("doc_id", "text"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT page_id, regexp_replace(html, '<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<nav\b[^>]*>.*?</nav\s*>|<head\b[^>]*>.*?</head\s*>|<!--.*?-->', ' ', 'gis') AS t FROM pages),
+    b AS (SELECT page_id, regexp_replace(regexp_replace(t, '<(?:br|/?(?:p|div|article|h[1-6]|li|ul|ol|tr|table|section))\b[^>]*>', chr(10), 'gi'), '<[^>]*>', '', 'g') AS t FROM t),
+    e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM b)
+    SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM e""")
 def page_extract(spark, sf):
     return c.table(spark, sf, "pages").select("page_id", src.html_text(F.col("html")).alias("text"))
 
@@ -399,7 +402,11 @@ def fuzzy_titles(spark, sf):
     return c.table(spark, sf, "part").select("p_partkey", tf.fuzzy_ratio(F.lower("p_name"), F.lower("p_type")).alias("ratio"))
 
 
-@query()
+@query(r"""WITH d AS (SELECT doc_id, replace(upper(replace(text, 'ß', 'SS')), 'O', 'Ο') AS t FROM documents),
+    k AS (SELECT doc_id, regexp_extract_all(t, '\s+|\S+') AS parts FROM d),
+    m AS (SELECT doc_id, parts, list_transform(parts, lambda x: regexp_matches(x, '[A-Za-z]') AND len(regexp_extract_all(x, '\p{Greek}')) > 0 AND 2 * len(regexp_extract_all(x, '\p{Greek}')) > len(regexp_extract_all(x, '\p{L}'))) AS mixed FROM k)
+    SELECT doc_id, len(list_filter(mixed, lambda x: x))::INT AS mixed,
+           coalesce(array_to_string(list_transform(parts, lambda x, i: CASE WHEN mixed[i] AND regexp_full_match(x, '\p{L}+') THEN translate(x, 'ABEHIKMNOPTXYZ', 'ΑΒΕΗΙΚΜΝΟΡΤΧΥΖ') ELSE x END), ''), '') AS repaired FROM m""")
 def mixed_script(spark, sf):
     d = c.table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.upper("text"), "O", "Ο").alias("text"))
     tokens = F.split("text", r"\s+")
@@ -454,7 +461,12 @@ def answer_status(spark, sf):
 # Layout
 
 
-@query()
+@query("""WITH RECURSIVE w AS (SELECT l_orderkey AS doc_id, l_linenumber * 40.0::DOUBLE AS x0, l_quantity::DOUBLE * 2 AS y0, l_partkey::VARCHAR AS text,
+        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber, l_partkey::VARCHAR) AS r FROM lineitem),
+    s AS (SELECT doc_id, r, x0, y0, text, 0 AS row, y0 AS top FROM w WHERE r = 1
+        UNION ALL SELECT w.doc_id, w.r, w.x0, w.y0, w.text, CASE WHEN w.y0 - s.top > 3 THEN s.row + 1 ELSE s.row END, CASE WHEN w.y0 - s.top > 3 THEN w.y0 ELSE s.top END FROM s JOIN w ON w.doc_id = s.doc_id AND w.r = s.r + 1)
+    SELECT doc_id, 1 AS page, row, coalesce(string_agg(text, ' ' ORDER BY x0, text) FILTER (x0 < 100), '') AS label, coalesce(string_agg(text, ' ' ORDER BY x0, text) FILTER (x0 >= 100 AND x0 < 200), '') AS years,
+           coalesce(string_agg(text, ' ' ORDER BY x0, text) FILTER (x0 >= 200), '') AS rest FROM s WHERE y0 < 817 AND x0 < 400 GROUP BY ALL""")
 def layout_rows(spark, sf):
     n = F.col("l_linenumber").cast("double")
     words = c.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), (n * 40).alias("x0"), (F.col("l_quantity") * 2.0).alias("y0"), (n * 40 + 30).alias("x1"), (F.col("l_quantity") * 2.0 + 8).alias("y1"), F.col("l_partkey").cast("string").alias("text"))

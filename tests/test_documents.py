@@ -102,6 +102,12 @@ def test_records_and_rejects(spark):
     assert (health.Opinion, health.Leave, health.Note, health.Other) == ("7/2020", "10", "a b", None)
 
 
+def test_records_over_several_lines(spark):
+    text = "before: x\nRank / Arm : A | Note: one: two\n and three | Rank / Arm: B\nRank/Arm: C\n9: no key\nNote: first\nNote:  last \nplain"
+    rows = extract.pipe_records(spark.createDataFrame([("d", text), ("e", None), ("f", "none: 1")], "doc_id string, text string"), "Rank / Arm").orderBy("row").collect()
+    assert [(r.doc_id, r.row, r["values"]) for r in rows] == [("d", 0, {"Rank / Arm": "B", "Note": "one: two  and three"}), ("d", 1, {"Rank/Arm": "C", "Note": "last"})]
+
+
 def test_evaluations(spark):
     block = "From: {}\nTo: 31/12/2020\nKind: {}\nRating: {}\nEvaluator: Col, Ann Lee, head\nDefects: none\n51 Skill: 95 points\n52 Tact: yes\n"
     texts = [block.format("01/01/2020", "REGULAR", "GOOD (93)"), block.format("01/01/2020", "REGULAR", "ODD (5)"), block.format("01/01/2020", "NOTE", "2nd UNIT"), block.format("31/02/2020", "NOTE", "X")]

@@ -33,6 +33,14 @@ def test_heading(spark):
     assert one(spark, "Personál details", f) == "Personal Details"
     assert one(spark, "Personal details of all persons that were ever here", f) is None
     assert one(spark, "3. " + "Evaluations " * 10, f) is None and one(spark, "", f) is None
+    assert one(spark, "3 Evaluations of all the others", f) is None and one(spark, "3 - Evaluations of all the others", f) == "Evaluations"
+    assert one(spark, "12. Evalu", f) is None and one(spark, "Evaluations" + " " * 70, f) is None and one(spark, None, f) is None
+
+
+def test_codes_whatever_the_accents_and_endings(spark):
+    code = lambda c: text.field_code(c, ["πεδιο", "κωδικ*"])
+    assert one(spark, "Το ΠΕΔΊΟ 142", code) == "142" and one(spark, "πεδίο 7\tΒ;", code) == "7β" and one(spark, "ο κωδικός 51a", code) == "51α"
+    assert one(spark, "κωδικοί 3 και", code) == "3" and one(spark, "κωδικός. 3", code) is None and one(spark, None, code) is None
 
 
 def test_codes_and_years(spark):
