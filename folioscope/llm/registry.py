@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, decontaminate, language_id, lm_scoring, near_dedup, pii, secrets, sharding, toxicity, vector_search
+from folioscope.llm import bpe, decontaminate, language_id, lm_scoring, near_dedup, pii, resampling, secrets, sharding, toxicity, vector_search, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "lang", "source", "language", "text_language", "posterior", "accepted")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=8)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=10, longest=1, buckets=10000, least_words=20, seed=2024)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_secret_scan": op2_secret_scan,
@@ -70,6 +78,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_language_id": op10_language_id,
+    "op11_whitening": op11_whitening,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 ORACLES = {
@@ -109,4 +119,38 @@ ORACLES = {
         SELECT query_id, rank::INT AS rank, vec_id, score FROM (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
         ) WHERE rank <= 5""",
+    # CRC-32 by its table of 256 remainders, for each different word.
+    "op12_importance_resampling": r"""
+        WITH remainders AS MATERIALIZED (
+            SELECT list(list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS r
+            FROM (SELECT unnest(range(256)) AS i)
+        ), said AS MATERIALIZED (
+            SELECT row_number() OVER () AS n, doc_id, false AS wanted, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+            UNION ALL
+            SELECT -row_number() OVER (), NULL, true, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') FROM benchmark
+        ), each AS MATERIALIZED (SELECT n, wanted, unnest(w) AS word FROM said
+        ), hashed AS MATERIALIZED (
+            SELECT word, xor(list_reduce([4294967295] || list_transform(range(len(hex(encode(word))) // 2),
+                lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT), lambda c, x: xor(c >> 8, r[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS b
+            FROM (SELECT DISTINCT word FROM each), remainders
+        ), counts AS (
+            SELECT b.b, count(*) FILTER (NOT wanted) AS s, count(*) FILTER (wanted) AS t
+            FROM hashed b JOIN each USING (word) GROUP BY b.b
+        ), gains AS (
+            SELECT b, floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM counts
+        ), weights AS (
+            SELECT n, sum(gain) AS total FROM each JOIN hashed USING (word) JOIN gains USING (b) WHERE NOT wanted GROUP BY n
+        ), scored AS (
+            SELECT n, doc_id, len(w)::BIGINT AS n_features, coalesce(floor(total::DOUBLE / len(w)), 0)::BIGINT AS weight,
+                   coalesce(floor(total::DOUBLE / len(w)), 0)::BIGINT
+                   + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5) / 4294967296::DOUBLE)))::BIGINT AS score
+            FROM said LEFT JOIN weights USING (n) WHERE NOT wanted
+        ), placed AS (
+            SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place,
+                   count(*) FILTER (n_features >= 20) OVER () AS able
+            FROM scored
+        )
+        SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * able // 100 THEN place END AS rank FROM placed""",
 }
