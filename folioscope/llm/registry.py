@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, decontaminate, language_id, lm_scoring, near_dedup, pii, resampling, secrets, sharding, toxicity, vector_search, whitening
+from folioscope.llm import bpe, decontaminate, language_id, lm_scoring, near_dedup, pii, repeats, resampling, secrets, sharding, toxicity, vector_search, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=10, longest=1, buckets=10000, least_words=20, seed=2024)
 
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"), length=100)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_secret_scan": op2_secret_scan,
@@ -80,6 +84,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_whitening": op11_whitening,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_suffix_array_dedup": op13_suffix_array_dedup,
 }
 
 ORACLES = {

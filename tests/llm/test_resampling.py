@@ -1,0 +1,79 @@
+import math
+import re
+import zlib
+from collections import Counter
+from hashlib import sha256
+
+from pyspark.sql import functions as F
+
+from folioscope.llm import resampling
+from tests.llm.conftest import frame
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def brute(rows, target, percent, longest, buckets, least_words, seed):
+    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    split = lambda t: WORD.findall(low(t))
+    features = lambda t: [" ".join(w[i : i + n]) for w in [split(t)] for n in range(1, longest + 1) for i in range(len(w) - n + 1)]
+    bucket = lambda f: zlib.crc32(f.encode()) % buckets
+    s = Counter(bucket(f) for _, t in rows for f in features(t))
+    t = Counter(bucket(f) for x in target for f in features(x))
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (s.total() + buckets) / ((s[b] + 1) * (t.total() + buckets))))
+    out, able = [], []
+    for i, text in rows:
+        f = features(text)
+        weight = sum(gain(bucket(x)) for x in f) // len(f) if f else 0
+        h = int(sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        out.append([i, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None])
+        if len(split(text)) >= least_words:
+            able.append(out[-1])
+    able.sort(key=lambda r: (-r[3], r[0] is not None, r[0] or 0, r[1]))
+    for rank, r in enumerate(able[: percent * len(able) // 100], 1):
+        r[4] = rank
+    return sorted(map(tuple, out), key=str)
+
+
+def result(df):
+    assert [t for _, t in df.dtypes] == ["bigint"] * 5
+    return sorted(map(tuple, df.select("doc_id", "n_features", "weight", "score", "rank").collect()), key=str)
+
+
+def test_equals_brute_force(spark, odd_texts):
+    texts = [*odd_texts, *["ÄRGER Straße İstanbul É" * 9, "a-b_c,d e" * 12, "Mixed CASE 42 " * 15]]
+    rows = list(enumerate(texts)) + [(3, texts[-1]), (3, texts[-1]), (None, texts[-1]), (None, None)]
+    target = [texts[-1], None, "one two", texts[30]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).withColumn("rank", F.lit("x")).withColumn("found", F.lit(2)).withColumn("at", F.lit(3))
+    wanted = spark.createDataFrame([(t,) for t in target], "text string")
+    for longest, percent in ((1, 10), (1, 100), (2, 35), (3, 0)):
+        assert result(resampling.resample(docs, wanted, percent, longest, 10000, 20, 2024)) == brute(rows, target, percent, longest, 10000, 20, 2024)
+
+
+def test_ties_and_rows_alike_are_all_ranked(spark):
+    text = " ".join(f"w{i}" for i in range(25))
+    rows = [(5, text)] * 60 + [(i, text) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = resampling.resample(docs, spark.createDataFrame([(text,)], "text string"), percent=50).collect()
+    assert sorted(r.rank for r in got if r.rank) == list(range(1, 51))
+    ranked = sorted((r for r in got if r.rank), key=lambda r: r.rank)
+    assert [(-r.score, r.doc_id) for r in ranked] == sorted((-r.score, r.doc_id) for r in ranked)
+
+
+def test_scoring_neither_explodes_nor_shuffles(spark):
+    plan = resampling.scored(frame(spark, ["a b c"]), [0] * 10000, 1, 2024)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Exchange" not in plan and "Python" not in plan
+
+
+def test_empty_tables(spark, empty_docs):
+    words = " ".join(f"w{i}" for i in range(30))
+    target = spark.createDataFrame([(words,)], "text string")
+    assert resampling.resample(empty_docs, target).count() == 0
+    rows = [(i, words) for i in range(20)]
+    assert result(resampling.resample(frame(spark, [t for _, t in rows]), target.limit(0))) == brute(rows, [], 10, 1, 10000, 20, 2024)
+
+
+def test_a_target_pulls_its_like(spark):
+    texts = [" ".join(f"{'good' if i < 50 else 'other'}{(i * k) % 37}" for k in range(40)) for i in range(400)]
+    target = spark.createDataFrame([(t,) for t in texts[:50]], "text string")
+    drawn = [r.doc_id for r in resampling.resample(frame(spark, texts), target).collect() if r.rank]
+    assert len(drawn) == 40 and sum(i < 50 for i in drawn) > 30

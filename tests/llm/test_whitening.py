@@ -1,0 +1,85 @@
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from folioscope.llm import whitening
+
+SCHEMA = "vec_id long, embedding array<double>, label int"
+
+
+def exact(rows):
+    """n, S, V (as floats of exact fractions) and the x-vectors of the rows that take part."""
+    kept = [(i, v) for i, v, _ in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    dims = max([0, *(len(v) for _, v in kept)])
+    xs = [[math.floor(1024 * (v[k] if k < len(v) else 0.0)) + 100000 for k in range(dims)] for _, v in kept]
+    n, s = len(xs), [sum(x[k] for x in xs) for k in range(dims)]
+    v = [[sum((n * x[a] - s[a]) * (n * x[b] - s[b]) for x in xs) / n**3 for b in range(dims)] for a in range(dims)]
+    return kept, xs, n, s, np.array(v)
+
+
+def check(spark, rows):
+    got = whitening.whiten(spark.createDataFrame(rows, SCHEMA).repartition(3).withColumn("n", F.lit("mine")).withColumn("component", F.lit(9))).collect()
+    kept, xs, n, s, v = exact(rows)
+    size = min(8, len(s))
+    assert len(got) == len(kept) * size and all(r.n == n for r in got)
+    values = np.sort(np.linalg.eigvalsh(v))[::-1][:size]
+    deviations = sorted(sum((n * a - b) ** 2 for a, b in zip(x, s, strict=True)) for x in xs)
+    for c in range(1, size + 1):
+        own = [r for r in got if r.component == c]
+        assert sorted(int(r.deviation_text) for r in own) == deviations
+        assert all(r.deviation == (int(r.deviation_text) if int(r.deviation_text) < 2**63 else None) for r in own)
+        assert own[0].explained == pytest.approx(values[c - 1] / np.trace(v), rel=1e-9)
+        assert np.var([r.whitened for r in own]) == pytest.approx(1, abs=1e-6)
+    assert got[0].identity_error < 1e-4
+    # The projections are those of the exact centre: squares over all components give back the distances where all are there.
+    if size == len(s):
+        by = {}
+        for r in got:
+            by.setdefault((r.vec_id, r.deviation_text), []).append(r.whitened**2 * values[r.component - 1])
+        for (_, text), parts in by.items():
+            times = len(parts) // size
+            assert sum(parts) / times == pytest.approx(int(text) / n**2, rel=1e-6)
+    return got
+
+
+def vectors(n, dims, spread=1.0, centre=0.0):
+    rng = random.Random(n * dims)
+    return [(i, [centre + spread * rng.gauss(0, 1) * (k + 1) for k in range(dims)], 0) for i in range(n)]
+
+
+@pytest.mark.parametrize("rows", [
+    vectors(300, 12), vectors(50, 3), vectors(9, 8),
+    vectors(40, 4, spread=1.0, centre=1e9),
+    vectors(40, 4, spread=1e7, centre=-1e10),
+    [*vectors(60, 5), (None, [1.0] * 5, 1), (7, None, 1), (8, [1.0, None, 1.0, 1.0, 1.0], 1), (9, [float("nan")] * 5, 1), (9, [float("-inf")] * 5, 1), (10, [3.0, 2.0], 1), (11, [], 1)],
+    [*vectors(60, 5), *vectors(60, 5), *[(5, [1.0] * 5, 0)] * 30],
+])
+def test_equals_exact_fractions(spark, rows):
+    check(spark, rows)
+
+
+def test_deviations_beyond_a_long_keep_their_digits(spark):
+    rows = [(1, [1e15, 0.0], 0), (2, [-1e15, 1.0], 0), (3, [0.0, 2.0], 0)]
+    got = check(spark, rows)
+    assert all(r.deviation is None for r in got if r.vec_id < 3)
+
+
+def test_scatter_is_exact_whatever_the_size():
+    rng = random.Random(3)
+    for most in (5, 2**19, 2**40, 2**62):
+        y = [[rng.randint(-most, most) for _ in range(3)] for _ in range(5000)]
+        got = whitening.scatter(np.array(y, np.int64))
+        assert got[-1, -1] == 5000 and all(got[-1, k] == sum(r[k] for r in y) for k in range(3))
+        assert all(got[a, b] == sum(r[a] * r[b] for r in y) for a in range(3) for b in range(a, 3))
+
+
+def test_no_spread_and_no_rows(spark):
+    one = whitening.whiten(spark.createDataFrame([(1, [1.0, 2.0], 0)] * 3, SCHEMA)).collect()
+    assert len(one) == 6 and all(r.whitened is None and r.explained == 0 and r.identity_error is None and r.deviation == 0 for r in one)
+    flat = whitening.whiten(spark.createDataFrame([(i, [float(i), 2.0 * i, 7.0], 0) for i in range(5)], SCHEMA)).collect()
+    assert {r.component for r in flat if r.whitened is not None} == {1} and flat[0].identity_error < 1e-9
+    for rows in ([], [(1, None, 0)], [(1, [], 0)]):
+        assert whitening.whiten(spark.createDataFrame(rows, SCHEMA)).count() == 0
