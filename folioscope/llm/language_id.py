@@ -14,8 +14,8 @@ from folioscope.llm.words import LOWER, chunks
 
 #: Byte trigrams are hashed to so many slots.
 SLOTS = 1 << 16
-#: A language is known if this share of the rows that declare any declare it; so there are 100 at most.
-COMMON = 0.01
+#: Of each trigram's slot so many counts are taken to be there, and so large a share of a language's own counts over all slots at most: a small language isn't washed out.
+PSEUDO, OWN_PSEUDO = 0.05, 0.01
 #: Rows dealt to so many parts where a host may be frequent and the table of hosts is large.
 SALTS = 16
 #: A language's own suffix of an address, by language; fixed values.
@@ -35,11 +35,18 @@ def _trigrams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return slot[whole], np.searchsorted(row[:-2][whole], np.arange(len(at)))
 
 
-def declared_languages(docs: DataFrame, code: Column) -> list[str]:
-    """The codes that at least COMMON of the rows with a code declare, in order; a grouped count of at most 26 * 26 codes."""
+def declared_languages(docs: DataFrame, code: Column, least_share: float = 0.0) -> list[str]:
+    """The codes that rows declare, in order, or those that a share of ``least_share`` of the rows with a code declare; a grouped count of at most 26 * 26 codes."""
     seen = docs.select(code.alias("code")).where("code is not null").groupBy("code").count().collect()
     total = sum(r[1] for r in seen)
-    return sorted(r[0] for r in seen if r[1] >= COMMON * total)
+    return sorted(r[0] for r in seen if r[1] >= least_share * total)
+
+
+def smoothed(counts: np.ndarray) -> np.ndarray:
+    """Log probabilities of counts by language (rows) and slot: PSEUDO more in each slot, or OWN_PSEUDO of the language's counts where that is less."""
+    own = counts.sum(1, keepdims=True)
+    counts = counts + np.where(own > 0, np.minimum(PSEUDO, OWN_PSEUDO * own / counts.shape[1]), PSEUDO)
+    return np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
 
 
 def text_model(docs: DataFrame, declared: Column, languages: Sequence[str]) -> np.ndarray:
@@ -61,10 +68,9 @@ def text_model(docs: DataFrame, declared: Column, languages: Sequence[str]) -> n
     which = F.array_position(F.array(*map(F.lit, languages)), declared) - 1
     rows = docs.where(F.col("text").isNotNull()).select("text", which.cast("int").alias("which")).where("which >= 0")
     got = rows.mapInArrow(counted, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most languages * SLOTS
-    counts = np.full(size, 0.05)
-    counts[got["slot"].to_numpy()] += got["n"].to_numpy()
-    counts = counts.reshape(len(languages), SLOTS)
-    return np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
+    counts = np.zeros(size)
+    counts[got["slot"].to_numpy()] = got["n"].to_numpy()
+    return smoothed(counts.reshape(len(languages), SLOTS))
 
 
 def _normal(values: Column) -> Column:
@@ -91,10 +97,10 @@ FAR, MARGIN = 6.0, 0.5
 OTHER = 0.01
 
 
-def identify(docs: DataFrame, languages: Sequence[str] | None = None, declared: str | None = "lang", host: str | None = "source", smoothing: float = 20.0, tempering: float = 0.1, least: float = 0.5) -> DataFrame:
+def identify(docs: DataFrame, languages: Sequence[str] | None = None, declared: str | None = "lang", host: str | None = "source", smoothing: float = 20.0, tempering: float = 0.1, least: float = 0.5, least_share: float = 0.0, outputs: Sequence[str] = ("language", "text_language", "posterior", "accepted")) -> DataFrame:
     """All columns of ``docs`` (which has text), and language, text_language, posterior (double) and accepted (boolean).
 
-    ``languages`` are those that the rows declare (see COMMON), or the given ones. The log posterior of a language adds up the evidence of a row:
+    ``languages`` are all those that rows declare, however rare (or from ``least_share`` of them on), or the given ones. The log posterior of a language adds up the evidence of a row:
 
     * text: ``tempering`` times the log likelihood of the text's byte trigrams under the language's model, which is counted
       over all rows that declare a language (trigrams overlap, hence the tempering);
@@ -112,28 +118,32 @@ def identify(docs: DataFrame, languages: Sequence[str] | None = None, declared:
     texts without letters, get the language that the other evidence has, and are rejected. A null or unknown declaration, and a null
     host, are no evidence. Ties go to the first language in order; repeated rows count each and get equal results; an empty table gives no
     rows; a text of any length is one sum over its trigrams. If no row declares a language and none are given, language is null and
-    nothing is accepted. Columns of docs with the names of the results are replaced, others stay whatever their names. Texts are never
+    nothing is accepted. ``outputs`` are the names of the results; columns of docs with these names are replaced, others stay whatever their names. Texts are never
     shuffled while the table of hosts is small; beyond that, hosts join in parts, so that a frequent one is split.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "language")
-    mine = ["language", "text_language", "posterior", "accepted"]
+    language_, text_language_, posterior_, accepted_ = mine = list(outputs)
     docs = docs.drop(*mine)
-    text_, said_, host_, own_, prior_, p_, salt_ = fresh([*docs.columns, *mine], "scores", "said", "host", "own", "prior", "p", "salt")
+    text_, said_, host_, own_, prior_, p_, salt_, spoken_ = fresh([*docs.columns, *mine], "scores", "said", "host", "own", "prior", "p", "salt", "spoken")
     code = F.lower(F.col(declared) if declared else F.lit(None).cast("string")).substr(1, 2)
     code = F.when(code.rlike("^[a-z]{2}$"), code)
-    languages = list(languages) if languages is not None else declared_languages(docs, code)
+    languages = list(languages) if languages is not None else declared_languages(docs, code, least_share)
     if not languages:
-        return docs.select("*", F.lit(None).cast("string").alias("language"), F.lit(None).cast("string").alias("text_language"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted"))
+        return docs.select("*", F.lit(None).cast("string").alias(language_), F.lit(None).cast("string").alias(text_language_), F.lit(0.0).alias(posterior_), F.lit(False).alias(accepted_))
     n, said = len(languages), F.when(code.isin(*languages), code)
-    logs = spark.sparkContext.broadcast(text_model(docs, said, languages))  # languages * SLOTS numbers
+    model = text_model(docs, said, languages)
+    alike = np.full(SLOTS, -np.inf)
+    for row in model:
+        alike = np.logaddexp(alike, row)
+    logs = spark.sparkContext.broadcast((model, alike - np.log(n)))  # languages * SLOTS numbers, and as many as SLOTS
 
     @F.arrow_udf("array<double>")
     def likelihood(text: pa.Array) -> pa.Array:
         """By language; then the mean log likelihood of a trigram under all languages alike, and the number of trigrams."""
-        out, both = [], np.log(np.exp(logs.value.astype(np.float64)).mean(0))
+        out, (rows, both) = [], logs.value
         for _, data, at in chunks(text):
             slot, begin = _trigrams(data, at)
-            sums = [np.diff(np.concatenate([[0.0], np.cumsum(row[slot], dtype=np.float64)])[begin]) for row in (*logs.value, both)]
+            sums = [np.diff(np.concatenate([[0.0], np.cumsum(row[slot], dtype=np.float64)])[begin]) for row in (*rows, both)]
             size = np.diff(begin)
             out.append(np.stack([*sums[:-1], sums[-1] / np.maximum(size, 1), size], 1))
         flat = np.concatenate([*out, np.zeros((0, n + 2))])
@@ -178,7 +188,10 @@ def identify(docs: DataFrame, languages: Sequence[str] | None = None, declared:
     label = F.when(F.col(host_).contains("."), F.substring_index(host_, ".", -1))
     told_by = lambda x: F.array(*[F.lit(float(np.log((0.8 if y == x else 0.2 / max(1, n - 1)) if n > 1 else 1.0))) for y in languages])
     own_suffix = F.coalesce(*[F.when(label == s, told_by(x)) for x in languages for s in SUFFIXES.get(x, ())], F.array_repeat(F.lit(float(-np.log(n))), n))
-    spoken = F.coalesce(*[F.when(F.col(said_) == x, F.array(*map(F.lit, [*declare[x], spoken_all[x]]))) for x in languages], F.array_repeat(F.lit(0.0), n + 1))
+    # One row for each language: languages squared numbers.
+    told_rows = spark.createDataFrame([(x, [*declare[x], spoken_all[x]]) for x in languages], f"`{said_}` string, `{spoken_}` array<double>")
+    out = out.join(F.broadcast(told_rows), said_, "left")
+    spoken = F.coalesce(F.col(spoken_), F.array_repeat(F.lit(0.0), n + 1))
     prior = F.coalesce(F.transform(prior_, lambda x: F.log(x)), log_flat)
     bound = F.get(F.array(*[F.lit(usual.get(i, 0.0)) for i in range(64)]), F.greatest(F.floor(F.log2(F.greatest(of(text_, n + 1), F.lit(1.0)))), F.lit(0)).cast("int"))
     # Above the bound the class of other texts is the less likely by as much as the text is more usual than one at the bound.
@@ -187,6 +200,6 @@ def identify(docs: DataFrame, languages: Sequence[str] | None = None, declared:
     out = out.withColumn(p_, F.array(*known, other)).withColumn(p_, _normal(F.col(p_)))
     languages_ = F.slice(p_, 1, n)
     best = F.array_max(languages_)
-    out = out.withColumn("language", F.element_at(names, F.array_position(languages_, best).cast("int"))).withColumn("text_language", F.col(own_)).withColumn("posterior", F.exp(best))
-    out = out.withColumn("accepted", F.col(own_).isNotNull() & (1 - F.exp(of(p_, n)) >= least))
+    out = out.withColumn(language_, F.element_at(names, F.array_position(languages_, best).cast("int"))).withColumn(text_language_, F.col(own_)).withColumn(posterior_, F.exp(best))
+    out = out.withColumn(accepted_, F.col(own_).isNotNull() & (1 - F.exp(of(p_, n)) >= least))
     return out.select(*docs.columns, *mine)

@@ -190,18 +190,18 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
-    """All columns of ``docs`` with a new text, and n_found and kinds (of what was replaced, in order, joined by commas).
+def pseudonymise(docs: DataFrame, key: str, outputs: tuple[str, str] = ("n_found", "kinds")) -> DataFrame:
+    """All columns of ``docs`` with a new text, and n_found and kinds (of what was replaced, in order, joined by commas), under the names ``outputs``.
 
     E-mail addresses (the part before the @), phone numbers (behind the country), payment cards (Luhn), IP addresses,
     US social security numbers, IBANs (modulo 97) and calendar dates are found by shape and checked; what fails its check stays
     as it is. Each valid one is permuted under ``key`` within its format, so a card stays a valid card, a date a date of the same
     400 years (those that begin with a multiple of 400; the first with year 1), separators, case and length stay, and equal values get
     equal pseudonyms in all documents. Nothing is shuffled: a row needs no other, so repeated rows repeat and ties have no meaning; an empty
-    table gives no rows. A null text stays null with n_found 0; columns named n_found or kinds are replaced, others stay whatever their
-    names. The work grows with the length of a text and of each value in it.
+    table gives no rows. A null text stays null with n_found 0; columns with the names of the outputs are replaced, others stay whatever their
+    names. An empty text stays empty. The work grows with the length of a text and of each value in it.
     """
-    kept = [c for c in docs.columns if c.lower() not in ("n_found", "kinds")]
+    kept = [c for c in docs.columns if c.lower() not in [x.lower() for x in outputs]]
     hits_, found_, new_, text_ = fresh(docs.columns, "hits", "found", "new", "new_text")
     text = F.col("text")
     hits = F.when(text.rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
@@ -213,4 +213,4 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     out = out.withColumn(new_, F.when(some, new)).withColumn(text_, F.when(F.col(new_).isNotNull(), whole).otherwise(text))
     kinds = F.coalesce(F.filter(F.transform(found_, lambda x: x["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
     keep = [F.col(text_).alias("text") if c == "text" else F.col(c) for c in kept]
-    return out.select(*keep, F.size(kinds).cast("long").alias("n_found"), F.array_join(kinds, ",").alias("kinds"))
+    return out.select(*keep, F.size(kinds).cast("long").alias(outputs[0]), F.array_join(kinds, ",").alias(outputs[1]))

@@ -34,13 +34,14 @@ def quantile(values, q):
 def brute(rows):
     """rows: (text, lang, host). (language, posterior, accepted) of each."""
     size, known = 1 << 16, Counter(r[1] for r in rows if r[1])
-    langs = sorted(x for x, n in known.items() if n >= 0.01 * sum(known.values()))
+    langs = sorted(known)
     n, counts = len(langs), {x: Counter() for x in langs}
     for text, lang, _ in rows:
         if lang in counts:
             counts[lang].update(slots(text))
-    total = {x: sum(counts[x].values()) + 0.05 * size for x in langs}
-    p = lambda x, s: (counts[x][s] + 0.05) / total[x]
+    extra = {x: min(0.05, 0.01 * sum(counts[x].values()) / size) for x in langs}
+    total = {x: sum(counts[x].values()) + extra[x] * size for x in langs}
+    p = lambda x, s: (counts[x][s] + extra[x]) / total[x]
     text, mean = [], []
     for r in rows:
         s = slots(r[0])
@@ -133,3 +134,21 @@ def test_names_that_clash_and_repeated_rows(spark):
     docs = frame(spark, [r[0] for r in sentences(3, 50)], ["en"] * 50).selectExpr("*", "1 AS scores", "2 AS said", "3 AS host", "4 AS own", "5 AS prior", "6 AS p")
     got = language_id.identify(docs.union(docs), host="source").collect()
     assert len(got) == 100 and {(r.scores, r.said, r.host, r.own, r.prior, r.p) for r in got} == {(1, 2, 3, 4, 5, 6)} and len({(r.doc_id, r.posterior) for r in got}) == 50
+
+
+@pytest.mark.parametrize("rare", ["fr", "it"])
+def test_a_rare_language_stays_and_junk_goes(spark, rare):
+    """Real documents, one language thinned to a thousandth of the rows, or a few of a language of their own."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    if rare == "fr":
+        few = docs.where("lang = 'fr'").orderBy("doc_id").limit(10)
+    else:
+        texts = [OTHERS["italian"] + f"Capitolo {i} del libro che si legge la sera con gli amici di casa nostra, e poi si dorme. " * (1 + i) for i in range(8)]
+        few = frame(spark, texts, ["it"] * 8, ["www.libro.it"] * 8, 10**6)
+    junk = frame(spark, [OTHERS["letters"] * 4, "".join(random.Random(5).choice("bcdfghjklmnpqrstvwxz ") for _ in range(900))], ["en", "de"], ["www.en1.en"] * 2, 2 * 10**6)
+    most = docs.where("lang <> 'fr'")
+    got = language_id.identify(most.unionByName(few).unionByName(junk)).select("doc_id", "lang", "language", "accepted").collect()
+    own = [r for r in got if r.lang == rare]
+    assert len(own) == few.count() and sum(r.accepted and r.language == rare for r in own) >= 0.95 * len(own)
+    assert not any(r.accepted for r in got if r.doc_id >= 2 * 10**6)
+    assert sum(not r.accepted for r in got if r.doc_id < 10**6) < 0.005 * len(got)
