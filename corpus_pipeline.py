@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioscope.llm import bpe, decontaminate, language_id, near_dedup, pii
-from folioscope.llm.shared import Scratch
+from folioscope.llm.shared import Scratch, fresh
 
 #: The key of the pseudonyms, for the driver's invented tables; a real corpus has a secret one.
 PSEUDONYM_KEY = "folioscope-demo"
@@ -15,7 +16,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one or several of the languages that the documents declare; texts in none of them, letter junk and texts without letters go."""
-    return language_id.identify(docs).where("accepted").select(*docs.columns)
+    names = fresh(docs.columns, "language", "text_language", "posterior", "accepted")
+    return language_id.identify(docs, outputs=names).where(F.col(names[-1])).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with format-preserving pseudonyms for personal data; n_chars stays, as lengths do."""
-    return pii.pseudonymise(docs, PSEUDONYM_KEY).select(*docs.columns)
+    return pii.pseudonymise(docs, PSEUDONYM_KEY, outputs=tuple(fresh(docs.columns, "n_found", "kinds"))).select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
