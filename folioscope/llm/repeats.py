@@ -180,6 +180,8 @@ class Repeats:
        all occurrences (``groups``): all but the first of each are spans.
     3. Anchors with more than CROWD different pieces would fill a part. Their pieces are cut into windows, which are dealt by their own hashes.
 
+    Texts are read three times where they are, and move twice, to the lists of wanted pieces and to the spans, which grow with them.
+
     docs keeps the row of each document: doc (the doc_id; a null is the smallest), tie (0, or for a doc_id that several rows have a hash of the
     text, which orders them) and text; equal rows are one here.
     """
@@ -215,7 +217,7 @@ class Repeats:
         parts = 1 + (sizes.where(F.col("m") <= CROWD).agg(F.sum("bytes")).first()[0] or 0) // PART
         wanted = wanted.join(self.scratch.hinted(more), "h", "left").withColumn("crowded", F.col("crowded") | F.coalesce("more", F.lit(False)))
         lists = keep(wanted.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n", "h", "crowded")).alias("wanted")))
-        pieces = keep(self.docs.select("doc", "tie", "text").join(self.scratch.hinted(lists), ["doc", "tie"]).select("doc", "tie", "text", "wanted").mapInArrow(_cut(length), "h long, crowded boolean, doc long, tie long, start long, n long, piece binary"))
+        pieces = keep(self.docs.select("doc", "tie", "text").join(lists.hint("merge"), ["doc", "tie"]).select("doc", "tie", "text", "wanted").mapInArrow(_cut(length), "h long, crowded boolean, doc long, tie long, start long, n long, piece binary"))
         dealt = pieces.where("not crowded").withColumn("part", F.pmod("h", F.lit(parts)))
         repeats = keep(dealt.groupBy("part").applyInArrow(_sorted(length, groups), _GROUPS))
         windows = pieces.where("crowded").select("doc", "tie", "start", "piece").mapInArrow(_pieces(length, length), _ROWS)
@@ -272,7 +274,7 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """
     repeats = Repeats(docs, length)
     spans = repeats.removed()
-    rows = repeats.docs.select("doc_id", "doc", "tie", "text").join(repeats.scratch.hinted(spans), ["doc", "tie"], "left").select("doc_id", "doc", "tie", "text", "spans")
+    rows = repeats.docs.select("doc_id", "doc", "tie", "text").join(spans.hint("merge"), ["doc", "tie"], "left").select("doc_id", "doc", "tie", "text", "spans")
     out = rows.mapInArrow(_kept(length), "doc_id long, doc long, tie long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     result = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     if repeats.copies is None:
