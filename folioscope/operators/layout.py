@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,3 +78,75 @@ def wrapped(labels: DataFrame, step: float = 9.0, tolerance: float = 1.5) -> Dat
     w = Window.partitionBy("doc_id", "page").orderBy("y", "text")
     opens = F.coalesce((F.abs(F.col("y") - F.lag("y").over(w) - step) > tolerance).cast("int"), F.lit(1))
     return labels.withColumn("opens", opens).withColumn("group", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("opens")
+
+
+def duty_blocks(words: DataFrame, anchors: Sequence[str], markers: Sequence[str], above: float = 3.0) -> DataFrame:
+    """(doc_id, page, block, top, bottom, period_start, period_end, reject_reason): the blocks of a page, from 0 in the order of their anchors.
+
+    An anchor is a word of ``anchors`` by itself. Its block reaches from ``above`` over it to the first word of ``markers`` below it, to the next
+    anchor, or to the page's end, whichever is first. The first two dates (dd/mm/yyyy, by y and x) are the period. A block with fewer has
+    the reason ``dates``, one with an impossible date (31/02) ``date``; their periods are null.
+    """
+    word = F.trim("text")
+    order = Window.partitionBy("doc_id", "page").orderBy("y0", "x0", "text")
+    spans = words.where(word.isin(*anchors)).select("doc_id", "page", "y0", (F.row_number().over(order) - 1).alias("block"), F.coalesce(F.lead("y0").over(order), F.lit(float("inf"))).alias("next"))
+    ends = words.where(word.isin(*markers)).select("doc_id", "page", F.col("y0").alias("end"))
+    inside = (F.col("end") > F.col("y0")) & (F.col("end") < F.col("next"))
+    spans = spans.join(ends, ["doc_id", "page"], "left").groupBy("doc_id", "page", "block", "y0", "next").agg(F.min(F.when(inside, F.col("end"))).alias("end"))
+    spans = spans.select("doc_id", "page", "block", (F.col("y0") - above).alias("top"), F.coalesce("end", "next").alias("bottom"))
+    dates = words.where(word.rlike("^[0-9]{2}/[0-9]{2}/[0-9]{4}$"))
+    found = within_blocks(dates, spans).groupBy("doc_id", "page", "block").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", F.trim("text").alias("text")))).alias("d"))
+    out = spans.join(found, ["doc_id", "page", "block"], "left")
+    start, end = (F.try_to_date(F.get("d", F.lit(i))["text"], "dd/MM/yyyy") for i in (0, 1))
+    few, odd = F.coalesce(F.size("d"), F.lit(0)) < 2, start.isNull() | end.isNull()
+    reason = F.when(few, "dates").when(odd, "date")
+    return out.select("doc_id", "page", "block", "top", "bottom", F.when(reason.isNull(), start).alias("period_start"), F.when(reason.isNull(), end).alias("period_end"), reason.alias("reject_reason"))
+
+
+def within_blocks(words: DataFrame, blocks: DataFrame) -> DataFrame:
+    """words with the ``block`` that they lie in: top <= y0 < bottom. Blocks may share words, as one begins a little above its anchor.
+
+    The page is the key of the join, and its size bounds what meets; y only decides among a page's few blocks.
+    """
+    on = ["doc_id", "page"]
+    met = words.join(blocks.select(*on, "block", "top", "bottom"), on).where((F.col("y0") >= F.col("top")) & (F.col("y0") < F.col("bottom")))
+    return met.drop("top", "bottom")
+
+
+def positional_duties(words: DataFrame, anchors: Sequence[str], markers: Sequence[str], label_x: float = 418.56, label_dx: float = 2.0, number_x: float = 530.8, number_dx: float = 8.0, rise: float = 2.39, number_dy: float = 1.0, line_dy: float = 3.0, right: float = 520.0, step: float = 9.0, step_dy: float = 1.5) -> DataFrame:
+    """(doc_id, page, period_start, period_end, duties: array of (label, days)) of every block with a period (see ``duty_blocks``).
+
+    words: doc_id, page, x0, y0, x1, y1, text. A word at ``label_x`` begins a line of a label, which goes on with the words to its right before ``right`` on the same
+    line; a line that lies one ``step`` below the last line of a label goes on with that label. A label's days are the digits whose middle is at ``number_x``
+    and that lie ``rise`` above its first line, the nearest if there are several, and null if there are none. Duties are in the order of y. A block without
+    labels has an empty array. Two blocks of a page with the same period end the query with an error, as nothing tells which evaluation they belong to.
+    """
+    key = ["doc_id", "page", "block"]
+    blocks = duty_blocks(words, anchors, markers, line_dy)
+    whole = blocks.where("reject_reason is null")
+    # Only words that can be part of a label or a number meet the blocks.
+    near = F.abs(F.col("x0") - label_x) <= label_dx
+    middle = F.abs((F.col("x0") + F.col("x1")) / 2 - number_x) <= number_dx
+    digits = middle & F.trim("text").rlike("^[0-9]{1,9}$")
+    there = within_blocks(words.where((F.col("x0") >= label_x - label_dx) & (F.trim("text") != "")), whole)
+    heads = there.where(near).select(*key, "x0", "y0", F.trim("text").alias("text"))
+    order = Window.partitionBy(*key).orderBy("y0", "x0", "text")
+    opens = F.coalesce((F.abs(F.col("y0") - F.lag("y0").over(order) - step) > step_dy).cast("int"), F.lit(1))
+    heads = heads.withColumn("line", F.row_number().over(order)).withColumn("opens", opens)
+    heads = heads.withColumn("label_id", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    more = there.select(*key, F.col("x0").alias("wx"), F.col("y0").alias("wy"), F.trim("text").alias("word")).where(F.col("wx") < right)
+    same = (F.col("wx") > F.col("x0")) & (F.abs(F.col("wy") - F.col("y0")) <= line_dy)
+    rest = heads.join(more, key).where(same).groupBy(*key, "line").agg(F.array_sort(F.collect_list(F.struct("wx", "wy", "word"))).alias("rest"))
+    lines = heads.join(rest, [*key, "line"], "left")
+    text = F.concat_ws(" ", F.col("text"), F.transform(F.coalesce("rest", F.array().cast("array<struct<wx:double,wy:double,word:string>>")), lambda w: w["word"]))
+    labels = lines.withColumn("text", text).groupBy(*key, "label_id").agg(F.min("y0").alias("y0"), F.array_sort(F.collect_list(F.struct("line", "text"))).alias("lines"))
+    numbers = there.where(digits).select(*key, F.col("x0").alias("nx"), F.col("y0").alias("ny"), F.trim("text").cast("int").alias("number"))
+    off = F.abs(F.col("ny") - (F.col("y0") - rise))
+    days = labels.join(numbers, key).where(off <= number_dy).groupBy(*key, "label_id").agg(F.min_by("number", F.struct(off.alias("off"), "nx", "number")).alias("days"))
+    each = labels.join(days, [*key, "label_id"], "left").select(*key, F.struct("label_id", F.array_join(F.transform("lines", lambda x: x["text"]), " ").alias("label"), "days").alias("d"))
+    duties = each.groupBy(*key).agg(F.array_sort(F.collect_list("d")).alias("d"))
+    none = F.array().cast("array<struct<label:string,days:int>>")
+    out = whole.join(duties, key, "left").withColumn("duties", F.coalesce(F.transform("d", lambda x: F.struct(x["label"].alias("label"), x["days"].alias("days"))), none))
+    alike = F.count("*").over(Window.partitionBy("doc_id", "page", "period_start", "period_end"))
+    said = F.concat(F.lit("two blocks with the period "), F.col("period_start").cast("string"), F.lit(".."), F.col("period_end").cast("string"), F.lit(" on page "), F.col("page").cast("string"), F.lit(" of "), F.col("doc_id").cast("string"))
+    return out.withColumn("period_start", F.when(alike > 1, F.raise_error(said).cast("date")).otherwise(F.col("period_start"))).select("doc_id", "page", "period_start", "period_end", "duties")

@@ -7,14 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import best_match, stripped
 
-SPLIT_FROM, PIECE, OVERLAP = 1500, 1000, 100
-
 
 def lines(pages: DataFrame) -> DataFrame:
     """(doc_id, page, line, text): the lines of pages (doc_id, page, text)."""
@@ -61,34 +58,6 @@ def carry_subsections(chunks: DataFrame, headers: Column) -> DataFrame:
     return rows.withColumn("subsection", F.coalesce(own, F.last("last", ignorenulls=True).over(earlier))).drop("headers", "changed", "stretch", "last")
 
 
-def split_long(chunks: DataFrame, beyond: int = SPLIT_FROM, size: int = PIECE, overlap: int = OVERLAP) -> DataFrame:
-    """Chunks of more than ``beyond`` characters as pieces of at most ``size`` that end at a paragraph, line, word or else anywhere.
-
-    The next piece begins with the last words of the one before, up to ``overlap`` characters. ``piece`` counts from 0.
-    """
-    def cut(text: str) -> list[str]:
-        if len(text) <= beyond:
-            return [text]
-        out, at = [], 0
-        while at < len(text):
-            end = min(len(text), at + size)
-            if end < len(text):
-                end = next((p + len(s) for s in ("\n\n", "\n", " ") if (p := text.rfind(s, at + overlap + 1, end)) > 0), end)
-            out.append(text[at:end].strip())
-            if end == len(text):
-                break
-            back = max(at + 1, end - overlap)
-            at = min((p + 1 for p in [text.find(" ", back, end - 1)] if p >= 0), default=end)
-        return [x for x in out if x]
-
-    @F.arrow_udf("array<string>")
-    def pieces(text: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else cut(t) for t in text.to_pylist()], pa.list_(pa.string()))
-
-    rest = [c for c in chunks.columns if c != "text"]
-    return chunks.select(*rest, F.posexplode(pieces("text")).alias("piece", "text"))
-
-
 def marked(text: Column, marker: Column) -> Column:
     """The marker on a line before the text, once: a null marker or a text that has it changes nothing."""
     return F.when(marker.isNull() | F.startswith(text, marker), text).otherwise(F.concat(marker, F.lit("\n"), text))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.periods import period
@@ -52,3 +52,27 @@ def promotions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PROMOTIONS = "pr AS (SELECT o_orderkey AS id, o_custkey::VARCHAR AS person_id, (o_orderkey % 12)::INT AS row_index, o_orderpriority AS rank FROM orders)"
+
+
+def duty_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order is a page, and each of its line numbers a block of words with positions: an anchor, two dates, two or three labels and days.
+
+    Line 5 has one date alone; labels of even lines go on below; every third block has no end of its own, so that it takes in the label below.
+    """
+    one = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_shipdate")
+    t = table(spark, sf_dir, "lineitem").withColumn("r", F.row_number().over(one)).where("r = 1").withColumn("n", F.col("l_linenumber").cast("int")).withColumn("y", F.col("n") * 100.0)
+    start = F.to_date("l_shipdate")
+
+    def word(x: float, down: float, text, when=None, width: float = 8.0):
+        made = F.struct(F.lit(x).alias("x0"), (F.col("y") + down).alias("y0"), F.lit(x + width).alias("x1"), (F.col("y") + down + 8.0).alias("y1"), text.alias("text"))
+        return made if when is None else F.when(when, made)
+
+    n, date = F.col("n"), lambda d: F.date_format(d, "dd/MM/yyyy")
+    words = F.array(
+        word(50.0, 0.0, F.lit("E.A.")), word(100.0, -2.39, date(start)), word(160.0, -2.39, date(F.date_add(start, n)), n != 5),
+        word(418.56, 20.0, F.col("l_linestatus")), word(450.0, 21.0, F.col("l_returnflag")), word(418.0, 29.5, F.lit("on"), n % 2 == 0), word(440.0, 30.0, F.lit("board"), n % 2 == 0),
+        word(526.8, 17.61, F.col("l_quantity").cast("int").cast("string"), F.col("l_returnflag") != "R"),
+        word(418.56, 50.0, F.lit("second")), word(527.0, 48.11, n.cast("string")), word(527.0, 48.5, F.lit("99")), word(300.0, 50.0, F.lit("elsewhere")),
+        word(50.0, 60.0, F.lit("Evaluator:"), n % 3 != 0), word(418.56, 70.0, F.lit("after")),
+    )
+    return t.select(F.lit("d").alias("doc_id"), F.col("l_orderkey").alias("page"), F.explode(F.array_compact(words)).alias("w")).select("doc_id", "page", "w.*")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.periods import period
 from folioscope.functions.text import labelled_value, repair_lookalikes, stored_value
-from folioscope.operators import extract, retrieval, sections
+from folioscope.operators import extract, retrieval, sections, splitter
 from folioscope.operators.scope import CAREER
 from folioscope.sources.store import stable_id
 
@@ -89,7 +89,7 @@ def ingest(pages: DataFrame, form: Form) -> dict[str, DataFrame]:
     rated = rated.select("doc_id", F.col("block").alias("seq"), F.lit(None).cast("int").alias("page"), F.lit(form.evaluation_section).alias("section"), "text", "period", "score", F.lit(None).cast("string").alias("subsection"))
     rest = sections.carry_subsections(parts.where(~F.col("section").eqNullSafe(form.evaluation_section)), headers)
     rest = rest.select("doc_id", "seq", "page", "section", repair_lookalikes("text").alias("text"), F.lit(CAREER).alias("period"), F.lit(None).cast("int").alias("score"), "subsection")
-    pieces = sections.with_markers(sections.split_long(rated.unionByName(rest))).drop("subsection")
+    pieces = sections.with_markers(splitter.split_long(rated.unionByName(rest))).drop("subsection")
     order = Window.partitionBy("doc_id").orderBy("period", "seq", "piece")
     pieces = pieces.join(known, "doc_id").withColumn("id", F.concat_ws(":", "doc_id", F.row_number().over(order) - 1))
     chunks = pieces.join(retrieval.bag_vectors(pieces.select("id", "text"), "id"), "id").drop("seq", "piece")

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import periods as pf
 from folioscope.functions import text as tf
-from folioscope.operators import evals, gate, layout, retrieval, sections, structured, timeline
+from folioscope.operators import evals, gate, layout, retrieval, sections, splitter, structured, timeline
 from folioscope.operators.scope import Scope
 from folioscope.plans import carriers as c
 from folioscope.sources import documents as src
-from folioscope.sources import store
-from folioscope.streaming import sessions
+from folioscope.sources import csv_file, store
+from folioscope.sources.bucketed import BucketedTable
+from folioscope.sources.scratch import scratch_path
+from folioscope.streaming import expiry, sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -318,7 +320,7 @@ def section_chunks(spark, sf):
 
 @query()
 def long_text_pieces(spark, sf):
-    return sections.split_long(c.table(spark, sf, "documents").select("doc_id", "text"))
+    return splitter.split_long(c.table(spark, sf, "documents").select("doc_id", "text"))
 
 
 @query(r"""WITH t AS (SELECT page_id, regexp_replace(html, '<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<nav\b[^>]*>.*?</nav\s*>|<head\b[^>]*>.*?</head\s*>|<!--.*?-->', ' ', 'gis') AS t FROM pages),
@@ -329,6 +331,16 @@ def page_extract(spark, sf):
     return c.table(spark, sf, "pages").select("page_id", src.html_text(F.col("html")).alias("text"))
 
 
+@query(f"""WITH d AS (SELECT l_orderkey AS page, l_linenumber AS n, l_shipdate::DATE AS period_start, l_shipdate::DATE + l_linenumber::INT AS period_end, l_linestatus, l_returnflag, l_quantity::INT AS q FROM lineitem WHERE l_linenumber <> 5
+        QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate) = 1)
+    SELECT page, period_start, period_end, 0 AS place, l_linestatus || ' ' || l_returnflag || CASE WHEN n % 2 = 0 THEN ' on board' ELSE '' END AS label, CASE WHEN l_returnflag <> 'R' THEN q END AS days FROM d
+    UNION ALL SELECT page, period_start, period_end, 1, 'second', n::INT FROM d UNION ALL SELECT page, period_start, period_end, 2, 'after', NULL FROM d WHERE n % 3 = 0""")
+def duties_on_pages(spark, sf):
+    found = layout.positional_duties(c.duty_words(spark, sf), anchors=["E.A."], markers=["Evaluator:"])
+    each = found.select("page", "period_start", "period_end", F.posexplode("duties").alias("place", "duty"))
+    return each.select("page", "period_start", "period_end", "place", "duty.label", "duty.days")
+
+
 @query("SELECT doc_id, substr(sha256(text), 1, 16) AS content_id FROM documents")
 def doc_id_hash(spark, sf):
     return c.table(spark, sf, "documents").select("doc_id", tf.content_id(F.col("text")).alias("content_id"))
@@ -500,6 +512,49 @@ def replace_children(spark, sf):
     return store.replace_children(t, new, "eval_id", parents=t.where("eval_id % 4 = 0"))
 
 
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 97 = 3 THEN c_name || ' new' ELSE c_name END AS name, c_nationkey AS created FROM customer WHERE c_custkey % 97 <> 5
+    UNION ALL SELECT -c_custkey, c_name || ' new', 99 FROM customer WHERE c_custkey % 97 = 3""")
+def bucketed_merge(spark, sf):
+    t = c.table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("int").alias("created"))
+    kept = BucketedTable(spark, scratch_path(spark, "bucketed"), "id long, name string, created int", ["id"], buckets=32)
+    kept.merge(t)
+    changed = t.where("id % 97 = 3").select("id", F.concat("name", F.lit(" new")).alias("name"), F.lit(99).alias("created"))
+    kept.merge(changed.union(changed.select(-F.col("id"), "name", "created")), keep=["created"])
+    kept.delete(t.where("id % 97 = 5").select("id"))
+    return kept.read()
+
+
+@query(f"""WITH {FS} SELECT id, eval_id, field_code, value FROM fs WHERE eval_id % 50 <> 1
+    UNION ALL SELECT id + 1, eval_id, field_code, 'no' FROM fs WHERE eval_id % 50 = 1 AND field_code = '1'""")
+def bucketed_children(spark, sf):
+    t = c.field_scores(spark, sf)
+    kept = BucketedTable(spark, scratch_path(spark, "children"), "id long, eval_id long, field_code string, value string", ["eval_id"], buckets=32)
+    kept.replace(t)
+    loaded = t.where("eval_id % 50 = 1")
+    kept.replace(loaded.where("field_code = '1'").select((F.col("id") + 1).alias("id"), "eval_id", "field_code", F.lit("no").alias("value")), parents=loaded)
+    return kept.read()
+
+
+@query("""SELECT sha256(text) AS sha256, octet_length(encode(text))::BIGINT AS n_bytes FROM (
+    SELECT chr(65279) || 'id;status;note' || chr(13) || chr(10) || string_agg(o_orderkey || ';' || o_orderstatus || ';' || CASE WHEN o_orderkey % 3 = 0 THEN chr(34) || 'a;' || chr(34) || chr(34) || o_orderpriority || chr(34) || chr(34) || chr(34) WHEN o_orderkey % 3 = 1 THEN o_orderpriority ELSE '' END || chr(13) || chr(10), '' ORDER BY o_custkey, o_orderkey) AS text FROM orders)""")
+def csv_file_export(spark, sf):
+    o = c.table(spark, sf, "orders")
+    note = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('a;"'), "o_orderpriority", F.lit('"'))).when(F.col("o_orderkey") % 3 == 1, F.col("o_orderpriority"))
+    path = scratch_path(spark, "export") + ".csv"
+    sorted_by = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), note.alias("note"))
+    csv_file.write_csv(sorted_by, path, [o["o_custkey"], "id"])
+    return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("sha256"), F.col("length").alias("n_bytes"))
+
+
+@query("SELECT 'customer' AS name, count(*) AS rows FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'sessions', 0")
+def published_copy(spark, sf):
+    target = scratch_path(spark, "copy")
+    tables = {"customer": c.table(spark, sf, "customer"), "orders": c.table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey")}
+    store.copy_tables(tables, {"orders": ["o_orderkey"]}, [("orders", "customer", "c_custkey")], target, empty={"sessions": "token_hash string, user_id long"})
+    counts = [spark.read.parquet(f"{target}/{n}").agg(F.count("*").alias("rows")).select(F.lit(n).alias("name"), "rows") for n in ("customer", "orders", "sessions")]
+    return counts[0].union(counts[1]).union(counts[2])
+
+
 @query("SELECT n_nationkey || ';' || n_name || ';' || CASE WHEN n_nationkey % 2 = 0 THEN '\"a;\"\"b\"' ELSE '' END AS line FROM nation")
 def csv_export(spark, sf):
     return store.csv_lines(c.table(spark, sf, "nation").select("n_nationkey", "n_name", F.when(F.col("n_nationkey") % 2 == 0, 'a;"b').alias("x")))
@@ -521,6 +576,17 @@ def session_ttl(spark, sf):
     return sessions.live_sessions(s.join(F.broadcast(now)), users, F.col("now"))  # now is one row
 
 
+@query("""WITH s AS (SELECT event_id AS token, user_id, ts FROM events WHERE event_type = 'signup'), n AS (SELECT date_trunc('millisecond', max(ts)) AS now FROM events)
+    SELECT token::VARCHAR AS token_hash, user_id, ts AS created_at FROM s, n WHERE now < ts + INTERVAL 8 HOUR""")
+def session_expiry(spark, sf):
+    """The sessions that a stream of all events has not purged at its end; watermarks and timers count milliseconds."""
+    path = f"{sf}/event[s].parquet"  # a pattern, as a stream takes no single file
+    e = spark.readStream.schema(c.table(spark, sf, "events").schema).parquet(path)
+    rows = e.select(F.col("event_id").cast("string").alias("token_hash"), "user_id", F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "signup", "create").otherwise("use").alias("kind"))
+    root = scratch_path(spark, "sessions")
+    return expiry.still_open(expiry.run_sessions(rows, f"{root}/out", f"{root}/state")).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+
+
 @query("""WITH RECURSIVE a AS (SELECT user_id, ts, event_id AS attempt_id, event_type = 'signup' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE event_type IN ('error', 'signup')),
     s AS (SELECT DISTINCT user_id, 0::BIGINT AS r, 0 AS n, NULL::TIMESTAMP AS until, NULL::BIGINT AS attempt_id, NULL::TIMESTAMP AS ts, NULL::BOOLEAN AS ok, NULL::VARCHAR AS outcome FROM a
         UNION ALL SELECT user_id, r, CASE WHEN held THEN n WHEN ok OR n >= 4 THEN 0 ELSE n + 1 END, CASE WHEN NOT held AND NOT ok AND n >= 4 THEN moment + INTERVAL 15 MINUTE ELSE until END, id, moment, ok,

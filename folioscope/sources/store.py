@@ -78,24 +78,48 @@ def orphans(children: DataFrame, parents: DataFrame, keys: Sequence[str]) -> Dat
     return filled.join(parents.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def copy_tables(tables: Mapping[str, DataFrame], required: Mapping[str, Sequence[str]], references: Sequence[tuple[str, str, str]], target: str) -> dict[str, int]:
+def copy_tables(tables: Mapping[str, DataFrame], required: Mapping[str, Sequence[str]], references: Sequence[tuple[str, str, str]], target: str, empty: Mapping[str, str] | None = None) -> dict[str, int]:
     """Writes tables to a new folder and checks columns, references (child, parent, key) and row counts; returns the counts.
 
-    The target must not exist. It is published by one write of a marker row after all checks, so a partial copy is never taken for a whole one.
+    ``empty`` names tables, by their schemas, that the copy has without any row, whatever the source holds. The target must not exist. Everything is
+    written to a folder beside it and checked there as it was written; a rename then publishes the whole, with a marker row in ``_copied``. After an error, of
+    whatever kind, neither the target nor the staging folder is left.
     """
+    empty = dict(empty or {})
+    if twice := set(tables) & set(empty):
+        raise ValueError(f"{sorted(twice)} are to be copied and to be empty")
     for name, columns in required.items():
         if missing := set(columns) - set(tables[name].columns):
             raise ValueError(f"{name} lacks {sorted(missing)}")
-    for child, parent, key in references:
-        if orphans(tables[child], tables[parent], [key]).limit(1).count():
-            raise ValueError(f"{child}.{key} refers to rows that {parent} lacks")
-    spark, counts = next(iter(tables.values())).sparkSession, {}
-    for name, table in tables.items():
-        table.write.mode("errorifexists").parquet(f"{target}/{name}")
-        counts[name] = spark.read.schema(table.schema).parquet(f"{target}/{name}").count()
-        if counts[name] != table.count():
-            raise ValueError(f"{name} was copied in part")
-    spark.createDataFrame([(k, v) for k, v in counts.items()], "name string, rows long").coalesce(1).write.mode("errorifexists").parquet(f"{target}/_copied")
+    spark = next(iter(tables.values())).sparkSession
+    staging = f"{target.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    final, staged = path(target), path(staging)
+    files = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(final):
+        raise FileExistsError(f"{target} exists")
+    try:
+        counts, copies = {}, {}
+        for name, table in [*tables.items(), *((n, spark.createDataFrame([], schema)) for n, schema in empty.items())]:
+            table.write.mode("errorifexists").parquet(f"{staging}/{name}")
+            copies[name] = spark.read.schema(table.schema).parquet(f"{staging}/{name}")
+            counts[name] = copies[name].count()
+        for name, table in tables.items():
+            if counts[name] != table.count():
+                raise ValueError(f"{name} was copied in part")
+        for name in empty:
+            if counts[name]:
+                raise ValueError(f"{name} is not empty")
+        for child, parent, key in references:
+            if orphans(copies[child], copies[parent], [key]).limit(1).count():
+                raise ValueError(f"{child}.{key} refers to rows that {parent} lacks")
+        spark.createDataFrame([(k, v) for k, v in counts.items()], "name string, rows long").coalesce(1).write.mode("errorifexists").parquet(f"{staging}/_copied")
+        # A rename into a folder that somebody made meanwhile would put the copy inside it.
+        if files.exists(final) or not files.rename(staged, final):
+            raise FileExistsError(f"{target} exists")
+    except BaseException:
+        files.delete(staged, True)
+        raise
     return counts
 
 

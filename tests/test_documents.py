@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import evals, extract, layout, retrieval, sections
+from folioscope.operators import evals, extract, layout, retrieval, sections, splitter
 from folioscope.sources import documents as src
 
 
@@ -39,7 +39,7 @@ def test_long_texts_are_cut_at_words(spark):
     long = " ".join("w" * rng.randint(1, 12) for _ in range(900))
     df = spark.createDataFrame([("a", "short"), ("b", long), ("c", "x" * 4000), ("d", None)], "doc_id string, text string")
     got = {}
-    for r in sections.split_long(df).orderBy("doc_id", "piece").collect():
+    for r in splitter.split_long(df).orderBy("doc_id", "piece").collect():
         got.setdefault(r.doc_id, []).append(r.text)
     assert got["a"] == ["short"] and "d" not in got and all(len(x) <= 1000 for x in got["b"] + got["c"])
     assert all(set(p.split()) <= set(long.split()) for p in got["b"]) and len("".join(got["c"])) >= 4000
