@@ -209,8 +209,8 @@ def stored_value(text: Column) -> Column:
 
 
 def ingested_value(text: Column, words: Sequence[str]) -> Column:
-    """A word of ``words`` as it is, else the first run of digits anywhere, else null."""
-    digits = F.nullif(F.regexp_extract(text, "[0-9]+", 0), F.lit(""))
+    """A word of ``words`` as it is, else the first run of digits anywhere, else the trimmed text as it stands (null if there is none)."""
+    digits = F.coalesce(F.nullif(F.regexp_extract(text, "[0-9]+", 0), F.lit("")), F.nullif(F.trim(text), F.lit("")))
     return F.when(F.trim(text).isin(*words), F.trim(text)).otherwise(digits)
 
 

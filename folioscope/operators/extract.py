@@ -50,11 +50,42 @@ def block_values(blocks: DataFrame, labels: Sequence[str]) -> DataFrame:
     return blocks
 
 
+SCORES = "array<struct<field_code:string,description:string,value:string>>"
+
+
+def labelled_scores(text: Column, labels: Sequence[str], words: Sequence[str], descriptions: Mapping[str, str] | None = None) -> Column:
+    """Lines ``FIELD: code | DESCRIPTION: text | SCORE: value`` as an array of structs in order; ``labels`` are the three words.
+
+    A description that is empty is the code's in ``descriptions``, if it has one there. A value is a word of ``words``, else its first digits, else the
+    text as it stands. Lines that lack one of the labels are none of these (see ``rejected_scores``).
+    """
+    field, description, score = map(re.escape, labels)
+    pattern = rf"(?m)^[ \t]*{field}:[ \t]*([^\s|]+)[ \t]*\|[ \t]*{description}:[ \t]*([^\n]*?)[ \t]*\|[ \t]*{score}:[ \t]*([^\n]*\S)[ \t]*$"
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    known = F.create_map(*[F.lit(x) for pair in descriptions.items() for x in pair]) if descriptions else None
+
+    def one(line: Column) -> Column:
+        code, said = F.regexp_extract(line, pattern, 1), F.nullif(F.regexp_extract(line, pattern, 2), F.lit(""))
+        return F.struct(code.alias("field_code"), (said if known is None else F.coalesce(said, F.try_element_at(known, code))).alias("description"), ingested_value(F.regexp_extract(line, pattern, 3), words).alias("value"))
+
+    return F.coalesce(F.transform(found, one), F.array().cast(SCORES))
+
+
+def rejected_scores(text: Column, labels: Sequence[str]) -> Column:
+    """The lines that begin with the first of the labels but aren't whole: they hold a score that can't be read."""
+    field, description, score = map(re.escape, labels)
+    lines = F.regexp_extract_all(text, F.lit(rf"(?m)^[ \t]*{field}:[^\n]*$"), F.lit(0))
+    whole = rf"^[ \t]*{field}:[ \t]*[^\s|]+[ \t]*\|[ \t]*{description}:[^\n]*\|[ \t]*{score}:[ \t]*[^\n]*\S"
+    return F.coalesce(F.filter(lines, lambda line: ~line.rlike(whole)), F.array().cast("array<string>"))
+
+
 def field_scores(text: Column, words: Sequence[str]) -> Column:
-    """``code ... : value`` lines as an array of structs in order of appearance; a value is a word of ``words`` or the first digits."""
-    found = F.regexp_extract_all(text, F.lit(r"(?m)^[ \t]*(\d{1,4}[αβγ]?)\b[^\n:]*:[ \t]*([^\n]+)$"), F.lit(0))
-    one = lambda l: F.struct(F.regexp_extract(l, r"^\s*(\d{1,4}[αβγ]?)", 1).alias("field_code"), ingested_value(F.regexp_extract(l, r":\s*(.+)$", 1), words).alias("value"))  # noqa: E731, E741
-    return F.filter(F.transform(found, one), lambda x: x["value"].isNotNull())
+    """``code description: value`` lines as an array of structs in order of appearance; a value is a word of ``words``, else the first digits, else the text as it stands."""
+    pattern = r"(?m)^[ \t]*(\d{1,4}[αβγ]?)\b[ \t]*([^\n:]*):[ \t]*([^\n]*\S)[ \t]*$"
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    part = lambda line, i: F.regexp_extract(line, pattern, i)
+    one = lambda line: F.struct(part(line, 1).alias("field_code"), F.nullif(F.trim(part(line, 2)), F.lit("")).alias("description"), ingested_value(part(line, 3), words).alias("value"))
+    return F.transform(found, one)
 
 
 def characterization(text: Column, vocabulary: Sequence[str]) -> Column:
@@ -69,13 +100,12 @@ def positional_scores(lines: Column, codes: Sequence[str], words: Sequence[str])
 
     A value is digits alone or a word of ``words``; a code without a value behind it yields nothing. ``lines`` are trimmed.
     """
-    found = "array<struct<field_code:string,value:string>>"
-    zero = F.struct(F.lit(None).cast("string").alias("code"), F.array().cast(found).alias("out"))
+    zero = F.struct(F.lit(None).cast("string").alias("code"), F.array().cast(SCORES).alias("out"))
 
     def step(state: Column, line: Column) -> Column:
         value = line.rlike("^[0-9]+$") | line.isin(*words)
         code = F.when(state["code"].isNull(), F.when(line.isin(*codes), line)).when(~value, state["code"])
-        out = F.when(state["code"].isNotNull() & value, F.concat(state["out"], F.array(F.struct(state["code"].alias("field_code"), line.alias("value"))))).otherwise(state["out"])
+        out = F.when(state["code"].isNotNull() & value, F.concat(state["out"], F.array(F.struct(state["code"].alias("field_code"), F.lit(None).cast("string").alias("description"), line.alias("value"))))).otherwise(state["out"])
         return F.struct(code.alias("code"), out.alias("out"))
 
     return F.aggregate(lines, zero, step)["out"]
@@ -88,12 +118,16 @@ EVALUATION = ("doc_id", "block", "period_start", "period_end", "kind", "characte
 def evaluations(blocks: DataFrame, labels: Mapping[str, str], vocabulary: Sequence[str], kinds: Sequence[str], words: Sequence[str], none_word: str) -> DataFrame:
     """Evaluations and rejects from labelled blocks (doc_id, block, text).
 
-    labels names period_start, period_end, kind, characterization, unit, evaluator and defects, and perhaps reviewer and reviewer_notes. A
+    labels names period_start, period_end, kind, characterization, unit, evaluator and defects, and perhaps reviewer, reviewer_notes, and field,
+    field_description and field_score, by which lines of scores are read beside those that begin with a code. A
     missing kind is the first one. An unknown characterization rejects a record of the first kind; for the second kind, its text is the
     unit. ``none_word`` as defects is null.
     """
     v = {n: labelled_value(F.col("text"), labels[n]) if n in labels else F.lit(None).cast("string") for n in (*labels, "reviewer", "reviewer_notes")}
-    out = blocks.select("doc_id", "block", *[c.alias(n) for n, c in v.items()], field_scores(F.col("text"), words).alias("field_scores"))
+    scores = field_scores(F.col("text"), words)
+    if "field" in labels:
+        scores = F.concat(labelled_scores(F.col("text"), [labels[n] for n in ("field", "field_description", "field_score")], words), scores)
+    out = blocks.select("doc_id", "block", *[c.alias(n) for n, c in v.items() if not n.startswith("field")], scores.alias("field_scores"))
     start, end = parsed_date(F.col("period_start")), parsed_date(F.col("period_end"))
     rated = characterization(F.col("characterization"), vocabulary)
     out = out.withColumn("kind", F.coalesce("kind", F.lit(kinds[0]))).withColumn("rated", rated)
@@ -191,3 +225,43 @@ def empty_fields(text: Column, labels: Sequence[str], mark: str = "(empty)") ->
     for label in labels:
         text = F.regexp_replace(text, rf"(?m)^([ \t]*{re.escape(label)}[ \t]*:?)[ \t]*(?=\n\s*(?:{stop})|\n?\s*\z)", f"$1 {mark}")
     return text
+
+
+def empty_zones(text: Column, labels: Sequence[str], children: Mapping[str, Sequence[str]] | None = None, ends: Sequence[str] = (), mark: str = "(empty)") -> Column:
+    """The text with ``: mark`` behind each label whose zone is empty.
+
+    ``labels`` stand at the beginnings of lines, in this order; blanks in them may be any white space, and hyphens may have blanks around them. A
+    label's zone reaches from its first place to that of the next one that is there, or to the end. ``children`` names the labels of each container, which may be containers
+    again: a container is empty if its own zone and all its children are, so emptiness goes up from the leaves; a child that is missing is not empty.
+    ``ends`` only close the zone before them. A marked zone is no longer empty, so a second time changes nothing; null stays null.
+    """
+    children = dict(children or {})
+    if unknown := (set(children) | {c for cs in children.values() for c in cs} | set(ends)) - set(labels):
+        raise ValueError(f"no such labels: {sorted(unknown)}")
+
+    def tolerant(label: str) -> str:
+        parts = re.split(r"(\s*-\s*|\s+)", label.strip())
+        return "".join((r"\s*-\s*" if "-" in p else r"\s+") if i % 2 else re.escape(p) for i, p in enumerate(parts))
+
+    # Places count characters, as substring does: what stands before the label, and with it.
+    before, upto = {}, {}
+    for label in labels:
+        pattern = rf"(?sm)\A(.*?)(^[ \t]*{tolerant(label)})"
+        there = text.rlike(rf"(?m)^[ \t]*{tolerant(label)}")
+        before[label] = F.when(there, F.length(F.regexp_extract(text, pattern, 1)))
+        upto[label] = before[label] + F.length(F.regexp_extract(text, pattern, 2))
+    bare = {}
+    for i, label in enumerate(labels):
+        end = F.coalesce(*[before[x] for x in labels[i + 1 :]], F.length(text))
+        bare[label] = F.coalesce(stripped(F.substring(text, upto[label] + 1, F.greatest(end - upto[label], F.lit(0)))) == "", F.lit(False))
+
+    def empty(label: str, above: tuple[str, ...] = ()) -> Column:
+        if label in above:
+            raise ValueError(f"{label} is a child of its own")
+        out = bare[label]
+        for child in children.get(label, ()):
+            out = out & empty(child, (*above, label))
+        return out
+
+    places = F.array_compact(F.array(*[F.when(empty(x), upto[x]) for x in labels if x not in ends]))
+    return F.aggregate(F.sort_array(places, asc=False), text, lambda t, p: F.concat(F.substring(t, F.lit(1), p), F.lit(f": {mark}"), F.substring(t, p + 1, F.length(t))))

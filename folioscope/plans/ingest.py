@@ -77,7 +77,7 @@ def ingest(pages: DataFrame, form: Form) -> dict[str, DataFrame]:
     read = owned(read)
     read = read.withColumn("period", period(F.col("period_start"), F.col("period_end")))
     good = read.where("reject_reason is null").withColumn("id", stable_id("person_id", "period"))
-    scores = good.select(F.col("id").alias("eval_id"), F.posexplode("field_scores").alias("n", "f")).select(stable_id("eval_id", "n").alias("id"), "eval_id", "f.field_code", "f.value", stored_value(F.col("f.value")).alias("number"))
+    scores = good.select(F.col("id").alias("eval_id"), F.posexplode("field_scores").alias("n", "f")).select(stable_id("eval_id", "n").alias("id"), "eval_id", "f.field_code", "f.description", "f.value", stored_value(F.col("f.value")).alias("number"))
 
     career = lambda name: of(name).withColumn("text", repair_lookalikes("text"))
     tables = {"promotions": extract.promotion_rows(career(form.promotion_section), form.promotion_header), "service_time": extract.service_rows(career(form.service_section), form.service_units)}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import periods as pf
 from folioscope.functions import text as tf
-from folioscope.operators import evals, gate, layout, retrieval, sections, splitter, structured, timeline
+from folioscope.operators import evals, extract, gate, layout, promotions, retrieval, sections, splitter, structured, timeline
 from folioscope.operators.scope import Scope
 from folioscope.plans import carriers as c
 from folioscope.sources import documents as src
@@ -397,6 +397,61 @@ def ingested_values(spark, sf):
     return c.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.lit("yes").alias("word"), tf.ingested_value(text, ["yes", "no"]).alias("value"))
 
 
+SCORE_LABELS = ("FIELD", "DESCRIPTION", "SCORE")
+
+
+@query("""WITH t AS (SELECT *, l_linenumber::VARCHAR || 'β' AS code FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_partkey, 0 AS place, code AS field_code, 'part ' || l_partkey AS description,
+        CASE l_returnflag WHEN 'R' THEN 'yes' WHEN 'A' THEN l_quantity::INT::VARCHAR ELSE 'not given' END AS value, 1::BIGINT AS rejected FROM t
+    UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 1, '141', 'overall', '95', 1 FROM t""")
+def labelled_field_scores(spark, sf):
+    t = c.table(spark, sf, "lineitem")
+    value = F.when(F.col("l_returnflag") == "R", "yes").when(F.col("l_returnflag") == "A", F.concat(F.lit("about "), F.col("l_quantity").cast("int").cast("string"), F.lit(" of 50"))).otherwise("not given")
+    first = F.concat(F.lit("FIELD: "), F.col("l_linenumber").cast("string"), F.lit("β | DESCRIPTION:  part "), F.col("l_partkey").cast("string"), F.lit(" |SCORE:  "), value, F.lit("  "))
+    text = F.concat(F.lit("of the period\n"), first, F.lit("\n  FIELD: 141 | DESCRIPTION:  | SCORE: 95\nFIELD: 9 | SCORE: 3\nsee FIELD: 7 | DESCRIPTION: x | SCORE: 1"))
+    rows = t.select("l_orderkey", "l_linenumber", "l_partkey", F.posexplode(extract.labelled_scores(text, SCORE_LABELS, ["yes", "no"], {"141": "overall"})).alias("place", "f"), F.size(extract.rejected_scores(text, SCORE_LABELS)).cast("long").alias("rejected"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "place", "f.*", "rejected")
+
+
+PROMOTION_HEADER = ("RANK", "DATE OF DECISION", "DECISION", "DATE OF PROMOTION")
+
+
+def _promotion_texts(spark, sf):
+    brand, kind = F.col("p_brand"), F.col("p_type")
+    head, n = "table of\n RANK \nDATE OF DECISION\nDECISION\nDATE OF PROMOTION\n\n", F.col("p_partkey") % 3
+    body = F.concat(brand, F.lit("\n01/01/2000\nfor 2019-\n2020 as "), kind, F.lit("\n02/02/2001\n  \n"), F.when(n == 0, F.concat(kind, F.lit("\ntwo lines\n\n"))).otherwise(""), brand, F.lit("\n03/03/2002\nby right\n-"))
+    return c.table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.when(n == 2, F.concat(F.lit("no table\n\n"), body)).otherwise(F.concat(F.lit(head), body)).alias("text"))
+
+
+@query("""WITH l AS (SELECT p_partkey AS doc_id, p_partkey % 3 AS n, chr(10) AS b, p_brand, p_type FROM part)
+    SELECT doc_id, CASE WHEN n = 2 THEN 'no table' || b || b || p_brand || b || '01/01/2000' || b || 'for 2019-' || b || '2020 as ' || p_type || b || '02/02/2001' || b || '  ' || b || p_brand || b || '03/03/2002' || b || 'by right' || b || '-'
+        ELSE 'table of' || b || ' RANK ' || b || 'DATE OF DECISION' || b || 'DECISION' || b || 'DATE OF PROMOTION' || b || b
+            || 'RANK: ' || p_brand || ' | DATE OF DECISION: 01/01/2000 | DECISION: for 2019-2020 as ' || p_type || ' | DATE OF PROMOTION: 02/02/2001' || b || '  ' || b
+            || CASE WHEN n = 0 THEN p_type || b || 'two lines' || b || b ELSE '' END || 'RANK: ' || p_brand || ' | DATE OF DECISION: 03/03/2002 | DECISION: by right | DATE OF PROMOTION: -' END AS text FROM l""")
+def promotions_annotated(spark, sf):
+    once = _promotion_texts(spark, sf).withColumn("text", promotions.annotated(F.col("text"), PROMOTION_HEADER))
+    return once.withColumn("text", promotions.annotated(F.col("text"), PROMOTION_HEADER))  # nothing is left for a second time
+
+
+@query("""WITH l AS (SELECT p_partkey AS doc_id, p_partkey % 3 AS n, p_brand, p_type FROM part WHERE p_partkey % 3 <> 2)
+    SELECT doc_id, 0 AS place, 'row' AS kind, p_brand AS rank, '01/01/2000' AS decision_date, 'for 2019-2020 as ' || p_type AS decision, '02/02/2001' AS promotion_date FROM l
+    UNION ALL SELECT doc_id, 1, 'short', NULL, NULL, NULL, NULL FROM l WHERE n = 0
+    UNION ALL SELECT doc_id, CASE WHEN n = 0 THEN 2 ELSE 1 END, 'row', p_brand, '03/03/2002', 'by right', '-' FROM l""")
+def promotion_table_groups(spark, sf):
+    return promotions.promotion_groups(_promotion_texts(spark, sf), PROMOTION_HEADER).drop("lines")
+
+
+@query("""SELECT c_custkey, 'a. Merits' || CASE WHEN c_custkey % 2 = 0 THEN ': (empty)' ELSE '' END || chr(10) || CASE WHEN c_custkey % 2 = 0 THEN ' ' ELSE c_name END || chr(10)
+        || 'b. Penalties' || CASE WHEN c_custkey % 3 = 0 AND c_custkey % 5 = 0 THEN ': (empty)' ELSE '' END || chr(10) || '  (1) by law' || CASE WHEN c_custkey % 3 = 0 THEN ': (empty)' ELSE '' END || chr(10)
+        || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END || chr(10) || '  (2) co - signed' || CASE WHEN c_custkey % 5 = 0 THEN ': (empty)' ELSE '' END || chr(10) || CASE WHEN c_custkey % 5 = 0 THEN chr(9) ELSE c_name END || chr(10) || 'c. Health' || chr(10) AS text FROM customer""")
+def empty_zones_marked(spark, sf):
+    k, name = F.col("c_custkey"), F.col("c_name")
+    text = F.concat(F.lit("a. Merits\n"), F.when(k % 2 == 0, " ").otherwise(name), F.lit("\nb. Penalties\n  (1) by law\n"), F.when(k % 3 == 0, "").otherwise(name), F.lit("\n  (2) co - signed\n"), F.when(k % 5 == 0, "\t").otherwise(name), F.lit("\nc. Health\n"))
+    labels = ["a. Merits", "b. Penalties", "(1) by  law", "(2) co-signed", "c. Health"]
+    mark = lambda t: extract.empty_zones(t, labels, {"b. Penalties": labels[2:4]}, ["c. Health"])
+    return c.table(spark, sf, "customer").withColumn("text", mark(text)).select("c_custkey", mark(F.col("text")).alias("text"))
+
+
 @query("SELECT p_partkey, p_brand AS brand, p_type AS kind FROM part")
 def pipe_rows(spark, sf):
     text = F.concat_ws(" | ", F.concat(F.lit("brand: old")), F.concat(F.lit("kind: "), "p_type"), F.concat(F.lit("brand: "), "p_brand"))

@@ -13,24 +13,27 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from folioscope.streaming.sessions import SESSION_HOURS
 
 OUTCOMES = "token_hash string, user_id long, ts timestamp, expires_at timestamp, outcome string"
-_ROCKS = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS, _IDLE = "spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
 @contextlib.contextmanager
-def state_store(spark: SparkSession):
-    """Inside, streams start with the state store that timers and lapsing state need."""
-    before = spark.conf.get(_ROCKS)
-    spark.conf.set(_ROCKS, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def state_store(spark: SparkSession, idle_batches: bool = True):
+    """Inside, streams start with the state store that timers and lapsing state need, and run batches without rows for the sake of time or not."""
+    wanted = {_ROCKS: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", _IDLE: str(idle_batches).lower()}
+    before = {k: spark.conf.get(k) for k in wanted}
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(_ROCKS, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 class ExpiringSession(StatefulProcessor):
     """The session of one token: the user and the moment of creation, until it ends.
 
-    In event time a timer at the end purges the state and reports ``expired``. In processing time (``lapse_ms``) the state itself has a time to live, and
+    In event time a timer at the end purges the state and reports ``purged``. In processing time (``lapse_ms``) the state itself has a time to live, and
     goes without a row; there is no timer.
     """
 
@@ -105,10 +108,19 @@ def still_open(outcomes: DataFrame) -> DataFrame:
     return found.where("not purged and o is not null").select("token_hash", "o.user_id", F.col("o.ts").alias("created_at"))
 
 
-def run_sessions(events: DataFrame, output: str, checkpoint: str, hours: float = SESSION_HOURS, delay: str = "0 seconds") -> DataFrame:
-    """All events that are there by now as a stream to the end, whose outcomes are added to Parquet files in ``output``; returns these."""
-    spark = events.sparkSession
-    with state_store(spark):
-        stream = stream_sessions(events, hours, delay).writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+def _run(outcomes: DataFrame, output: str, checkpoint: str, idle_batches: bool) -> DataFrame:
+    spark = outcomes.sparkSession
+    with state_store(spark, idle_batches):
+        stream = outcomes.writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
         stream.awaitTermination()
     return spark.read.schema(OUTCOMES).parquet(output)
+
+
+def run_sessions(events: DataFrame, output: str, checkpoint: str, hours: float = SESSION_HOURS, delay: str = "0 seconds") -> DataFrame:
+    """All events that are there by now as a stream to the end, whose outcomes are added to Parquet files in ``output``; returns these."""
+    return _run(stream_sessions(events, hours, delay), output, checkpoint, True)
+
+
+def run_lapsing_sessions(events: DataFrame, output: str, checkpoint: str, hours: float = SESSION_HOURS) -> DataFrame:
+    """The same by the clock. A stream that follows the clock never runs out of batches without rows, so it does without them."""
+    return _run(stream_lapsing_sessions(events, hours), output, checkpoint, False)

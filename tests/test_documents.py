@@ -116,7 +116,7 @@ def test_evaluations(spark):
     got = extract.evaluations(df, labels, ["GOOD"], ["REGULAR", "NOTE"], ["yes", "no"], "none").orderBy("block").collect()
     assert [r.reject_reason for r in got] == [None, "characterization", None, "period"]
     assert (got[0].characterization, got[0].score, got[0].evaluator.name, got[0].defects) == ("GOOD", 93, "Ann Lee", None) and got[2].unit == "2nd UNIT"
-    assert [tuple(f) for f in got[0].field_scores] == [("51", "95"), ("52", "yes")]
+    assert [tuple(f) for f in got[0].field_scores] == [("51", "Skill", "95"), ("52", "Tact", "yes")]
 
 
 def test_line_tables(spark):
