@@ -250,11 +250,20 @@ def initials(name: Column) -> Column:
     return F.upper(F.when(F.size(w) >= 2, two).otherwise(F.substring(F.get(w, F.lit(0)), 1, 2)))
 
 
+#: Compares letters alone, neither their case nor their accents; the final sigma is a sigma.
+LETTERS_ALONE = "UNICODE_CI_AI"
+
+
+def contains_folded(text: Column, part: str) -> Column:
+    """Whether a constant is part of the text, whatever case and accents; a run of white space counts as one blank. No row leaves the JVM."""
+    spaced_once = F.trim(F.regexp_replace(text, SPACE, " "))
+    return F.contains(F.collate(spaced_once, LETTERS_ALONE), F.collate(F.lit(plain_form(part)), LETTERS_ALONE))
+
+
 def matches_person(name: Column, person_id: Column, query: str) -> Column:
-    """Whether a query, folded, is part of "name id", folded; an empty query matches all, and a Latin m also stands for μ."""
-    wanted = plain_form(query)
-    plain = folded(F.concat_ws(" ", name, person_id))
-    return F.lit(True) if not wanted else plain.contains(wanted) | plain.contains(wanted.replace("m", "μ"))
+    """Whether a query is part of "name id" whatever case and accents; an empty query matches all, and a Latin m also stands for μ."""
+    wanted, whole = plain_form(query), F.concat_ws(" ", name, person_id)
+    return F.lit(True) if not wanted else contains_folded(whole, wanted) | contains_folded(whole, wanted.replace("m", "μ"))
 
 
 def content_id(content: Column) -> Column:

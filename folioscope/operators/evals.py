@@ -70,8 +70,11 @@ def status(tier: Column, ok: Column, known_gap: Column, error: Column, shortest:
     return F.when(error, "error").when(known_gap, "known_gap").when(tier == "C", "needs_human").when(ok & (shortest < 3), "weak").when(ok, "pass").otherwise("fail")
 
 
-def question_problems(questions: DataFrame) -> DataFrame:
-    """(id, problem) for questions (id, tier, text, forbidden_patterns, notes): mixed scripts, repeated ids, bad patterns, tier C without notes."""
+def question_problems(questions: DataFrame, broken_lines: DataFrame | None = None) -> DataFrame:
+    """(id, problem) for questions (id, tier, text, forbidden_patterns, notes): mixed scripts, repeated ids, bad patterns, tier C without notes.
+
+    ``broken_lines`` (id, problem) are lines that could not be read as questions; they are problems too.
+    """
 
     @F.arrow_udf("boolean")
     def broken(patterns: pa.Array) -> pa.Array:
@@ -87,4 +90,5 @@ def question_problems(questions: DataFrame) -> DataFrame:
     mixed = F.exists(F.split("text", r"\s+"), is_mixed_script)
     found = F.array_compact(F.array(F.when(mixed, F.lit("mixed script")), F.when(broken("forbidden_patterns"), F.lit("bad pattern")), F.when((F.col("tier") == "C") & F.coalesce(F.trim("notes") == "", F.lit(True)), F.lit("no notes"))))
     own = questions.select("id", F.explode(found).alias("problem"))
-    return own.union(repeated_ids(questions).select("id", F.lit("repeated id")))
+    found = own.union(repeated_ids(questions).select("id", F.lit("repeated id")))
+    return found if broken_lines is None else found.union(broken_lines.select("id", "problem"))

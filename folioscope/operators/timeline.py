@@ -64,3 +64,9 @@ def axis(low: Column, mode: str) -> Column:
     """The lower end of a score axis up to 100: whole, fixed (80, or lower) or zoomed to just below the lowest score."""
     floor = F.floor(F.coalesce(low, F.lit(100.0)))
     return {"full": F.lit(0).cast("long"), "fixed": F.least(F.lit(80), floor), "zoom": F.greatest(F.lit(0), F.least(F.lit(99), floor - 1))}[mode]
+
+
+def first_seen_documents(rows: DataFrame) -> DataFrame:
+    """(person_id, doc_ids): the documents of ``points``, each once, in the order in which a subject's timeline first comes to them; null ones are none."""
+    ordered = F.array_sort(F.collect_list(F.struct(*ORDER, "doc_id")))
+    return rows.groupBy("person_id").agg(F.array_compact(F.array_distinct(F.transform(ordered, lambda x: x["doc_id"]))).alias("doc_ids"))

@@ -365,6 +365,16 @@ def person_search(spark, sf):
     return c.table(spark, sf, "customer").select("c_custkey", tf.matches_person(F.col("c_name"), F.lit(""), " 0012 ").alias("found"))
 
 
+@query("""WITH n AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'Ελένη  Παπαδοπούλου' WHEN 1 THEN 'José ÅNGSTRÖM' WHEN 2 THEN 'μέτρο ΑΣ' WHEN 3 THEN c_name END AS name FROM customer),
+    f AS (SELECT c_custkey, regexp_replace(strip_accents(lower(coalesce(name || ' ', '') || c_custkey)), '\\s+', ' ', 'g') AS f FROM n)
+    SELECT c_custkey, f LIKE '%ελενη παπα%' AS greek, f LIKE '%se angstrom%' AS latin, f LIKE '%m%' OR f LIKE '%μετρο%' AS mu, f LIKE '%ας%' OR f LIKE '%ασ%' AS sigma, true AS everyone FROM f""")
+def person_search_folded(spark, sf):
+    k = F.col("c_custkey")
+    name = F.when(k % 5 == 0, "Ελένη  Παπαδοπούλου").when(k % 5 == 1, "José ÅNGSTRÖM").when(k % 5 == 2, "μέτρο ΑΣ").when(k % 5 == 3, F.col("c_name"))
+    found = {"greek": "ΕΛΕΝΗ παπά", "latin": " se  Angström", "mu": "M", "sigma": "ΑΣ", "everyone": " "}
+    return c.table(spark, sf, "customer").select(k, *[tf.matches_person(name, k.cast("string"), q).alias(n) for n, q in found.items()])
+
+
 @query("""SELECT p_partkey, upper(CASE WHEN len(w) >= 2 THEN left(w[1], 1) || left(w[2], 1) ELSE left(w[1], 2) END) AS initials FROM (SELECT p_partkey, list_filter(string_split(trim(p_name), ' '), lambda x: x <> '') AS w FROM part)""")
 def initials(spark, sf):
     return c.table(spark, sf, "part").select("p_partkey", tf.initials(F.col("p_name")).alias("initials"))
@@ -642,6 +652,13 @@ def session_expiry(spark, sf):
     return expiry.still_open(expiry.run_sessions(rows, f"{root}/out", f"{root}/state")).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
 
+@query(f"""WITH {EV}, {DOCS}, f AS (SELECT person_id, doc_id, first(period_start ORDER BY period_start, id) AS s, first(id ORDER BY period_start, id) AS i FROM ev JOIN docs USING (person_id, period) GROUP BY ALL)
+    SELECT person_id, string_agg(doc_id, ',' ORDER BY s, i) AS doc_ids FROM f GROUP BY 1""")
+def first_seen_documents(spark, sf):
+    found = timeline.first_seen_documents(timeline.points(c.evaluations(spark, sf), c.documents(spark, sf)))
+    return found.select("person_id", F.array_join("doc_ids", ",").alias("doc_ids"))
+
+
 @query("""WITH RECURSIVE a AS (SELECT user_id, ts, event_id AS attempt_id, event_type = 'signup' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE event_type IN ('error', 'signup')),
     s AS (SELECT DISTINCT user_id, 0::BIGINT AS r, 0 AS n, NULL::TIMESTAMP AS until, NULL::BIGINT AS attempt_id, NULL::TIMESTAMP AS ts, NULL::BOOLEAN AS ok, NULL::VARCHAR AS outcome FROM a
         UNION ALL SELECT user_id, r, CASE WHEN held THEN n WHEN ok OR n >= 4 THEN 0 ELSE n + 1 END, CASE WHEN NOT held AND NOT ok AND n >= 4 THEN moment + INTERVAL 15 MINUTE ELSE until END, id, moment, ok,

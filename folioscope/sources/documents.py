@@ -47,6 +47,23 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+#: The column of a line that is no record.
+BROKEN = "broken_line"
+
+
+def json_lines_or_problems(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """The records of a file of JSON lines; and (id, problem, line) of the lines that are none, which the read goes past.
+
+    A line is broken if it isn't JSON, or if a value does not fit the schema. The id of a broken line is the one that can still be read in it, or null. Blank lines are skipped.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    kept = lines.select("value", F.from_json("value", f"{schema}, {BROKEN} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}).alias("r"))
+    bad = F.col("r").isNull() | F.col(f"r.{BROKEN}").isNotNull()
+    names = [c for c in spark.createDataFrame([], schema).columns]
+    own = F.nullif(F.regexp_extract("value", r'"id"\s*:\s*"?([^",}\s]+)', 1), F.lit(""))
+    return kept.where(~bad).select(*[F.col(f"r.{c}").alias(c) for c in names]), kept.where(bad).select(own.alias("id"), F.lit("bad json").alias("problem"), F.col("value").alias("line"))
+
+
 def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One array of records in a file."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)

@@ -3,7 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import extract, promotions
+from folioscope.functions import text
+from folioscope.operators import evals, extract, promotions
+from folioscope.sources import documents
 
 HEADER = ("RANK", "DECIDED", "DECISION", "PROMOTED")
 
@@ -53,14 +55,14 @@ def test_groups_are_rows_or_visible_rejects(spark):
     assert got[1].lines == ["short", "one"]
 
 
-def marked(spark, text, *args, **more):
-    return spark.createDataFrame([(text,)], "t string").select(extract.empty_zones(F.col("t"), *args, **more)).first()[0]
+def marked(spark, said, *args, **more):
+    return spark.createDataFrame([(said,)], "t string").select(extract.empty_zones(F.col("t"), *args, **more)).first()[0]
 
 
 LABELS = ["a. One", "b. All", "(1) first", "(2) in-side", "(3) last", "c. End"]
 
 
-@pytest.mark.parametrize(("text", "want"), [
+@pytest.mark.parametrize(("said", "want"), [
     ("a. One\n\nb. All\n(1) first\n\n(2) in - side\n(3) last\n\nc. End", "a. One: -\n\nb. All: -\n(1) first: -\n\n(2) in - side: -\n(3) last: -\n\nc. End"),
     ("a. One\nx\nb. All\n(1) first\n(2) in-side\nsome\n(3) last", "a. One\nx\nb. All\n(1) first: -\n(2) in-side\nsome\n(3) last: -"),
     # Its own text, or a child that is missing, keeps a container.
@@ -68,9 +70,9 @@ LABELS = ["a. One", "b. All", "(1) first", "(2) in-side", "(3) last", "c. End"]
     ("b. All\n(1) first\n(3) last", "b. All\n(1) first: -\n(3) last: -"),
     ("see a. One\nno label", "see a. One\nno label"), ("", ""), (None, None), ("😀 text\n  a.   One \n", "😀 text\n  a.   One: - \n"),
 ])
-def test_empty_zones(spark, text, want):
+def test_empty_zones(spark, said, want):
     args = (LABELS, {"b. All": LABELS[2:5]}, ["c. End"])
-    got = marked(spark, text, *args, mark="-")
+    got = marked(spark, said, *args, mark="-")
     assert got == want and marked(spark, got, *args, mark="-") == want
 
 
@@ -101,3 +103,24 @@ def test_evaluations_read_labelled_scores(spark):
     labels = {"period_start": "From", "period_end": "To", "kind": "Kind", "characterization": "Rating", "unit": "Unit", "evaluator": "Evaluator", "defects": "Defects", "field": "FIELD", "field_description": "DESCRIPTION", "field_score": "SCORE"}
     got = extract.evaluations(spark.createDataFrame([("d", 0, text)], "doc_id string, block int, text string"), labels, ["GOOD"], ["REGULAR", "NOTE"], ["yes"], "none").first()
     assert got.reject_reason is None and [tuple(x) for x in got.field_scores] == [("7", "sense", "88"), ("51", "Skill", "95")]
+
+
+def test_broken_lines_are_problem_rows(spark, tmp_path):
+    lines = ['{"id": "a", "tier": "C", "text": "x", "forbidden_patterns": ["("], "notes": ""}', "", '{"id": "b", "tier": "A", "te', "  ", "not json", '{"id": "c", "tier": "A", "text": "y", "forbidden_patterns": "no list"}', '{"id": "d", "tier": "A"}']
+    (tmp_path / "questions.jsonl").write_text("\n".join(lines))
+    schema = "id string, tier string, text string, forbidden_patterns array<string>, notes string"
+    good, bad = documents.json_lines_or_problems(spark, str(tmp_path / "questions.jsonl"), schema)
+    assert sorted(r.id for r in good.collect()) == ["a", "d"] and good.columns == ["id", "tier", "text", "forbidden_patterns", "notes"]
+    assert {(r.id, r.line) for r in bad.collect()} == {("b", lines[2]), (None, "not json"), ("c", lines[5])}
+    problems = sorted(map(tuple, evals.question_problems(good, bad).collect()), key=str)
+    assert problems == sorted([("a", "bad pattern"), ("a", "no notes"), ("b", "bad json"), (None, "bad json"), ("c", "bad json")], key=str)
+
+
+def test_persons_are_found_in_the_jvm(spark):
+    rows = [("Ελένη\u00a0 Παπαδοπούλου", "p1"), ("José ÅNGSTRÖM", "p2"), ("Μάριος", "p3"), (None, "p4"), ("a%b_c", "p5")]
+    df = spark.createDataFrame(rows, "name string, id string")
+    found = lambda q: [r.id for r in df.where(text.matches_person(F.col("name"), F.col("id"), q)).orderBy("id").collect()]
+    assert found("ΕΛΕΝΗ παπα") == ["p1"] and found("ÅNGSTROM P2") == ["p2"] and found("mάρ") == ["p3"] and found("μαριοσ") == ["p3"]
+    assert found(" ") == ["p1", "p2", "p3", "p4", "p5"] and found("P4") == ["p4"] and found("%") == ["p5"] and found("zz") == []
+    plan = df.where(text.matches_person(F.col("name"), F.col("id"), "q"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
