@@ -111,7 +111,7 @@ def whiten(table: DataFrame, components: int = 8, scale: int = 1024, offset: int
     long holds it, while deviation_text has the digits of any. whitened is the component of x - S / n by eigenvalue, with variance 1, explained
     its share of the trace, identity_error the largest entry of |cov(whitened) - 1|, measured on all rows that are returned.
 
-    A component without spread (all vectors alike, fewer vectors than components) has a null whitened value and explains nothing; it does not
+    A component without spread (all vectors alike, fewer vectors than components, or under FLAT of the largest eigenvalue, which is rounding) has a null whitened value and explains nothing; it does not
     count in identity_error. With fewer dimensions than ``components`` there are as many as dimensions. A vector that is shorter than the
     longest has entries of 0 in its place. An entry beyond a long counts as the nearest that fits. Equal vectors get equal values; empty tables, or
     vectors of no dimension, give no rows.

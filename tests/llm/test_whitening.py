@@ -63,8 +63,12 @@ def test_equals_exact_fractions(spark, rows):
 
 def test_deviations_beyond_a_long_keep_their_digits(spark):
     rows = [(1, [1e15, 0.0], 0), (2, [-1e15, 1.0], 0), (3, [0.0, 2.0], 0)]
-    got = check(spark, rows)
-    assert all(r.deviation is None for r in got if r.vec_id < 3)
+    got = whitening.whiten(spark.createDataFrame(rows, SCHEMA)).collect()
+    _, xs, n, s, _ = exact(rows)
+    assert {r.vec_id: int(r.deviation_text) for r in got} == {i + 1: sum((n * a - b) ** 2 for a, b in zip(x, s, strict=True)) for i, x in enumerate(xs)}
+    assert all((r.deviation is None) == (r.vec_id < 3) for r in got)
+    # The second component has 1 part in 10**30 of the variance, which doubles can't tell from none.
+    assert {r.component for r in got if r.whitened is not None} == {1} and got[0].identity_error < 1e-9
 
 
 def test_scatter_is_exact_whatever_the_size():
