@@ -14,11 +14,21 @@ from folioscope.llm.shared import Scratch
 def features_of(text: Column, longest: int) -> Column:
     """All runs of 1 to ``longest`` words, joined by blanks, repeats included; A-Z lowered. Null has none."""
     words = words_of(lowered(text))
-    runs = [words]
-    for n in range(2, longest + 1):
-        at = F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1)))
-        runs.append(F.when(F.size(words) >= n, F.transform(at, lambda i, n=n: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>")))
-    return F.concat(*runs) if longest > 1 else words
+    if longest == 1:
+        return words
+
+    def joined(w: Column, n: int):
+        return lambda i: F.array_join(F.slice(w, i, n), " ")
+
+    def runs(w: Column) -> Column:
+        out = [w]
+        for n in range(2, longest + 1):
+            at = F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1)))
+            out.append(F.when(F.size(w) >= n, F.transform(at, joined(w, n))).otherwise(F.array().cast("array<string>")))
+        return F.concat(*out)
+
+    # A lambda's variable holds the words, which would be split again for each run otherwise.
+    return F.flatten(F.transform(F.array(words), runs))
 
 
 def buckets_of(text: Column, longest: int, buckets: int) -> Column:
