@@ -42,7 +42,7 @@ def test_a_thousand_questions_equal_one_at_a_time(spark, tables, tmp_path):  # n
     for r in rows:
         kinds[r["text"], r["period"], r["person_id"]].append(got[r["id"]])
     assert all(len({str(x) for x in same}) == 1 for same in kinds.values())
-    for (text, period, person), same in list(kinds.items())[::5]:
+    for (text, period, person), same in list(kinds.items())[::24]:
         try:
             one = service.ask(text, person, period, "u")
             want = (one.refusal, one.rows[0].answer if one.rows else None, one.doc_ids)
