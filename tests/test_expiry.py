@@ -86,3 +86,19 @@ def test_the_state_store_setting_is_put_back(spark):
         assert spark.conf.get(expiry._IDLE) == "false"
         1 / 0
     assert (spark.conf.get(expiry._ROCKS), spark.conf.get(expiry._IDLE)) == before
+
+
+def test_many_tokens_share_a_bucket_of_state(spark, tmp_path, monkeypatch):
+    """State is read for each bucket rather than for each token; one that ends just at the watermark is purged, and of the others only those that ended."""
+    monkeypatch.setattr(expiry, "BUCKETS", 2)
+    t, ms = T(2024, 1, 1), dt.timedelta(milliseconds=1)
+    got = outcomes(spark, [
+        [(f"t{i}", i, t + i * ms, "create") for i in range(50)] + [("early", 1, t, "use"), ("early", 7, t + ms, "create"), ("early", 8, t + ms, "create"), ("early", 1, t + 2 * ms, "use")],
+        [("x", 1, t + 8 * HOUR + 20 * ms, "use"), ("t30", 1, t + 8 * HOUR + 20 * ms, "use")],
+        [("t5", 5, t + 8 * HOUR + 21 * ms, "use"), ("t40", 1, t + 8 * HOUR + 21 * ms, "create")],
+    ], tmp_path)
+    found = [(r.token_hash, r.user_id, r.outcome) for r in got.collect()]
+    assert sorted(x[0] for x in found if x[2] == "purged") == sorted([f"t{i}" for i in range(22)] + ["early"])
+    assert {x for x in found if x[0] == "early"} == {("early", 7, "opened"), ("early", 7, "repeated"), ("early", 7, "live"), ("early", None, "unknown"), ("early", 7, "purged")}
+    assert ("t30", 30, "live") in found and ("t5", 5, "expired") in found and ("t40", 40, "repeated") in found
+    assert {r.token_hash for r in expiry.still_open(got).collect()} == {f"t{i}" for i in range(22, 50)}
