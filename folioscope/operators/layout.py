@@ -66,7 +66,7 @@ def continued(anchors: DataFrame, words: DataFrame, right: float = 520.0, dy: fl
 
 def block_bounds(anchors: DataFrame, markers: DataFrame, above: float = 3.0) -> DataFrame:
     """anchors (doc_id, page, y) with top and bottom: bottom is the first marker below before the next anchor, else that anchor, else infinity."""
-    w = Window.partitionBy("doc_id", "page").orderBy("y")
+    w = Window.partitionBy("doc_id", "page").orderBy(F.asc_nulls_last("y"))  # an anchor without a place is before none
     spans = anchors.withColumn("next", F.coalesce(F.lead("y").over(w), F.lit(float("inf"))))
     m = markers.select("doc_id", "page", F.col("y").alias("my"))
     first = spans.join(m, ["doc_id", "page"]).where((F.col("my") > F.col("y")) & (F.col("my") < F.col("next"))).groupBy("doc_id", "page", "y").agg(F.min("my").alias("my"))

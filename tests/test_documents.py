@@ -89,6 +89,9 @@ def test_nearest_number_and_bounds(spark):
     assert rows(layout.continued(labels.withColumnRenamed("label_id", "anchor_id"), words), "anchor_id", "rest") == [(1, "rest too 9"), (2, None)]
     ys = lambda v: spark.createDataFrame([("d", 1, float(y)) for y in v], "doc_id string, page int, y double")
     assert rows(layout.block_bounds(ys([10, 50, 90]), ys([60, 70, 5])), "y", "top", "bottom") == [(10.0, 7.0, 50.0), (50.0, 47.0, 60.0), (90.0, 87.0, math.inf)]
+    # An anchor without a place comes last, as in the SQL, and bounds no block.
+    open_ends = ys([10, 50]).union(ys([1]).withColumn("y", F.lit(None).cast("double")))
+    assert {(r.y, r.top, r.bottom) for r in layout.block_bounds(open_ends, ys([5])).collect()} == {(10.0, 7.0, 50.0), (50.0, 47.0, math.inf), (None, None, math.inf)}
     wrapped = layout.wrapped(ys([10, 19, 28.5, 60]).withColumn("text", F.lit("t")))
     assert rows(wrapped, "y", "group") == [(10.0, 0), (19.0, 0), (28.5, 0), (60.0, 1)]
 
