@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,21 +14,30 @@ from folioscope.functions.text import stripped
 LEAST_LINES = 4
 
 
+#: White space within a line, a run of lines that are not blank (possessive, so that its length is no depth of recursion), and all else below a header.
+_BLANK = r"[^\S\n]"
+_GROUP = rf"{_BLANK}*+\S[^\n]*+(?:\n{_BLANK}*+\S[^\n]*+)*+"
+_TOKEN = rf"{_GROUP}|\n|{_BLANK}++"
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def header_end(text: Column, header: Sequence[str]) -> Column:
-    """How many lines the text has down to the end of the header, whose lines stand one after another, each by itself; null without one."""
-    lines, wanted = F.transform(_lines(text), stripped), F.array(*map(F.lit, header))
-    here = F.transform(F.sequence(F.lit(1), F.size(lines)), lambda i: F.slice(lines, i, len(header)) == wanted)
-    return F.nullif(F.array_position(here, True), F.lit(0).cast("long")) + (len(header) - 1)
+def head(text: Column, header: Sequence[str]) -> Column:
+    """The text down to the end of the header, whose lines stand one after another, each by itself; null without one."""
+    lines = r"\n".join(rf"{_BLANK}*+{re.escape(x)}{_BLANK}*+" for x in header)
+    return F.nullif(F.regexp_extract(text, rf"(?s)\A(?:.*?\n)??{lines}(?=\n|\z)", 0), F.lit(""))
+
+
+def _below(text: Column, upto: Column) -> Column:
+    return F.substring(text, F.length(upto) + 1, F.length(text))
 
 
 def _decision(group: Column) -> Column:
     """The lines between the second and the last, joined by blanks, but for none behind a hyphen."""
-    lines = F.transform(F.slice(group, 3, F.size(group) - 3), stripped)
-    return F.aggregate(F.slice(lines, 2, F.size(lines)), F.get(lines, F.lit(0)), lambda said, line: F.concat(said, F.when(said.endswith("-"), "").otherwise(" "), line))
+    lines = F.transform(F.slice(group, F.lit(3), F.greatest(F.size(group) - 3, F.lit(0))), stripped)
+    return F.replace(F.replace(F.array_join(lines, "\n"), F.lit("-\n"), F.lit("-")), F.lit("\n"), F.lit(" "))
 
 
 def _parsed(group: Column) -> Column:
@@ -41,34 +51,21 @@ def _kind(group: Column, header: Sequence[str]) -> Column:
     return F.when(labelled, "labelled").when(F.size(group) < LEAST_LINES, "short").otherwise("row")
 
 
-def _folded(lines: Column, closed) -> Column:
-    """The lines with each run of lines that are not blank put through ``closed``, an array to an array; one pass with the open run as its state."""
-    none = F.array().cast("array<string>")
-
-    def step(state: Column, line: Column) -> Column:
-        blank = stripped(line) == ""
-        out = F.when(blank, F.concat(state["out"], closed(state["run"]), F.array(line))).otherwise(state["out"])
-        return F.struct(out.alias("out"), F.when(blank, none).otherwise(F.concat(state["run"], F.array(line))).alias("run"))
-
-    return F.aggregate(lines, F.struct(none.alias("out"), none.alias("run")), step, lambda s: F.concat(s["out"], closed(s["run"])))
-
-
 def annotated(text: Column, header: Sequence[str]) -> Column:
     """The text with each row of the table below the header as one line ``label: value | ...`` with the header's labels.
 
     What stands above, the header itself, blank lines, groups of under four lines and rows that are labelled already stay as they are, so a second
     time changes nothing. A text without the header stays; null stays null.
     """
-    end = header_end(text, header)
-    lines = _lines(text)
+    upto = head(text, header)
 
     def closed(run: Column) -> Column:
         row = _parsed(run)
         line = F.concat(*[x for i, (label, name) in enumerate(zip(header, ("rank", "decision_date", "decision", "promotion_date"), strict=True)) for x in (F.lit(f"{' | ' if i else ''}{label}: "), row[name])])
-        return F.when(_kind(run, header) == "row", F.array(line)).otherwise(run)
+        return F.when(_kind(run, header) == "row", line).otherwise(F.array_join(run, "\n"))
 
-    body = F.slice(lines, (end + 1).cast("int"), F.size(lines))
-    return F.when(end.isNull(), text).otherwise(F.array_join(F.concat(F.slice(lines, F.lit(1), end.cast("int")), _folded(body, closed)), "\n"))
+    runs = F.transform(F.regexp_extract_all(_below(text, upto), F.lit(_TOKEN), F.lit(0)), _lines)
+    return F.when(upto.isNull(), text).otherwise(F.concat(upto, F.array_join(F.transform(runs, closed), "")))
 
 
 def promotion_groups(texts: DataFrame, header: Sequence[str]) -> DataFrame:
@@ -78,11 +75,8 @@ def promotion_groups(texts: DataFrame, header: Sequence[str]) -> DataFrame:
     """
     if len(header) != LEAST_LINES:
         raise ValueError("the header has a line for each of the four values")
-    mark = "\x1e"  # between the lines of a group, so that a fold of lines can carry it
-    end, lines = header_end(F.col("text"), header), _lines(F.col("text"))
-    body = F.slice(lines, (end + 1).cast("int"), F.size(lines))
-    joined = _folded(body, lambda run: F.when(F.size(run) > 0, F.array(F.array_join(run, mark))).otherwise(run))
-    groups = texts.where(end.isNotNull()).select("doc_id", F.posexplode(F.filter(joined, lambda g: stripped(g) != "")).alias("place", "g"))
-    groups = groups.select("doc_id", "place", F.split("g", mark, -1).alias("lines"))
+    upto = head(F.col("text"), header)
+    groups = texts.where(upto.isNotNull()).select("doc_id", F.posexplode(F.regexp_extract_all(_below(F.col("text"), upto), F.lit(_GROUP), F.lit(0))).alias("place", "g"))
+    groups = groups.select("doc_id", "place", _lines(F.col("g")).alias("lines"))
     rows = groups.withColumn("kind", _kind(F.col("lines"), header)).withColumn("row", F.when(F.col("kind") == "row", _parsed(F.col("lines"))))
     return rows.select("doc_id", "place", "kind", "row.rank", "row.decision_date", "row.decision", "row.promotion_date", "lines")

@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt over all cores by their keys, before work that costs far more than their bytes tell: a small file is read by one task or two."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order is an evaluation of its customer over half a year; pending ones have no score."""
     start = F.to_date("o_orderdate")

@@ -430,7 +430,7 @@ def _promotion_texts(spark, sf):
     brand, kind = F.col("p_brand"), F.col("p_type")
     head, n = "table of\n RANK \nDATE OF DECISION\nDECISION\nDATE OF PROMOTION\n\n", F.col("p_partkey") % 3
     body = F.concat(brand, F.lit("\n01/01/2000\nfor 2019-\n2020 as "), kind, F.lit("\n02/02/2001\n  \n"), F.when(n == 0, F.concat(kind, F.lit("\ntwo lines\n\n"))).otherwise(""), brand, F.lit("\n03/03/2002\nby right\n-"))
-    return c.table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.when(n == 2, F.concat(F.lit("no table\n\n"), body)).otherwise(F.concat(F.lit(head), body)).alias("text"))
+    return c.spread(c.table(spark, sf, "part"), "p_partkey").select(F.col("p_partkey").alias("doc_id"), F.when(n == 2, F.concat(F.lit("no table\n\n"), body)).otherwise(F.concat(F.lit(head), body)).alias("text"))
 
 
 @query("""WITH l AS (SELECT p_partkey AS doc_id, p_partkey % 3 AS n, chr(10) AS b, p_brand, p_type FROM part)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text
 from folioscope.operators import evals, extract, promotions
+from folioscope.plans import carriers
 from folioscope.sources import documents
 
 HEADER = ("RANK", "DECIDED", "DECISION", "PROMOTED")
@@ -124,3 +125,22 @@ def test_persons_are_found_in_the_jvm(spark):
     assert found(" ") == ["p1", "p2", "p3", "p4", "p5"] and found("P4") == ["p4"] and found("%") == ["p5"] and found("zz") == []
     plan = df.where(text.matches_person(F.col("name"), F.col("id"), "q"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_groups_of_any_length_and_any_characters(spark):
+    """A group is a run of the text rather than a fold of lines, so neither its length nor a separator among its characters breaks it."""
+    header = ["RANK", "DATE OF DECISION", "DECISION", "DATE OF PROMOTION"]
+    long = "A\n01/01/2000\n" + "x y\n" * 30_000 + "02/02/2001"
+    text = "above\n \t" + "\n".join(header) + " \n\n" + long + "\n\t \nB\x1eC\n03/03/2002\nby-\nright\n-\n"
+    df = spark.createDataFrame([(1, text), (2, "\n".join(header)), (3, "RANK\n" + "\n".join(header) + "\nB\nC"), (4, " ".join(header))], "doc_id long, text string")
+    got = {(r.doc_id, r.place): (r.kind, r.rank, r.decision, r.promotion_date, len(r.lines)) for r in promotions.promotion_groups(df, header).collect()}
+    want = " ".join(["x y"] * 30_000)
+    assert got == {(1, 0): ("row", "A", want, "02/02/2001", 30_003), (1, 1): ("row", "B\x1eC", "by-right", "-", 5), (3, 0): ("short", None, None, None, 2)}
+    marked = {r.doc_id: r.t for r in df.select("doc_id", promotions.annotated(F.col("text"), header).alias("t")).collect()}
+    assert marked[1].endswith("\n\t \nRANK: B\x1eC | DATE OF DECISION: 03/03/2002 | DECISION: by-right | DATE OF PROMOTION: -\n") and marked[1].count("\n") == 9
+    assert {i: marked[i] for i in (2, 3, 4)} == {r.doc_id: r.text for r in df.where("doc_id > 1").collect()}
+
+
+def test_small_files_are_dealt_over_all_cores(spark):
+    rows = carriers.spread(spark.range(1000).coalesce(1), "id")
+    assert rows.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism and rows.count() == 1000
