@@ -459,7 +459,7 @@ def empty_zones_marked(spark, sf):
     text = F.concat(F.lit("a. Merits\n"), F.when(k % 2 == 0, " ").otherwise(name), F.lit("\nb. Penalties\n  (1) by law\n"), F.when(k % 3 == 0, "").otherwise(name), F.lit("\n  (2) co - signed\n"), F.when(k % 5 == 0, "\t").otherwise(name), F.lit("\nc. Health\n"))
     labels = ["a. Merits", "b. Penalties", "(1) by  law", "(2) co-signed", "c. Health"]
     mark = lambda t: extract.empty_zones(t, labels, {"b. Penalties": labels[2:4]}, ["c. Health"])
-    return c.table(spark, sf, "customer").withColumn("text", mark(text)).select("c_custkey", mark(F.col("text")).alias("text"))
+    return c.spread(c.table(spark, sf, "customer"), "c_custkey").withColumn("text", mark(text)).select("c_custkey", mark(F.col("text")).alias("text"))
 
 
 @query("SELECT p_partkey, p_brand AS brand, p_type AS kind FROM part")
