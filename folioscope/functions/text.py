@@ -6,7 +6,7 @@ import re
 import unicodedata
 from collections.abc import Sequence
 from difflib import SequenceMatcher
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -65,24 +65,38 @@ def stems(text: Column, size: int = 6, accents: bool = True) -> Column:
     return F.transform(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.substring(w, 1, size))
 
 
+@cache
+def _is_greek(letter: str) -> bool:
+    return "GREEK" in unicodedata.name(letter, "")
+
+
+_LATIN = re.compile("[A-Za-z]")
+_TO_GREEK = str.maketrans(LOOKALIKES)
+
+
+@lru_cache(1 << 16)
 def _repaired(token: str) -> str:
-    latin = sum("A" <= c <= "Z" or "a" <= c <= "z" for c in token)
-    greek = sum("GREEK" in unicodedata.name(c, "") for c in token)
-    if not latin or not token.isalpha() or 2 * greek <= len(token):
+    if not _LATIN.search(token) or not token.isalpha() or 2 * sum(map(_is_greek, token)) <= len(token):
         return token
-    return "".join(LOOKALIKES.get(c, c) for c in token)
+    return token.translate(_TO_GREEK)
 
 
 @F.arrow_udf(StringType())
 def repair_lookalikes(text: pa.Array) -> pa.Array:
-    """Latin capitals inside mostly Greek words become the Greek letters that they look like; white space stays."""
-    return _mapped(text, lambda t: "".join(_repaired(x) for x in re.split(r"(\s+)", t)))
+    """Latin capitals inside mostly Greek words become the Greek letters that they look like; white space stays. Words repeat, so a worker remembers some."""
+    return _mapped(text, lambda t: re.sub(r"\S+", lambda m: _repaired(m[0]), t))
 
 
 def is_mixed_script(token: Column) -> Column:
     """Whether a token has Latin and Greek letters and more than half of its letters are Greek."""
-    greek, latin, letters = (F.regexp_count(token, F.lit(p)) for p in (r"\p{IsGreek}", r"[A-Za-z]", r"\p{L}"))
-    return (latin > 0) & (greek > 0) & (2 * greek > letters)
+    greek, letters = (F.length(F.regexp_replace(token, p, "")) for p in (r"\P{IsGreek}+", r"\P{L}+"))
+    return token.rlike("[A-Za-z]") & token.rlike(r"\p{IsGreek}") & (2 * greek > letters)
+
+
+def mixed_script_tokens(text: Column) -> Column:
+    """The tokens between white space that ``is_mixed_script`` holds for; one pass finds those with letters of both scripts, and only these are counted through."""
+    both = r"(?<!\S)(?=\S*?[A-Za-z])(?=\S*?\p{IsGreek})\S++"
+    return F.filter(F.regexp_extract_all(text, F.lit(both), F.lit(0)), is_mixed_script)
 
 
 @F.arrow_udf(DoubleType())

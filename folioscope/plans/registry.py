@@ -485,9 +485,8 @@ def fuzzy_titles(spark, sf):
     SELECT doc_id, len(list_filter(mixed, lambda x: x))::INT AS mixed,
            coalesce(array_to_string(list_transform(parts, lambda x, i: CASE WHEN mixed[i] AND regexp_full_match(x, '\p{L}+') THEN translate(x, 'ABEHIKMNOPTXYZ', 'ΑΒΕΗΙΚΜΝΟΡΤΧΥΖ') ELSE x END), ''), '') AS repaired FROM m""")
 def mixed_script(spark, sf):
-    d = c.table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.upper("text"), "O", "Ο").alias("text"))
-    tokens = F.split("text", r"\s+")
-    return d.select("doc_id", F.size(F.filter(tokens, tf.is_mixed_script)).alias("mixed"), tf.repair_lookalikes("text").alias("repaired"))
+    d = c.spread(c.table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.translate(F.upper("text"), "O", "Ο").alias("text"))
+    return d.select("doc_id", F.size(tf.mixed_script_tokens(F.col("text"))).alias("mixed"), tf.repair_lookalikes("text").alias("repaired"))
 
 
 # Evaluation

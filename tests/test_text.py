@@ -84,3 +84,14 @@ def test_periods(spark):
     d = spark.sql("select date'2020-01-01' a, date'2020-06-30' b, date'2020-12-31' c, 91.5 s, -2.0 d")
     got = d.select(periods.period_label(F.col("a"), F.col("b")), periods.period_label(F.col("a"), F.col("c")), periods.period_label(F.col("b"), F.col("c")), periods.score_text(F.col("s")), periods.delta_text(F.col("d")), periods.delta_text(F.lit(0)), periods.citation_text(F.lit("d"), F.lit(None).cast("int"))).first()
     assert list(got) == ["H1 2020", "2020", "30/06/2020 - 31/12/2020", "91,5", "-2", "±0", "d"]
+
+
+def test_mixed_tokens_of_whole_texts(spark):
+    """The one pass over a text finds what each token by itself says, and the repair goes by words whatever the white space."""
+    words = ["ΑΞΙOΛ", "PLAIN", "ΑBC", "ΑΒ1C", "ΩΩ-Z", "ΩZ", "Ω", "É", "ΆΈx", "1", "ΩΩZ"]
+    said = "".join(w + s for w, s in zip(words * 3, [" ", "\n\t", "\u00a0"] * 11))
+    row = spark.createDataFrame([(said,)], "t string").select(text.mixed_script_tokens(F.col("t")).alias("one"), F.filter(F.split("t", r"\s+"), text.is_mixed_script).alias("each"), text.repair_lookalikes("t").alias("r")).first()
+    assert row.one == row.each and len(row.one) > 8
+    assert row.r == said.replace("ΑΞΙOΛ", "ΑΞΙΟΛ").replace("ΩΩZ", "ΩΩΖ")
+    assert spark.createDataFrame([(None,)], "t string").select(text.mixed_script_tokens(F.col("t"))).first()[0] is None
+    assert text._repaired.cache_info().maxsize
