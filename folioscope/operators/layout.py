@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,33 +124,175 @@ def positional_duties(words: DataFrame, anchors: Sequence[str], markers: Sequenc
     line; a line that lies one ``step`` below the last line of a label goes on with that label. A label's days are the digits whose middle is at ``number_x``
     and that lie ``rise`` above its first line, the nearest if there are several, and null if there are none. Duties are in the order of y. A block without
     labels has an empty array. Two blocks of a page with the same period end the query with an error, as nothing tells which evaluation they belong to.
+
+    A page's words come together by one sort, and tasks read whole pages in Arrow batches; words and blocks meet by binary search in the order of y, so
+    the work grows with the words and not with blocks times words.
     """
-    key = ["doc_id", "page", "block"]
-    blocks = duty_blocks(words, anchors, markers, line_dy)
-    whole = blocks.where("reject_reason is null")
-    # Only words that can be part of a label or a number meet the blocks.
-    near = F.abs(F.col("x0") - label_x) <= label_dx
-    middle = F.abs((F.col("x0") + F.col("x1")) / 2 - number_x) <= number_dx
-    digits = middle & F.trim("text").rlike("^[0-9]{1,9}$")
-    there = within_blocks(words.where((F.col("x0") >= label_x - label_dx) & (F.trim("text") != "")), whole)
-    heads = there.where(near).select(*key, "x0", "y0", F.trim("text").alias("text"))
-    order = Window.partitionBy(*key).orderBy("y0", "x0", "text")
-    opens = F.coalesce((F.abs(F.col("y0") - F.lag("y0").over(order) - step) > step_dy).cast("int"), F.lit(1))
-    heads = heads.withColumn("line", F.row_number().over(order)).withColumn("opens", opens)
-    heads = heads.withColumn("label_id", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    more = there.select(*key, F.col("x0").alias("wx"), F.col("y0").alias("wy"), F.trim("text").alias("word")).where(F.col("wx") < right)
-    same = (F.col("wx") > F.col("x0")) & (F.abs(F.col("wy") - F.col("y0")) <= line_dy)
-    rest = heads.join(more, key).where(same).groupBy(*key, "line").agg(F.array_sort(F.collect_list(F.struct("wx", "wy", "word"))).alias("rest"))
-    lines = heads.join(rest, [*key, "line"], "left")
-    text = F.concat_ws(" ", F.col("text"), F.transform(F.coalesce("rest", F.array().cast("array<struct<wx:double,wy:double,word:string>>")), lambda w: w["word"]))
-    labels = lines.withColumn("text", text).groupBy(*key, "label_id").agg(F.min("y0").alias("y0"), F.array_sort(F.collect_list(F.struct("line", "text"))).alias("lines"))
-    numbers = there.where(digits).select(*key, F.col("x0").alias("nx"), F.col("y0").alias("ny"), F.trim("text").cast("int").alias("number"))
-    off = F.abs(F.col("ny") - (F.col("y0") - rise))
-    days = labels.join(numbers, key).where(off <= number_dy).groupBy(*key, "label_id").agg(F.min_by("number", F.struct(off.alias("off"), "nx", "number")).alias("days"))
-    each = labels.join(days, [*key, "label_id"], "left").select(*key, F.struct("label_id", F.array_join(F.transform("lines", lambda x: x["text"]), " ").alias("label"), "days").alias("d"))
-    duties = each.groupBy(*key).agg(F.array_sort(F.collect_list("d")).alias("d"))
-    none = F.array().cast("array<struct<label:string,days:int>>")
-    out = whole.join(duties, key, "left").withColumn("duties", F.coalesce(F.transform("d", lambda x: F.struct(x["label"].alias("label"), x["days"].alias("days"))), none))
-    alike = F.count("*").over(Window.partitionBy("doc_id", "page", "period_start", "period_end"))
+    word, x0 = F.trim("text"), F.coalesce("x0", F.lit(float("-inf")))
+    used = words.where("doc_id is not null and page is not null and y0 is not null and not isnan(y0) and text is not null")
+    used = used.where(word.isin(*anchors, *markers) | (F.substring(word, 3, 1) == "/") | (x0 >= label_x - label_dx))
+    used = used.select("doc_id", "page", x0.alias("x0"), F.coalesce("x1", F.lit(float("nan"))).alias("x1"), "y0", word.alias("word"))
+    used = used.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("page")))  # brings pages together; tasks order their words
+    form = _Form(list(anchors), list(markers), label_x, label_dx, number_x, number_dx, right, line_dy, rise, number_dy, line_dy, step, step_dy)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_pages(batches):
+            yield from _duties(t, form).to_batches()
+
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in used.select("doc_id", "page").schema)
+    blocks = used.mapInArrow(found, f"{keys}, first string, second string, alike boolean, duties array<struct<label:string,days:int>>")
+    start, end = (F.try_to_date(c, "dd/MM/yyyy") for c in ("first", "second"))
+    whole = blocks.select("doc_id", "page", start.alias("period_start"), end.alias("period_end"), "alike", "duties").where("period_start is not null and period_end is not null")
     said = F.concat(F.lit("two blocks with the period "), F.col("period_start").cast("string"), F.lit(".."), F.col("period_end").cast("string"), F.lit(" on page "), F.col("page").cast("string"), F.lit(" of "), F.col("doc_id").cast("string"))
-    return out.withColumn("period_start", F.when(alike > 1, F.raise_error(said).cast("date")).otherwise(F.col("period_start"))).select("doc_id", "page", "period_start", "period_end", "duties")
+    return whole.withColumn("period_start", F.when(F.col("alike"), F.raise_error(said).cast("date")).otherwise(F.col("period_start"))).drop("alike")
+
+
+#: Words that a task looks at together; a page is never parted.
+_WORDS_AT_ONCE = 65536
+
+
+class _Form(NamedTuple):
+    anchors: list[str]
+    markers: list[str]
+    label_x: float
+    label_dx: float
+    number_x: float
+    number_dx: float
+    right: float
+    above: float
+    rise: float
+    number_dy: float
+    line_dy: float
+    step: float
+    step_dy: float
+
+
+def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole pages from batches in the order of pages; place is 1 in a page's first row."""
+    held, n = [], 0
+    for b in batches:
+        firsts = np.flatnonzero(b["place"].to_numpy() == 1)
+        if n >= _WORDS_AT_ONCE and len(firsts):
+            yield pa.Table.from_batches([*held, b.slice(0, firsts[-1])])
+            b = b.slice(firsts[-1])
+            held, n = [], 0
+        held.append(b)
+        n += b.num_rows
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _in_order(major: np.ndarray, minor: np.ndarray) -> np.ndarray:
+    """Numbers that compare by major, then by minor, as complex ones do."""
+    out = np.empty(len(major), complex)
+    out.real, out.imag = major, minor
+    return out
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, place) for each place from low[i] to before high[i]."""
+    n = np.maximum(high - low, 0)
+    i = np.repeat(np.arange(len(n)), n)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + low[i]
+
+
+def _level(block: np.ndarray, y: np.ndarray, other_block: np.ndarray, other_y: np.ndarray, dy: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of the same block with abs(other_y[j] - y[i]) <= dy. The search is a little wider than dy, and the difference decides."""
+    order = np.lexsort((other_y, other_block))
+    among = _in_order(other_block[order], other_y[order])
+    wide = dy + 1e-6 * (1 + np.abs(y))
+    i, j = _ranges(np.searchsorted(among, _in_order(block, y - wide)), np.searchsorted(among, _in_order(block, y + wide), "right"))
+    j = order[j]
+    same = np.abs(other_y[j] - y[i]) <= dy
+    return i[same], j[same]
+
+
+def _duties(t: pa.Table, z: _Sizes) -> pa.Table:
+    """The blocks with two dates of a table of whole pages; alike: another block of the page has the same dates."""
+    coded = t["word"].combine_chunks().dictionary_encode()
+    vocabulary, code = coded.dictionary, coded.indices.to_numpy()
+    x, x1, y, place = (t[c].to_numpy() for c in ("x0", "x1", "y0", "place"))
+    page = np.cumsum(place == 1)
+    by_y = np.lexsort((y, page))
+    x, x1, y, page, code = x[by_y], x1[by_y], y[by_y], page[by_y], code[by_y]
+
+    def spelled(of_word: pa.Array) -> np.ndarray:
+        """What holds for a word's text, for each row."""
+        return of_word.to_numpy(zero_copy_only=False)[code]
+
+    text = np.empty(len(vocabulary), np.int64)
+    text[pc.array_sort_indices(vocabulary).to_numpy()] = np.arange(len(text))
+    text = text[code]
+    is_number = pc.match_substring_regex(vocabulary, r"^[0-9]{1,9}(?:\r?\n|\r)?$")
+    number = spelled(pc.cast(pc.utf8_trim_whitespace(pc.if_else(is_number, vocabulary, "0")), pa.int32()))
+    beside = (x >= z.label_x - z.label_dx) & spelled(pc.not_equal(vocabulary, ""))
+    middle = np.abs((x + x1) / 2 - z.number_x) <= z.number_dx
+
+    anchor, marker = (np.flatnonzero(spelled(pc.is_in(vocabulary, pa.array(w, pa.string())))) for w in (z.anchors, z.markers))
+    next_y = np.full(len(anchor), np.inf)
+    same_page = page[anchor[1:]] == page[anchor[:-1]]
+    next_y[:-1][same_page] = y[anchor[1:]][same_page]
+    m = np.searchsorted(_in_order(page[marker], y[marker]), _in_order(page[anchor], y[anchor]), "right")
+    has = np.flatnonzero(m < len(marker))
+    end = marker[m[has]]
+    has, end = (v[(page[end] == page[anchor[has]]) & (y[end] < next_y[has])] for v in (has, end))
+    bottom = next_y.copy()
+    bottom[has] = y[end]
+    tops, bottoms = _in_order(page[anchor], y[anchor] - z.above), _in_order(page[anchor], bottom)
+
+    def inside(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(block, row) of some rows: top <= y < bottom, and both rise along a page."""
+        rows = np.flatnonzero(some)
+        at = _in_order(page[rows], y[rows])
+        i, block = _ranges(np.searchsorted(bottoms, at, "right"), np.searchsorted(tops, at, "right"))
+        return block, rows[i]
+
+    block, row = inside(spelled(pc.match_substring_regex(vocabulary, r"^[0-9]{2}/[0-9]{2}/[0-9]{4}(?:\r?\n|\r)?$")))
+    order = np.lexsort((text[row], x[row], y[row], block))
+    dated = row[order]
+    dates = np.bincount(block, minlength=len(anchor))
+    whole = np.flatnonzero(dates >= 2)
+    first = (np.cumsum(dates) - dates)[whole]
+    first, second = dated[first], dated[first + 1]
+    order = np.lexsort((text[second], text[first], page[first]))
+    a, b = order[:-1], order[1:]
+    twice = (page[first[a]] == page[first[b]]) & (text[first[a]] == text[first[b]]) & (text[second[a]] == text[second[b]])
+    alike = np.zeros(len(whole), bool)
+    alike[a[twice]] = alike[b[twice]] = True
+
+    head_block, head = inside(beside & (np.abs(x - z.label_x) <= z.label_dx))
+    kept = dates[head_block] >= 2
+    head_block, head = head_block[kept], head[kept]
+    order = np.lexsort((text[head], x[head], y[head], head_block))
+    head_block, head = head_block[order], head[order]
+    opens = np.ones(len(head), bool)
+    opens[1:] = (head_block[1:] != head_block[:-1]) | (np.abs(y[head[1:]] - y[head[:-1]] - z.step) > z.step_dy)
+    label = np.cumsum(opens) - 1
+    label_block, label_y = head_block[opens], y[head[opens]]
+
+    more_block, more = inside(beside & (x < z.right))
+    i, j = _level(head_block, y[head], more_block, y[more], z.line_dy)
+    j = more[j]
+    right_of = x[j] > x[head[i]]
+    i, j = i[right_of], j[right_of]
+    line, spoken = np.concatenate((np.arange(len(head)), i)), np.concatenate((head, j))
+    after = np.repeat([0, 1], (len(head), len(i)))
+    order = np.lexsort((text[spoken], y[spoken], x[spoken], after, line))
+    said = vocabulary.take(pa.array(code[spoken[order]]))
+    lengths = np.bincount(label[line], minlength=len(label_y))
+    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), said), " ")
+
+    number_block, digits = inside(beside & middle & spelled(is_number))
+    i, j = _level(label_block, label_y - z.rise, number_block, y[digits], z.number_dy)
+    j = digits[j]
+    off = np.abs(y[j] - (label_y - z.rise)[i])
+    order = np.lexsort((number[j], x[j], off, i))
+    i, at = np.unique(i[order], return_index=True)
+    days, known = np.zeros(len(label_y), np.int32), np.zeros(len(label_y), bool)
+    days[i], known[i] = number[j[order[at]]], True
+    each = pa.StructArray.from_arrays([texts, pa.array(days, mask=~known)], ["label", "days"])
+    labels = np.bincount(label_block, minlength=len(anchor))[whole]
+    duties = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(labels))), pa.int32()), each)
+    keys = t.select(["doc_id", "page"]).take(pa.array(by_y[anchor[whole]]))
+    values = {"first": vocabulary.take(pa.array(code[first])), "second": vocabulary.take(pa.array(code[second])), "alike": pa.array(alike), "duties": duties}
+    return pa.Table.from_arrays([*keys.columns, *values.values()], [*keys.column_names, *values])

@@ -12,9 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows dealt over all cores by their keys, before work that costs far more than their bytes tell: a small file is read by one task or two."""
-    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+def spread(rows: DataFrame, *keys: str, each: int | None = None) -> DataFrame:
+    """rows dealt over all cores by their keys, before work that costs far more than their bytes tell: a small file is read by one task or two.
+
+    With ``each``, a task gets about as many rows at most, so that its memory does not grow with the table; this counts the rows.
+    """
+    parts = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(parts, -(-rows.count() // each)) if each else parts, *keys)
 
 
 def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,9 +67,11 @@ def duty_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order is a page, and each of its line numbers a block of words with positions: an anchor, two dates, two or three labels and days.
 
     Line 5 has one date alone; labels of even lines go on below; every third block has no end of its own, so that it takes in the label below.
+    Line items are dealt by page before they become a dozen words each, so that what goes by page later moves nothing.
     """
     one = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_shipdate")
-    t = table(spark, sf_dir, "lineitem").withColumn("r", F.row_number().over(one)).where("r = 1").withColumn("n", F.col("l_linenumber").cast("int")).withColumn("y", F.col("n") * 100.0)
+    used = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_linestatus", "l_returnflag", "l_quantity")
+    t = spread(used, "l_orderkey", each=100_000).withColumn("r", F.row_number().over(one)).where("r = 1").withColumn("n", F.col("l_linenumber").cast("int")).withColumn("y", F.col("n") * 100.0)
     start = F.to_date("l_shipdate")
 
     def word(x: float, down: float, text, when=None, width: float = 8.0):

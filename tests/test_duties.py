@@ -62,3 +62,20 @@ def test_two_blocks_with_one_period_end_the_query(spark):
 def test_no_words(spark):
     assert layout.positional_duties(spark.createDataFrame([], SCHEMA), ["A.E."], ["Reviewed:"]).collect() == []
     assert found(spark, block(100, labels=[(110, ["A"], "5")]))[0][2:] == (str(dt.date(2020, 2, 1)), str(dt.date(2021, 4, 3)), [("A", 5)])
+
+
+def test_words_that_lie_by_page_do_not_move(spark):
+    words = [x for page in range(40) for x in block(100, page=page, labels=[(110, ["A"], "5")])]
+    dealt = spark.createDataFrame(words, SCHEMA).repartition(3, "page")
+    got = layout.positional_duties(dealt, ["A.E."], ["Reviewed:"])
+    assert got.count() == 40
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_pages_across_batches_stay_whole(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        words = [x for page in range(9) for x in [*block(100, page=page, labels=[(110, ["A", "B"], "5"), (150, ["C"], None)], marker=200), *block(300, "05/05/2022", "06/06/2022", page=page)]]
+        assert [r[4] for r in found(spark, words)] == [[("A B", 5), ("C", None)], []] * 9
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
