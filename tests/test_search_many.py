@@ -1,0 +1,45 @@
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from folioscope.operators import retrieval
+from folioscope.operators.scope import Scope
+
+SCHEMA = "id long, person_id string, period string, embedding array<float>"
+
+
+def rows(n, seed=3):
+    r = random.Random(seed)
+    out = [(i, r.choice("ab"), r.choice(["career", "1996", "1997"]), [r.gauss(0, 1) for _ in range(8)]) for i in range(n)]
+    return [(i, p, t, out[i // 5 * 5][3] if i % 5 else v) for i, p, t, v in out]  # runs of five equal vectors: ties go to the smaller id
+
+
+@pytest.mark.parametrize("at_once", [4096, 7])
+def test_every_question_gets_what_search_finds(spark, monkeypatch, at_once):
+    monkeypatch.setattr(retrieval, "CHUNKS_AT_ONCE", at_once)
+    monkeypatch.setattr(retrieval, "QUESTIONS_AT_ONCE", 3 if at_once == 7 else 512)
+    odd = [(900, "a", "1996", None), (901, "a", "1996", [1.0, None] * 4), (902, "a", "1996", [1.0] * 7), (903, "c", "1996", [1.0] * 8)]
+    chunks = spark.createDataFrame(rows(200) + odd, SCHEMA).cache()
+    asked = chunks.where("id % 20 = 0 and id < 900").select(F.col("id").alias("question_id"), "person_id", F.lit("1996").alias("period"), F.col("embedding").alias("question_embedding"))
+    got = {}
+    for x in retrieval.search_many(chunks, asked, 6).orderBy("question_id", "retrieval_rank").collect():
+        got.setdefault(x.question_id, []).append((x.id, x.score))
+    assert len(got) == 10
+    for q in asked.limit(4).collect():
+        assert got[q.question_id] == [(x.id, x.score) for x in retrieval.search(chunks.where("id < 900"), Scope(q.person_id, "1996"), q.question_embedding, 6).collect()]
+
+
+def test_zero_vectors_come_first_as_in_sql(spark):
+    chunks = spark.createDataFrame([(1, "a", "career", [0.0, 0.0]), (2, "a", "career", [1.0, 0.0]), (3, "a", "career", [0.0, 2.0])], SCHEMA)
+    asked = spark.createDataFrame([(7, "a", "1996", [1.0, 0.0])], "question_id long, person_id string, period string, question_embedding array<float>")
+    got = retrieval.search_many(chunks, asked, 2).orderBy("retrieval_rank").collect()
+    assert [x.id for x in got] == [1, 2] and math.isnan(got[0].score) and got[1].score == 1.0
+
+
+def test_pairs_are_compared_in_blocks(spark):
+    chunks = spark.createDataFrame(rows(50), SCHEMA)
+    asked = chunks.select(F.col("id").alias("question_id"), "person_id", F.lit("1996").alias("period"), F.col("embedding").alias("question_embedding"))
+    plan = retrieval.search_many(chunks, asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "zip_with" not in plan
