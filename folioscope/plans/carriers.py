@@ -28,6 +28,11 @@ def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("period", period(F.col("period_start"), F.col("period_end")))
 
 
+def dealt_evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``evaluations`` dealt by person and period, 100,000 a task at most, so that what groups and joins by both takes as much memory at any size."""
+    return spread(evaluations(spark, sf_dir), "person_id", "period", each=100_000)
+
+
 EVALUATIONS = """ev AS (
     SELECT o_orderkey AS id, o_custkey::VARCHAR AS person_id, o_orderdate::DATE AS period_start, o_orderdate::DATE + 180 AS period_end,
            CASE WHEN o_orderstatus <> 'P' THEN (o_orderkey % 101)::INT END AS score, o_orderpriority AS kind,
@@ -37,7 +42,7 @@ EVALUATIONS = """ev AS (
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document for each of a customer's periods; the name carries the first order's priority."""
-    return evaluations(spark, sf_dir).groupBy("person_id", "period").agg(F.concat(F.lit("d"), F.min("id").cast("string")).alias("doc_id"))
+    return dealt_evaluations(spark, sf_dir).groupBy("person_id", "period").agg(F.concat(F.lit("d"), F.min("id").cast("string")).alias("doc_id"))
 
 
 DOCUMENTS = "docs AS (SELECT person_id, period, 'd' || min(id)::VARCHAR AS doc_id FROM ev GROUP BY ALL)"

@@ -54,7 +54,7 @@ def career_scope(spark, sf):
     SELECT eval_id, string_agg(field_code || '=' || value, ',' ORDER BY field_code, value, id) AS fields, count(*) FILTER (value <> 'yes') AS numbers FROM fs GROUP BY 1)
     SELECT ev.id, ev.person_id, doc_id, coalesce(fields, '') AS fields, coalesce(numbers, 0) AS numbers FROM ev JOIN docs USING (person_id, period) LEFT JOIN l ON eval_id = ev.id""")
 def score_records(spark, sf):
-    rows = structured.score_records(timeline.points(c.evaluations(spark, sf), c.documents(spark, sf)), c.field_scores(spark, sf))
+    rows = structured.score_records(timeline.points(c.dealt_evaluations(spark, sf), c.documents(spark, sf)), c.field_scores(spark, sf))
     fields = F.array_join(F.transform("fields", lambda x: F.concat_ws("=", x["field_code"], x["value"])), ",")
     return rows.select("id", "person_id", "doc_id", fields.alias("fields"), F.size(F.filter("fields", lambda x: x["number"].isNotNull())).cast("long").alias("numbers"))
 
@@ -103,7 +103,7 @@ def code_order(spark, sf):
 
 @query(f"WITH {EV}, {DOCS} SELECT ev.*, doc_id FROM ev JOIN docs USING (person_id, period)")
 def timeline_points(spark, sf):
-    return timeline.checked(c.evaluations(spark, sf), c.documents(spark, sf)).select("id", "person_id", "period_start", "period_end", "score", "kind", "period", "doc_id")
+    return timeline.checked(c.dealt_evaluations(spark, sf), c.documents(spark, sf)).select("id", "person_id", "period_start", "period_end", "score", "kind", "period", "doc_id")
 
 
 @query(f"""WITH {EV}, w AS (SELECT id, person_id, score, lag(score IGNORE NULLS) OVER (PARTITION BY person_id ORDER BY period_start, id) AS before FROM ev)
@@ -654,7 +654,7 @@ def session_expiry(spark, sf):
 @query(f"""WITH {EV}, {DOCS}, f AS (SELECT person_id, doc_id, first(period_start ORDER BY period_start, id) AS s, first(id ORDER BY period_start, id) AS i FROM ev JOIN docs USING (person_id, period) GROUP BY ALL)
     SELECT person_id, string_agg(doc_id, ',' ORDER BY s, i) AS doc_ids FROM f GROUP BY 1""")
 def first_seen_documents(spark, sf):
-    found = timeline.first_seen_documents(timeline.points(c.evaluations(spark, sf), c.documents(spark, sf)))
+    found = timeline.first_seen_documents(timeline.points(c.dealt_evaluations(spark, sf), c.documents(spark, sf)))
     return found.select("person_id", F.array_join("doc_ids", ",").alias("doc_ids"))
 
 
